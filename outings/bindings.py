@@ -43,6 +43,9 @@ PLACE_COLUMNS = [
     "p_partkey % 6 = 0 AS closes_next_day",
     "p_partkey % 23 = 0 AS no_hours",
     "p_partkey % 29 = 0 AS always_open",
+    "CASE WHEN p_partkey % 11 = 0 THEN NULL "
+    "ELSE CAST(40 + p_partkey % 50 AS DOUBLE) + 0.5e0 END AS lat",
+    "CAST(0 - p_partkey % 90 AS DOUBLE) - 0.25e0 AS lng",
     "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE concat('plc', CAST(p_partkey AS STRING)) END "
     "AS external_place_id",
     "CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 "
@@ -199,13 +202,13 @@ _ACTIVITIES_SQL = f"""activities AS (
 SELECT 'place' AS type, id, city_id, name AS title, category, neighborhood, vibe_quiet, vibe_inside,
   vibe_active, CAST(NULL AS VARCHAR) AS description, kid_friendly, low_energy, tags, best_times,
   seasons, walk_minutes_from_center, CAST(NULL AS TIMESTAMP) AS start_time,
-  CAST(NULL AS TIMESTAMP) AS end_time, vec_id, is_active, price_level,
+  CAST(NULL AS TIMESTAMP) AS end_time, vec_id, is_active, price_level, lat, lng,
   CAST(NULL AS VARCHAR) AS source, external_place_id, business_status, closed_day, open_hhmm,
   close_hhmm, closes_next_day, no_hours, always_open
 FROM places
 UNION ALL
 SELECT 'event', id, city_id, title, NULL, NULL, vibe_quiet, vibe_inside, 0.5e0, description, NULL,
-  low_energy, tags, NULL, NULL, NULL, start_time, end_time, vec_id, is_active, NULL, source, NULL,
+  low_energy, tags, NULL, NULL, NULL, start_time, end_time, vec_id, is_active, NULL, NULL, NULL, source, NULL,
   'OPERATIONAL', NULL, NULL, NULL, NULL, TRUE, NULL
 FROM acts_events WHERE start_time > TIMESTAMP '{AS_OF}' - INTERVAL 2 HOUR)"""
 

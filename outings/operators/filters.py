@@ -74,7 +74,7 @@ def in_time_range(start, end, available: Column) -> Column:
 
 def search_by_name(places: DataFrame, term: str) -> DataFrame:
     return (
-        places.filter(F.col("name").ilike(F.concat(F.lit("%"), F.lit(term), F.lit("%"))))
+        places.filter(F.col("name").ilike(f"%{term}%"))
         .select(
             "id", "name",
             F.coalesce("business_status", F.lit("OPERATIONAL")).alias("status"),

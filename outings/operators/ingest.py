@@ -14,7 +14,7 @@ from outings.functions.text import (
     source_id_jsonld,
 )
 from outings.functions.times import extract_time, parse_event_date, ts
-from outings.operators.quality import EVENT_CHECKS, rejected_rows, valid_rows
+from outings.operators.quality import event_checks, rejected_rows, valid_rows
 from outings.operators.upsert import upsert
 
 KEYS = ["source", "source_id"]
@@ -37,7 +37,7 @@ def calendar_events(
     ``rich`` adds user tags, energy and unique tags; the plain form keeps
     category tags with their repeats.
     """
-    checked = valid_rows(parsed, EVENT_CHECKS)
+    checked = valid_rows(parsed, event_checks())
     tagged = checked.withColumn("_legacy", infer_categories(F.col("title"), F.col("description")))
     if rich:
         tags = union_tags(infer_user_tags(F.col("title"), F.col("description")), F.col("_legacy"))
@@ -62,7 +62,7 @@ def calendar_events(
         }
     )
     return rows.drop("_legacy", "_vibe", "location", "url", "uid"), rejected_rows(
-        parsed, EVENT_CHECKS
+        parsed, event_checks()
     )
 
 

@@ -21,8 +21,14 @@ def too_long(**limits: int) -> dict[str, Column]:
     return {f"{n} too long": F.length(n) > limit for n, limit in limits.items()}
 
 
+
+
+
+def event_checks() -> dict[str, Column]:
+    return missing("title", "start_time")
+
+
 # What the stored tables allow.
-EVENT_CHECKS = {**missing("title", "start_time")}
 VIBE_RANGES = {"vibe_quiet": (0, 1), "vibe_inside": (0, 1), "vibe_active": (0, 1)}
 PRICE_LEVELS = {"price_level": (1, 4)}
 RATINGS = {"feedback_rating": (1, 5)}

@@ -24,7 +24,7 @@ def _last(properties: Column, name: str, prefix: bool = False) -> Column:
 
 def _unescape(text: Column, rfc: bool) -> Column:
     out = F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(","))
-    return F.replace(out, F.lit("\;"), F.lit(";")) if rfc else out
+    return F.replace(out, F.lit("\\;"), F.lit(";")) if rfc else out
 
 
 def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +26,16 @@ def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+@contextmanager
+def kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """The parsed rows of a batch, stored while the merge reads them several times."""
+    stored = rows.persist()
+    try:
+        yield stored
+    finally:
+        stored.unpersist()
+
+
 def _run(stream: DataFrame, each: Callable, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.outputMode(mode)
@@ -47,7 +58,8 @@ def start_ingest(
 
     def merge(batch: DataFrame, _: int) -> None:
         rows, _rejected = calendar_events(ics_events(batch, rfc=rfc), source, city_id)
-        target.write(upsert_calendar(target.read(), rows, seq, as_of))
+        with kept(rows) as rows:
+            target.write(upsert_calendar(target.read(), rows, seq, as_of))
 
     return _run(feeds, merge, checkpoint)
 
@@ -59,10 +71,10 @@ def drain_staging(
     """Process staged rows once each; the checkpoint takes the place of a processed flag."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = to_rows(batch)
         known = target.read()
-        known = rows.limit(0) if known is None else known
-        target.write(upsert(known, rows, keys, update_cols, seq, as_of=as_of))
+        with kept(to_rows(batch)) as rows:
+            known = rows.limit(0) if known is None else known
+            target.write(upsert(known, rows, keys, update_cols, seq, as_of=as_of))
 
     return _run(staged, merge, checkpoint)
 
