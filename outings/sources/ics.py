@@ -42,14 +42,6 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
     blocks = F.slice(pieces, F.lit(2), F.size(pieces))
     closed = F.transform(blocks, lambda b: F.split(b, r"(?m)^[ \t]*END:VEVENT[ \t]*\r?$"))
     complete = F.filter(closed, lambda b: F.size(b) > 1)
-    out = feeds.select("*", F.posexplode(complete).alias("position", "_block"))
-    block = F.col("_block")[0]
-    if rfc:
-        block = F.regexp_replace(block, r"(?ms)^BEGIN:(\w+)\r?$.*?^END:\1\r?$", "")
-    lines = F.filter(
-        F.transform(F.split(block, r"\r?\n"), lambda s: F.trim(s)),
-        lambda s: F.instr(s, ":") > 1,
-    )
 
     def entry(line: Column) -> Column:
         at = F.instr(line, ":")
@@ -60,29 +52,36 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
             F.nullif(F.regexp_extract(full, r"TZID=([^;:]+)", 1), F.lit("")).alias("tzid"),
         )
 
-    out = out.withColumn("_props", F.transform(lines, entry))
-    props = F.col("_props")
-    out = out.withColumns(
-        {
-            "_start": _last(props, "DTSTART", prefix=not rfc),
-            "_end": _last(props, "DTEND", prefix=not rfc),
-            **{f"_{n.lower()}": _last(props, n)["value"] for n in PROPERTIES},
-        }
-    )
+    def properties(closed_block: Column) -> Column:
+        block = closed_block[0]
+        if rfc:
+            block = F.regexp_replace(block, r"(?ms)^BEGIN:(\w+)\r?$.*?^END:\1\r?$", "")
+        lines = F.transform(F.split(block, r"\r?\n"), lambda s: F.trim(s))
+        return F.transform(F.filter(lines, lambda s: F.instr(s, ":") > 1), entry)
+
+    def when(props: Column, name: str) -> Column:
+        found = _last(props, name, prefix=not rfc)
+        value = found["value"]
+        return parse_ics_date_zoned(value, found["tzid"]) if rfc else parse_ics_date(value)
+
+    def event(props: Column) -> Column:
+        text_of = {n: _last(props, n)["value"] for n in PROPERTIES}
+        commas = F.replace(text_of["LOCATION"], F.lit("\\,"), F.lit(","))
+        title = text_of["SUMMARY"]
+        return F.struct(
+            (_unescape(title, rfc) if rfc else title).alias("title"),
+            _unescape(text_of["DESCRIPTION"], rfc).alias("description"),
+            when(props, "DTSTART").alias("start_time"),
+            when(props, "DTEND").alias("end_time"),
+            (_unescape(text_of["LOCATION"], rfc) if rfc else commas).alias("location"),
+            text_of["URL"].alias("url"),
+            text_of["UID"].alias("uid"),
+        )
 
-    def when(name: str) -> Column:
-        value = F.col(name)["value"]
-        return parse_ics_date_zoned(value, F.col(name)["tzid"]) if rfc else parse_ics_date(value)
-
-    location = F.replace(F.col("_location"), F.lit("\\,"), F.lit(","))
-    return out.select(
-        *[c for c in feeds.columns if c != text],
-        "position",
-        (_unescape(F.col("_summary"), rfc) if rfc else F.col("_summary")).alias("title"),
-        _unescape(F.col("_description"), rfc).alias("description"),
-        when("_start").alias("start_time"),
-        when("_end").alias("end_time"),
-        (_unescape(F.col("_location"), rfc) if rfc else location).alias("location"),
-        F.col("_url").alias("url"),
-        F.col("_uid").alias("uid"),
+    # The events are built inside the generator: a later filter on their fields
+    # then reads finished values instead of repeating the parse below it.
+    events = F.transform(F.transform(complete, properties), event)
+    kept = [c for c in feeds.columns if c != text]
+    return feeds.select(*kept, F.posexplode(events).alias("position", "_e")).select(
+        *kept, "position", "_e.*"
     )

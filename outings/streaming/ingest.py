@@ -16,10 +16,10 @@ from outings.sources.sinks import SnapshotTable
 
 def feed_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Feed files as they land: (value, feed)."""
-    reader = spark.readStream.option("wholetext", "true")
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path).withColumn("feed", F.col("_metadata.file_path"))
+    return reader.text(path, wholetext=True).withColumn("feed", F.col("_metadata.file_path"))
 
 
 def table_stream(spark: SparkSession, path: str, schema) -> DataFrame:
