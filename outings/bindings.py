@@ -106,45 +106,42 @@ LOG_COLUMNS = [
 ]
 
 
-def _hhmm_text(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 4, "0")
+_DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 
 def bound_hours() -> Column:
-    """The ``hours`` struct from the scalar hour columns; its fields are NULL without hours."""
-    names = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
-    closed, opens, closes = F.col("closed_day"), F.col("open_hhmm"), F.col("close_hhmm")
-    next_day, known = F.col("closes_next_day"), ~F.col("no_hours")
-
-    def point(day: Column, hhmm: Column) -> Column:
-        return F.struct(
-            day.cast("int").alias("day"), _hhmm_text(hhmm).alias("time"),
-            F.lit(None).cast("int").alias("hour"), F.lit(None).cast("int").alias("minute"),
+    """The ``hours`` struct from the scalar hour columns; its fields are NULL without hours.
+
+    Written as SQL text: one call to the engine instead of hundreds.
+    """
+    opens = "lpad(CAST(open_hhmm AS STRING), 4, '0')"
+    closes = "lpad(CAST(close_hhmm AS STRING), 4, '0')"
+
+    def point(day: str, hhmm: str) -> str:
+        return (
+            f"named_struct('day', {day}, 'time', {hhmm}, 'hour', CAST(NULL AS INT), "
+            "'minute', CAST(NULL AS INT))"
         )
 
-    def period(day: int) -> Column:
-        ends = F.when(next_day, F.lit((day + 1) % 7)).otherwise(F.lit(day))
-        return F.struct(
-            point(F.lit(day), opens).alias("open"), point(ends, closes).alias("close")
+    def period(d: int) -> str:
+        ends = f"CASE WHEN closes_next_day THEN {(d + 1) % 7} ELSE {d} END"
+        both = f"named_struct('open', {point(str(d), opens)}, 'close', {point(ends, closes)})"
+        return f"CASE WHEN closed_day <> {d} THEN array({both}) ELSE CAST(array() AS {PERIODS_DDL}) END"
+
+    def text(d: int) -> str:
+        return (
+            f"concat('{_DAYS[d]}: ', CASE WHEN closed_day = {d} THEN 'Closed' "
+            f"ELSE concat({opens}, ' - ', {closes}) END)"
         )
 
-    none = F.array().cast(PERIODS_DDL)
-    periods = F.concat(
-        *[F.when(closed != d, F.array(period(d)).cast(PERIODS_DDL)).otherwise(none)
-          for d in range(7)]
-    )
-    span = F.concat(_hhmm_text(opens), F.lit(" - "), _hhmm_text(closes))
-    texts = F.array(
-        *[F.concat(F.lit(f"{names[d]}: "), F.when(closed == d, "Closed").otherwise(span))
-          for d in (1, 2, 3, 4, 5, 6, 0)]
-    )
-    return F.struct(
-        F.when(known, F.when(F.col("always_open"), "always_open").otherwise("standard")
-               ).alias("type"),
-        F.when(known, F.col("always_open")).alias("always_open"),
-        F.lit(None).cast("string").alias("text"),
-        F.when(known, periods).alias("periods"),
-        F.when(known, texts).alias("weekday_text"),
+    periods = ", ".join(period(d) for d in range(7))
+    texts = ", ".join(text(d) for d in (1, 2, 3, 4, 5, 6, 0))
+    return F.expr(
+        "named_struct('type', CASE WHEN NOT no_hours THEN CASE WHEN always_open THEN 'always_open' "
+        "ELSE 'standard' END END, 'always_open', CASE WHEN NOT no_hours THEN always_open END, "
+        "'text', CAST(NULL AS STRING), "
+        f"'periods', CASE WHEN NOT no_hours THEN concat({periods}) END, "
+        f"'weekday_text', CASE WHEN NOT no_hours THEN array({texts}) END)"
     )
 
 

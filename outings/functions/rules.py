@@ -6,6 +6,9 @@ out in rule order, and first-match groups are tested top to bottom.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 MUSIC = ("music", "concert", "band", "jazz", "rock", "dj")
@@ -117,9 +120,11 @@ def has_any(tags: Column, values) -> Column:
     return F.coalesce(F.arrays_overlap(tags, string_array(values)), F.lit(False))
 
 
-def keyword_pattern(words, word_boundary: bool = False) -> str:
-    body = "|".join(words)
-    return rf"\b(?:{body})\b" if word_boundary else body
+def has_keyword(text: Column, words, word_boundary: bool = False) -> Column:
+    """Any of the words in the text; a plain substring search unless bounded."""
+    if word_boundary:
+        return text.rlike(rf"\b(?:{'|'.join(words)})\b")
+    return reduce(operator.or_, [text.contains(w) for w in words])
 
 
 def match_text(title: Column, description: Column) -> Column:
@@ -130,7 +135,7 @@ def infer_tags(text: Column, rules, default=(), dedupe=False, word_boundary=Fals
     """Tags of every matching rule in rule order; ``default`` when none match."""
     hits = F.concat(
         *[
-            F.when(text.rlike(keyword_pattern(words, word_boundary)), string_array(tags)).otherwise(
+            F.when(has_keyword(text, words, word_boundary), string_array(tags)).otherwise(
                 string_array(())
             )
             for words, tags in rules

@@ -26,16 +26,16 @@ def upcoming(events: DataFrame, as_of, grace: str = "2 hours") -> DataFrame:
     return events.filter(F.col("start_time") > ts(as_of) - F.expr(f"INTERVAL '{grace}'"))
 
 
-def _aligned(df: DataFrame, fixed: dict) -> DataFrame:
-    def column(name: str, kind: str):
-        if name in fixed:
-            return fixed[name].cast(kind).alias(name)
-        if name in df.columns:
-            return F.col(name).cast(kind).alias(name)
-        return F.lit(None).cast(kind).alias(name)
+def _aligned(df: DataFrame, fixed: dict[str, str]) -> DataFrame:
+    """View columns as SQL text: fixed ones, those of ``df``, NULL for the rest."""
+    have = set(df.columns)
 
-    extra = [F.col(c) for c in OPTIONAL if c in df.columns]
-    return df.select(*[column(n, k) for n, k in VIEW.items()], *extra)
+    def column(name: str, kind: str) -> str:
+        source = fixed.get(name) or (f"`{name}`" if name in have else "NULL")
+        return f"CAST({source} AS {kind}) AS `{name}`"
+
+    extra = [c for c in OPTIONAL if c in have]
+    return df.selectExpr(*[column(n, k) for n, k in VIEW.items()], *extra)
 
 
 def activities(places: DataFrame, events: DataFrame, as_of, default_active=0.5) -> DataFrame:
@@ -43,22 +43,22 @@ def activities(places: DataFrame, events: DataFrame, as_of, default_active=0.5)
     place_side = _aligned(
         places,
         {
-            "type": F.lit("place"),
-            "title": F.col("name"),
-            "description": F.col("story") if "story" in places.columns else F.lit(None),
-            "source": F.lit(None),
-            "start_time": F.lit(None),
-            "end_time": F.lit(None),
-            "venue_name": F.lit(None),
+            "type": "'place'",
+            "title": "name",
+            "description": "story" if "story" in places.columns else "NULL",
+            "source": "NULL",
+            "start_time": "NULL",
+            "end_time": "NULL",
+            "venue_name": "NULL",
         },
     )
     not_for_events = (
         "category", "nudge", "best_times", "seasons", "walk_minutes_from_center", "price_level",
         "external_place_id", "rating", "ratings_total",
     )
-    fixed = {"type": F.lit("event"), "business_status": F.lit("OPERATIONAL")}
-    fixed |= {name: F.lit(None) for name in not_for_events}
+    fixed = {"type": "'event'", "business_status": "'OPERATIONAL'"}
+    fixed |= dict.fromkeys(not_for_events, "NULL")
     if "vibe_active" not in events.columns:
-        fixed["vibe_active"] = F.lit(default_active)
+        fixed["vibe_active"] = f"{default_active}D"
     event_side = _aligned(upcoming(events, as_of), fixed)
     return place_side.unionByName(event_side, allowMissingColumns=True)

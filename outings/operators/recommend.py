@@ -214,9 +214,9 @@ def recommend(acts: DataFrame, request: dict, model: ScoreModel, limit: int = 3)
         .withColumns(wishes)
         .filter(model.gate())
         .select(*TIE_BREAK, model.score().alias("score"))
-        .filter(model.keeps(F.col("score")))
     )
-    return scored.orderBy(F.desc("score"), *TIE_BREAK).limit(limit)
+    best = scored.orderBy(F.desc("score"), *TIE_BREAK).limit(limit)
+    return best.filter(model.keeps(F.col("score")))
 
 
 def _literal(value) -> Column:
@@ -252,7 +252,12 @@ def scored_pairs(
     requests: DataFrame, classes: DataFrame, model: ScoreModel, *carried: str,
     query_block: int = QUERY_ROWS, item_block: int = ITEM_ROWS,
 ) -> DataFrame:
-    """Scores of the classes each profile may get."""
+    """Scores of the classes each profile may get, kept or not.
+
+    The threshold is applied by the callers after ranking or inside the
+    aggregate: as a filter here it would move into the join and have the score
+    computed twice per pair.
+    """
     left, right, keys = pair_blocks(
         request_profiles(requests, model), classes, "city_id", "profile", TIE_BREAK,
         query_block, item_block,
@@ -261,7 +266,6 @@ def scored_pairs(
         left.join(right, keys)
         .filter(model.gate())
         .select("profile", *TIE_BREAK, *carried, model.score().alias("score"))
-        .filter(model.keeps(F.col("score")))
     )
 
 
@@ -281,7 +285,7 @@ def recommend_many(
             _block_scorer(model), limit, **blocks,
         )
     scored = scored_pairs(requests, candidate_classes(acts, model, limit), model, **blocks)
-    best = rank_top(scored, ["profile"], limit, TIE_BREAK)
+    best = rank_top(scored, ["profile"], limit, TIE_BREAK).filter(model.keeps(F.col("score")))
     return _for_requests(requests, best, model, "inner")
 
 
@@ -299,13 +303,14 @@ def score_summary(
         .select("*", "first.*")
         .drop("first")
     )
+    kept = model.keeps(F.col("score"))
     totals = (
         scored_pairs(requests, classes, model, "members", **blocks)
         .groupBy("profile")
         .agg(
-            F.sum("members").alias("qualified"),
-            F.max("score").alias("best_score"),
-            F.min("score").alias("worst_score"),
+            F.sum(F.when(kept, F.col("members"))).alias("qualified"),
+            F.max(F.when(kept, F.col("score"))).alias("best_score"),
+            F.min(F.when(kept, F.col("score"))).alias("worst_score"),
         )
     )
     return _for_requests(requests, totals, model, "left").fillna(0, subset=["qualified"])
