@@ -21,8 +21,9 @@ QUERY_ROWS, ITEM_ROWS = 256, 1024
 # Rows scored at a time: keeps the matrices inside the processor cache.
 _MATRIX_ROWS = 64
 
-# (queries, items) -> matrix of scores; -inf where the pair is not allowed.
-BlockScorer = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]
+# Takes the items of a block once and returns the scoring of query rows against
+# them: a matrix, -inf where the pair is not allowed.
+BlockScorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
 
 
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +95,10 @@ def blocked_topk(
         if q.empty or it.empty:
             return pd.DataFrame({n: [] for n in [*names, "score"]})
         it = it.sort_values(item_order, ignore_index=True)
-        parts = []
+        score_block, parts = scorer(it), []
         for at in range(0, len(q), _MATRIX_ROWS):
             chunk = q.iloc[at : at + _MATRIX_ROWS]
-            scores = scorer(chunk, it)
+            scores = score_block(chunk)
             rows, cols = best_per_row(scores, k)
             best = it.iloc[cols][item_order].reset_index(drop=True)
             best.insert(0, query_id, chunk[query_id].to_numpy()[rows])

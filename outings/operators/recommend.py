@@ -373,19 +373,27 @@ def _floats(column: pd.Series, missing: float) -> np.ndarray:
     return column.astype("float64").fillna(missing).to_numpy()
 
 
-def _tag_shares(asked: pd.Series, tags: pd.Series) -> np.ndarray:
-    words = sorted({t for row in asked if row is not None for t in row})
-    at = {t: i for i, t in enumerate(words)}
-    wanted = np.zeros((len(asked), len(words)))
+def _tag_matrix(tags: pd.Series) -> tuple[dict[str, int], np.ndarray]:
+    """Known words and which row has them."""
+    at: dict[str, int] = {}
+    cells = [(i, at.setdefault(t, len(at))) for i, row in enumerate(tags)
+             for t in (row if row is not None else ())]
+    has = np.zeros((len(tags), len(at)))
+    if cells:
+        has[tuple(np.array(cells).T)] = 1.0
+    return at, has
+
+
+def _tag_shares(asked: pd.Series, at: dict[str, int], has: np.ndarray) -> np.ndarray:
+    wanted = np.zeros((len(asked), has.shape[1]))
+    n = np.ones((len(asked), 1))
     for i, row in enumerate(asked):
-        for t in row if row is not None else ():
-            wanted[i, at[t]] += 1.0
-    has = np.zeros((len(tags), len(words)))
-    for i, row in enumerate(tags):
-        for t in row if row is not None else ():
-            if t in at:
-                has[i, at[t]] = 1.0
-    return (wanted @ has.T) / np.maximum(wanted.sum(axis=1, keepdims=True), 1.0)
+        if row is not None and len(row):
+            n[i] = len(row)
+            for t in row:
+                if t in at:
+                    wanted[i, at[t]] += 1.0
+    return (wanted @ has.T) / n
 
 
 def _block_scorer(model: ScoreModel):
@@ -393,54 +401,59 @@ def _block_scorer(model: ScoreModel):
     w, features, wishes = model.weights, model.features, model.wishes
     rounded, keep_zero = model.rounded, model.keep_zero
 
-    def score(q: pd.DataFrame, it: pd.DataFrame) -> np.ndarray:
-        available = q["r_time_available"].to_numpy(dtype=float)[:, None]
-        if "needed" in features:
-            needed = _floats(it["needed"], np.nan)[None, :]
-        else:
-            needed = _floats(it["walk"], np.nan)[None, :] * 2 + 30
-        total = np.zeros((len(q), len(it)))
-        if w.spare:
-            total = total + (available - needed) * w.spare
-        for name in ("quiet", "active", "inside"):
-            weight = getattr(w, name)
-            if weight:
-                vibe = _floats(it[f"vibe_{name}"], 0.5)[None, :]
+    def scorer(it: pd.DataFrame):
+        strict = "needed" in features
+        needed = _floats(it["needed"], np.nan) if strict else _floats(it["walk"], np.nan) * 2 + 30
+        vibes = {n: _floats(it[f"vibe_{n}"], 0.5) for n in ("quiet", "active", "inside")
+                 if getattr(w, n)}
+        words, has = _tag_matrix(it["tags"]) if w.tags else ({}, np.zeros((len(it), 0)))
+        vectors = None
+        if "embedding" in features and it["embedding"].notna().any():
+            vectors = unit_matrix(it["embedding"]).T
+        bonus = it["bonus"].to_numpy(dtype=float)
+        band = it["band"].to_numpy() if "location" in wishes else None
+
+        def score(q: pd.DataFrame) -> np.ndarray:
+            available = q["r_time_available"].to_numpy(dtype=float)[:, None]
+            total = np.zeros((len(q), len(it)))
+            if w.spare:
+                total = total + (available - needed) * w.spare
+            for name, vibe in vibes.items():
                 wish = q[f"r_{name}"].to_numpy(dtype=float)[:, None]
-                total = total + (1.0 - np.abs(vibe - wish)) * weight
-        if w.tags:
-            total = total + _tag_shares(q["r_tags"], it["tags"]) * w.tags
-        if "embedding" in features:
-            queries = unit_matrix(q["r_embedding"])
-            if queries.any() and it["embedding"].notna().any():
-                items = unit_matrix(it["embedding"], queries.shape[1])
-                total = total + (queries @ items.T) * w.semantic
-        total = total + it["bonus"].to_numpy(dtype=float)[None, :]
-        if w.low_energy:
-            off = q["r_low_energy"].to_numpy(bool)[:, None] & ~it["low_energy"].to_numpy(bool)
-            total = total - off * w.low_energy
-        if w.fit:
-            ratio = needed / available
-            total = total + np.where(ratio <= 0.8, (1.0 - ratio) * w.fit, 0.0)
-        if w.jitter:
-            mixed = q["r_hash"].to_numpy()[:, None] ^ it["item_hash"].to_numpy()[None, :]
-            total = total + np.mod(mixed, 10000) / 10000.0 * w.jitter
-        if rounded:
-            total = np.floor(total * 10.0 + 0.5) / 10.0
-        ok = total >= 0 if keep_zero else total > 0
-        ok &= (needed <= available) if "needed" in features else ~(needed > available)
-        if "location" in wishes:
-            place = q["r_location"].to_numpy()[:, None]
-            wanted = (place == "inside") | (place == "outside")
-            ok &= ~wanted | (it["band"].to_numpy()[None, :] == place)
-        if "kid_friendly" in wishes:
-            ok &= ~q["r_kid_friendly"].to_numpy(bool)[:, None] | it["kid_friendly"].to_numpy(bool)
-        if "requested_date" in wishes:
-            starts = it["starts"].to_numpy()[None, :]
-            ok &= pd.isna(starts) | (starts >= q["r_requested_date"].to_numpy()[:, None])
-        return np.where(ok, total, -np.inf)
-
-    return score
+                total += (1.0 - np.abs(vibe - wish)) * getattr(w, name)
+            if w.tags:
+                total += _tag_shares(q["r_tags"], words, has) * w.tags
+            if vectors is not None:
+                total += (unit_matrix(q["r_embedding"], vectors.shape[0]) @ vectors) * w.semantic
+            total += bonus
+            if w.low_energy:
+                off = q["r_low_energy"].to_numpy(bool)[:, None] & ~it["low_energy"].to_numpy(bool)
+                total -= off * w.low_energy
+            if w.fit:
+                ratio = needed / available
+                total += np.where(ratio <= 0.8, (1.0 - ratio) * w.fit, 0.0)
+            if w.jitter:
+                mixed = q["r_hash"].to_numpy()[:, None] ^ it["item_hash"].to_numpy()[None, :]
+                total += np.mod(mixed, 10000) / 10000.0 * w.jitter
+            if rounded:
+                total = np.floor(total * 10.0 + 0.5) / 10.0
+            ok = total >= 0 if keep_zero else total > 0
+            ok &= (needed <= available) if strict else ~(needed > available)
+            if "location" in wishes:
+                place = q["r_location"].to_numpy()
+                for i, wanted in enumerate(place):
+                    if wanted in ("inside", "outside"):
+                        ok[i] &= band == wanted
+            if "kid_friendly" in wishes:
+                ok &= ~q["r_kid_friendly"].to_numpy(bool)[:, None] | it["kid_friendly"].to_numpy(bool)
+            if "requested_date" in wishes:
+                starts = it["starts"].to_numpy()[None, :]
+                ok &= pd.isna(starts) | (starts >= q["r_requested_date"].to_numpy()[:, None])
+            return np.where(ok, total, -np.inf)
+
+        return score
+
+    return scorer
 
 
 def score_breakdown(

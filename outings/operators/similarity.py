@@ -35,9 +35,13 @@ def semantic_topk(items: DataFrame, vector, k: int = 20, embedding: str = "embed
     )
 
 
-def _cosine_blocks(q: pd.DataFrame, it: pd.DataFrame) -> np.ndarray:
-    queries = unit_matrix(q["q_vector"])
-    return queries @ unit_matrix(it["embedding"], queries.shape[1]).T
+def _cosine_blocks(it: pd.DataFrame):
+    items = unit_matrix(it["embedding"]).T
+
+    def score(q: pd.DataFrame) -> np.ndarray:
+        return unit_matrix(q["q_vector"], items.shape[0]) @ items
+
+    return score
 
 
 def nearest(

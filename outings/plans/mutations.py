@@ -1,10 +1,16 @@
-"""Upserts and updates. Even events are the stored table, odd ones arrive as a batch."""
+"""Upserts and updates.
+
+What started before ``STORED_UNTIL`` is the stored table, one row per key. The
+whole events table then arrives as a batch with changed titles, so keys repeat,
+some are known and some are new.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from outings.bindings import AS_OF, with_model
+from outings.functions.times import ts
 from outings.operators import upsert as U
 from outings.operators.quality import event_checks, rejected_rows, valid_rows
 from outings.plans.registry import query
@@ -12,11 +18,12 @@ from outings.plans.registry import query
 KEYS = ["source", "source_id"]
 UPDATES = ["title", "description", "start_time", "end_time"]
 KEPT = ["id", "city_id"]
+STORED_UNTIL = "2024-01-03 00:00:00"
 
 _SPLIT = (
     ", stored AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_id "
-    "ORDER BY id DESC) AS n FROM acts_events WHERE id % 2 = 0) s WHERE n = 1), "
-    "batch AS (SELECT *, concat(title, ' new') AS new_title FROM acts_events WHERE id % 2 = 1), "
+    f"ORDER BY id DESC) AS n FROM acts_events WHERE start_time < TIMESTAMP '{STORED_UNTIL}') s "
+    "WHERE n = 1), batch AS (SELECT *, concat(title, ' new') AS new_title FROM acts_events), "
     "last_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_id "
     "ORDER BY id DESC) AS n FROM batch) b WHERE n = 1), "
     "first_of AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_id "
@@ -26,12 +33,9 @@ _SPLIT = (
 
 def _sides(t):
     columns = [*KEYS, *KEPT, *UPDATES, "vec_id"]
-    stored = U.dedupe_last(t.events.filter("id % 2 = 0").select(*columns), KEYS, "id")
-    batch = (
-        t.events.filter("id % 2 = 1")
-        .withColumn("title", F.concat("title", F.lit(" new")))
-        .select(*columns)
-    )
+    old = t.events.filter(F.col("start_time") < ts(STORED_UNTIL)).select(*columns)
+    stored = U.dedupe_last(old, KEYS, "id")
+    batch = t.events.withColumn("title", F.concat("title", F.lit(" new"))).select(*columns)
     return stored, batch
 
 
@@ -115,9 +119,12 @@ def lookup(t):
     )
 
 
-@query("dedupe_last", with_model(_SPLIT + "SELECT source, source_id, id, title FROM stored"))
+@query(
+    "dedupe_last",
+    with_model(_SPLIT + "SELECT source, source_id, id, new_title AS title FROM last_of"),
+)
 def last_version(t):
-    return _sides(t)[0].select(*KEYS, "id", "title")
+    return U.dedupe_last(_sides(t)[1], KEYS, "id").select(*KEYS, "id", "title")
 
 
 @query(
@@ -151,8 +158,7 @@ def staged(t):
 )
 def embedding_needed(t):
     stored, _ = _sides(t)
-    same_title = t.events.filter("id % 2 = 1")
-    return U.needs_embedding(same_title, stored, KEYS, "vec_id").select("id", "needs_embedding")
+    return U.needs_embedding(t.events, stored, KEYS, "vec_id").select("id", "needs_embedding")
 
 
 _DETAIL_SQL = (
