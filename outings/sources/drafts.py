@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from outings.functions.rules import string_array, type_from_filename
 from outings.functions.text import parse_int_or, parse_vibe_triple, split_tags
+from outings.sources.rows import explode_computed
 
 
 def read_drafts(spark: SparkSession, path: str) -> DataFrame:
@@ -24,12 +25,12 @@ def _labelled(entry: Column, label: str) -> Column:
 def markdown_places(drafts: DataFrame, text: str = "value", file: str = "file") -> DataFrame:
     """One row per entry: name, story, nudge, tags, vibes, location, price, category."""
     pieces = F.split(F.col(text), r"(?m)^## \d+\. ")
-    entries = F.slice(pieces, F.lit(2), F.size(pieces))
+    entries = F.filter(pieces, lambda _, i: i > 0)
     kept = [c for c in drafts.columns if c != text]
     entry = F.col("_entry")
     vibe = parse_vibe_triple(_labelled(entry, "Vibe"))
     tags = _labelled(entry, "Tags")
-    return drafts.select(*kept, F.posexplode(entries).alias("position", "_entry")).select(
+    return explode_computed(drafts, kept, entries, "_entry").select(
         *kept,
         "position",
         F.trim(F.regexp_extract(F.trim(entry), r"^([^\r\n]*)", 1)).alias("name"),

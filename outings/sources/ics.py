@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from outings.functions.times import parse_ics_date, parse_ics_date_zoned
+from outings.sources.rows import explode_computed
 
 PROPERTIES = ("SUMMARY", "DESCRIPTION", "LOCATION", "URL", "UID")
 
@@ -39,7 +40,7 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
     else:
         unfolded = F.regexp_replace(F.col(text), r"[ \t]*\r?\n[ \t]+", "")
     pieces = F.split(unfolded, r"(?m)^[ \t]*BEGIN:VEVENT[ \t]*\r?$")
-    blocks = F.slice(pieces, F.lit(2), F.size(pieces))
+    blocks = F.filter(pieces, lambda _, i: i > 0)
     closed = F.transform(blocks, lambda b: F.split(b, r"(?m)^[ \t]*END:VEVENT[ \t]*\r?$"))
     complete = F.filter(closed, lambda b: F.size(b) > 1)
 
@@ -82,6 +83,4 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
     # then reads finished values instead of repeating the parse below it.
     events = F.transform(F.transform(complete, properties), event)
     kept = [c for c in feeds.columns if c != text]
-    return feeds.select(*kept, F.posexplode(events).alias("position", "_e")).select(
-        *kept, "position", "_e.*"
-    )
+    return explode_computed(feeds, kept, events, "_e").select(*kept, "position", "_e.*")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from outings.functions.rules import ARTICLE_DEFAULT_CATEGORY
 from outings.functions.text import absolute_url, article_is_event
+from outings.sources.rows import explode_computed
 
 _SCRIPT = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
 _EVENT = "Event"
@@ -69,9 +70,9 @@ def jsonld_fields(v: Column) -> list[Column]:
 def jsonld_events(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per structured event: page columns, position, event fields."""
     kept = [c for c in pages.columns if c != html]
-    return pages.select(
-        *kept, F.posexplode(jsonld_objects(F.col(html))).alias("position", "_v")
-    ).select(*kept, "position", *jsonld_fields(F.col("_v")))
+    return explode_computed(pages, kept, jsonld_objects(F.col(html)), "_v").select(
+        *kept, "position", *jsonld_fields(F.col("_v"))
+    )
 
 
 # ---- cards ---------------------------------------------------------------------------------
@@ -279,8 +280,8 @@ def jsonld_card_match(pages: DataFrame, html: str = "html") -> DataFrame:
     Cards and events of a page sit in one row, so nothing is joined or shuffled.
     """
     kept = [c for c in pages.columns if c != html]
-    both = with_cards(pages, EVENT_CARDS, html).select(
-        *kept, "cards", F.posexplode(jsonld_objects(F.col(html))).alias("position", "_v")
+    both = explode_computed(
+        with_cards(pages, EVENT_CARDS, html), [*kept, "cards"], jsonld_objects(F.col(html)), "_v"
     )
     flat = both.select(*kept, "cards", "position", *jsonld_fields(F.col("_v")))
     return flat.withColumn("card", first_card(F.col("cards"), F.col("name"))).drop("cards")
