@@ -60,11 +60,6 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
         lines = F.transform(F.split(block, r"\r?\n"), lambda s: F.trim(s))
         return F.transform(F.filter(lines, lambda s: F.instr(s, ":") > 1), entry)
 
-    def when(props: Column, name: str) -> Column:
-        found = _last(props, name, prefix=not rfc)
-        value = found["value"]
-        return parse_ics_date_zoned(value, found["tzid"]) if rfc else parse_ics_date(value)
-
     def event(props: Column) -> Column:
         text_of = {n: _last(props, n)["value"] for n in PROPERTIES}
         commas = F.replace(text_of["LOCATION"], F.lit("\\,"), F.lit(","))
@@ -72,8 +67,8 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
         return F.struct(
             (_unescape(title, rfc) if rfc else title).alias("title"),
             _unescape(text_of["DESCRIPTION"], rfc).alias("description"),
-            when(props, "DTSTART").alias("start_time"),
-            when(props, "DTEND").alias("end_time"),
+            _last(props, "DTSTART", prefix=not rfc).alias("start"),
+            _last(props, "DTEND", prefix=not rfc).alias("end"),
             (_unescape(text_of["LOCATION"], rfc) if rfc else commas).alias("location"),
             text_of["URL"].alias("url"),
             text_of["UID"].alias("uid"),
@@ -83,4 +78,15 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
     # then reads finished values instead of repeating the parse below it.
     events = F.transform(F.transform(complete, properties), event)
     kept = [c for c in feeds.columns if c != text]
-    return explode_computed(feeds, kept, events, "_e").select(*kept, "position", "_e.*")
+
+    def when(point: Column) -> Column:
+        if rfc:
+            return parse_ics_date_zoned(point["value"], point["tzid"])
+        return parse_ics_date(point["value"])
+
+    e = F.col("_e")
+    return explode_computed(feeds, kept, events, "_e").select(
+        *kept, "position", e["title"].alias("title"), e["description"].alias("description"),
+        when(e["start"]).alias("start_time"), when(e["end"]).alias("end_time"),
+        e["location"].alias("location"), e["url"].alias("url"), e["uid"].alias("uid"),
+    )
