@@ -16,7 +16,7 @@ from outings.sources.sinks import SnapshotTable, append_log, export_places_csv,
 FEED = "\r\n".join(
     [
         "BEGIN:VCALENDAR", "SUMMARY:outside", "BEGIN:VEVENT", "SUMMARY:Open ", " Mic\\, late",
-        "DESCRIPTION:old", "DESCRIPTION;LANG=en:ignored", "DESCRIPTION:line\\none\\, two\; x",
+        "DESCRIPTION:old", "DESCRIPTION;LANG=en:ignored", "DESCRIPTION:line\\none\\, two\\; x",
         "DTSTART;TZID=America/Chicago:20240601T190000", "DTEND:20240601T210000Z",
         "LOCATION:Hall\\, Main", "UID:1", "BEGIN:VALARM", "DESCRIPTION:Reminder", "END:VALARM",
         "END:VEVENT", "BEGIN:VEVENT", "UID:2", "DTSTART:2024", "no colon here", "END:VEVENT",
