@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from outings.llm.textbytes import mix, prefix_hash, span_hash
+from outings.llm.textbytes import map_text, mix, prefix_hash, span_hash
 
 #: Results of the second tier kept per Python worker; the table starts anew when it is full.
 MEMO_ENTRIES = 400_000
@@ -179,40 +178,15 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _batches(batch: pa.RecordBatch, text: str, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    rows, size, first = [], 0, 0
-    for i, value in enumerate(batch.column(text)):
-        rows.append(value.as_py() or "")
-        size += len(rows[-1])
-        if size >= limit:
-            yield first, rows
-            rows, size, first = [], 0, i + 1
-    if rows:
-        yield first, rows
-
-
-def _mapped(docs: DataFrame, text: str, schema: T.StructType, make) -> DataFrame:
-    """Run ``make(texts)``, which gives the new columns, over the batches; other columns pass through."""
-    new = [f.name for f in schema]
-    keep = [f for f in docs.schema if f.name not in new]
-    kept = [f.name for f in keep]
-
-    def run(batches):
-        for batch in batches:
-            for first, texts in _batches(batch, text):
-                columns = make(texts)
-                rest = batch.slice(first, len(texts)).select(kept)
-                yield pa.RecordBatch.from_arrays([*rest.columns, *columns], [*kept, *new])
-
-    return docs.mapInArrow(run, T.StructType([*keep, *schema]))
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the token ids of each whole text."""
     schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
-    return _mapped(
-        docs, text, schema, lambda texts: [pa.array(ByteBpe.load(path, pattern).encode(texts), pa.list_(pa.int32()))]
-    )
+
+    def make(column):
+        ids = ByteBpe.load(path, pattern).encode([t or "" for t in column.to_pylist()])
+        return [pa.array(ids, pa.list_(pa.int32()))]
+
+    return map_text(docs, text, schema, make)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -231,23 +205,25 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFr
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField("decoded", T.BinaryType(), False)]))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
     """``docs`` with the number of ids, a digest of the ids and one of the bytes decoded from them.
 
-    Encoding and decoding in one pass: ids and bytes never leave the worker.
+    Encoding and decoding in one pass: ids and bytes never leave the worker. ``keep``: columns that stay.
     """
     schema = (
         T.StructType().add("n_tokens", "long", False).add("ids_sha256", "string", False)
         .add("decoded_sha256", "string", False)
     )
 
-    def make(texts):
+    def make(column):
         bpe = ByteBpe.load(path, pattern)
         counts, ids_hex, bytes_hex = [], [], []
-        for ids in bpe.encode(texts):
+        for ids in bpe.encode([t or "" for t in column.to_pylist()]):
             counts.append(len(ids))
             ids_hex.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
             bytes_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())]
 
-    return _mapped(docs, text, schema, make)
+    return map_text(docs, text, schema, make, keep)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outings.llm import bpe
+from outings.llm import bpe, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,4 +27,17 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, path: str) -> DataFrame:
     docs = table(spark, path, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+
+
+def _crc(name: str, modulus: int):
+    return F.crc32(F.col(name).cast("string").cast("binary")) % modulus
+
+
+@query
+def op1_language_id(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents")
+    held_out = F.coalesce(_crc("doc_id", 4) == 2, F.lit(True))
+    profiles = langid.fit(docs.filter(~held_out), "lang")
+    out = langid.predict(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

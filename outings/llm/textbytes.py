@@ -117,3 +117,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end, row = spans(_IN_WORD[data], offsets)
     sums, inv = prefix_hash(data)
     return span_hash(sums, inv, start, end), row
+
+
+def map_text(docs, text: str, schema, make, keep: list[str] | None = None, limit: int = CHUNK_BYTES):
+    """``docs`` with the columns of ``schema``, computed from the text column.
+
+    ``make`` gets an Arrow column of whole texts (nulls as they are) of about ``limit`` bytes and gives
+    the new columns. ``keep`` names the columns that stay (default: all); a new column replaces one of
+    the same name.
+    """
+    from pyspark.sql import types as T
+
+    new = [f.name for f in schema]
+    kept = [f for f in docs.schema if f.name not in new and (keep is None or f.name in keep)]
+    names = [f.name for f in kept]
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(names_in.index(text))
+            for first, end, _, _ in chunks(column, limit):
+                columns = make(column.slice(first, end - first))
+                rest = [batch.column(names_in.index(n)).slice(first, end - first) for n in names]
+                yield pa.RecordBatch.from_arrays([*rest, *columns], [*names, *new])
+
+    source = docs.select(*dict.fromkeys([*names, text]))
+    names_in = source.columns
+    return source.mapInArrow(run, T.StructType([*kept, *schema]))
