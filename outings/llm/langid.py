@@ -54,7 +54,10 @@ def letter_vector(code: int, dimensions: int) -> np.ndarray:
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Groups of texts, with their row numbers. A text longer than a group is cut at spaces."""
+    """Groups of texts, with their row numbers. A text longer than a group is cut at spaces.
+
+    No group has two pieces of one text.
+    """
     rows, group, size = [], [], 0
     for row, text in enumerate(texts):
         text = (text or "").lower()
@@ -65,7 +68,7 @@ def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
             end = min(len(text), at + CHARS)
             if end < len(text):
                 end = text.rfind(" ", at + 1, end) if " " in text[at + 1 : end] else end
-            if group and (size + end - at > CHARS or len(group) == TEXTS):
+            if group and (size + end - at > CHARS or len(group) == TEXTS or rows[-1] == row):
                 yield np.array(rows), group
                 rows, group, size = [], [], 0
             rows.append(row)
@@ -123,10 +126,28 @@ def bundle(texts: list[str | None], dimensions: int = DIMENSIONS) -> tuple[np.nd
             own = slice(None) if letters.shape[1] <= GRAMS else (index >= lo) & (index < lo + n)
             cells = owner[own].astype(np.int64) * n + (index[own] - lo)
             weight = np.bincount(cells, minlength=len(group) * n).reshape(len(group), n)
-            np.add.at(out, rows, weight.astype(np.float32) @ _bind(part, dimensions).astype(np.float32))
+            out[rows] += weight.astype(np.float32) @ _bind(part, dimensions).astype(np.float32)
     return out, count
 
 
+def _sum_by_label(texts: list[str | None], labels: list[str], dimensions: int) -> dict[str, np.ndarray]:
+    """Sum of each label's texts, every text scaled to one trigram in all (every piece of a very long one)."""
+    names = sorted(set(labels))
+    number = np.searchsorted(names, labels)
+    sums = np.zeros((len(names), dimensions))
+    for rows, group in _pieces(texts):
+        owner, index, letters = trigrams(group)
+        share = 1 / np.maximum(1, np.bincount(owner, minlength=len(group)))[owner]
+        label = number[rows][owner]
+        for lo in range(0, letters.shape[1], GRAMS):
+            part = letters[:, lo : lo + GRAMS]
+            n = part.shape[1]
+            own = (index >= lo) & (index < lo + n)
+            weight = np.bincount(label[own] * n + index[own] - lo, share[own], minlength=len(names) * n)
+            sums += weight.reshape(len(names), n).astype(np.float32) @ _bind(part, dimensions).astype(np.float32)
+    return dict(zip(names, sums, strict=True))
+
+
 def fit(docs: DataFrame, label: str, text: str = "text", dimensions: int = DIMENSIONS) -> dict[str, np.ndarray]:
     """Prototype of each language. Tasks bundle their own texts; one row per task, language and dimension is shuffled."""
 
@@ -135,11 +156,9 @@ def fit(docs: DataFrame, label: str, text: str = "text", dimensions: int = DIMEN
         for batch in batches:
             names = batch.column(0)
             for first, end, _, _ in chunks(batch.column(1)):
-                labels = np.array(names.slice(first, end - first).to_pylist(), object)
-                vectors, count = bundle(batch.column(1).slice(first, end - first).to_pylist(), dimensions)
-                for name in set(labels[count > 0]):
-                    own = (labels == name) & (count > 0)
-                    total = (vectors[own] / count[own, None]).sum(axis=0, dtype=np.float64)
+                labels = names.slice(first, end - first).to_pylist()
+                texts = batch.column(1).slice(first, end - first).to_pylist()
+                for name, total in _sum_by_label(texts, labels, dimensions).items():
                     sums[name] = sums.get(name, 0) + total
         for name, total in sums.items():
             yield pa.RecordBatch.from_arrays(
