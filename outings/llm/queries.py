@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import bpe, langid
+from outings.llm import bpe, langid, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,3 +41,14 @@ def op1_language_id(spark: SparkSession, path: str) -> DataFrame:
     profiles = langid.fit(docs.filter(~held_out), "lang")
     out = langid.predict(docs.select("doc_id", "text"), profiles, keep=["doc_id"])
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_crc("doc_id", 5) == 0, F.lit(True))
+    model = toxicity.fit(docs, table(spark, path, "labels").filter(~held_out))
+    out = toxicity.predict(docs, model, keep=["doc_id"])
+    return out.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
