@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import bpe, langid, toxicity
+from outings.llm import bpe, decontaminate, langid, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op5_toxicity(spark: SparkSession, path: str) -> DataFrame:
     return out.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op6_decontaminate(spark: SparkSession, path: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, path, "documents"), table(spark, path, "benchmark"))
