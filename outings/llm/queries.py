@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import bpe, decontaminate, langid, toxicity
+from outings.llm import bpe, decontaminate, langid, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op5_toxicity(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op6_decontaminate(spark: SparkSession, path: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, path, "documents"), shingle=2, percent=80)
