@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.textbytes import chunks, prefix_hash, span_hash
+from outings.llm.textbytes import chunks, keep_rows, prefix_hash, span_hash
 
 Q = 10
 RATE = 0.08
@@ -187,23 +187,54 @@ def find_passages(
 ) -> DataFrame:
     """One row per document and item that occurs in it: ``doc_id``, ``item_id``, ``edits`` (the fewest), and the bytes
     ``start`` to ``end`` of the lower-cased text where the occurrence was found."""
-    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
-    passes = max(1, -(-total // PASS_BYTES))
     schema = T.StructType(
         [
-            T.StructField("doc_id", docs.schema[id].dataType), T.StructField("item_id", items.schema["i"].dataType),
+            T.StructField("doc_id", docs.schema[id].dataType), T.StructField("item_id", benchmark.schema[item_id].dataType),
             T.StructField("edits", T.IntegerType()), T.StructField("start", T.LongType()),
             T.StructField("end", T.LongType()),
         ]
     )
     out = None
+    for index in _indexes(benchmark, item_id, item_text, q, rate):
+        part = docs.select(id, text).mapInArrow(_searcher(index), schema)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def keep_clean(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    q: int = Q,
+    rate: float = RATE,
+) -> DataFrame:
+    """The rows of ``docs`` in whose text no item occurs."""
+    for index in _indexes(benchmark, item_id, item_text, q, rate):
+        docs = keep_rows(docs, text, _cleaner(index))
+    return docs
+
+
+def _indexes(benchmark: DataFrame, item_id: str, item_text: str, q: int, rate: float):
+    """Broadcast indexes of the passes."""
+    items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
+    passes = max(1, -(-total // PASS_BYTES))
     for number in range(passes):
         rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == number).sort("i", "t").collect()
         index = Index.build([r.i for r in rows], [r.t for r in rows], q, rate)
-        part = docs.select(id, text).mapInArrow(_searcher(docs.sparkSession.sparkContext.broadcast(index)), schema)
-        out = part if out is None else out.unionAll(part)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
+def _cleaner(shared):
+    def decide(column):
+        keep = np.ones(len(column), bool)
+        for first, _, data, offsets in chunks(pc.utf8_lower(column)):
+            keep[[first + row for row, *_ in shared.value.search(data, offsets)]] = False
+        return keep
+
+    return decide
 
 
 def _searcher(shared):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.textbytes import chunks, map_text
+from outings.llm.textbytes import chunks, keep_rows, map_text
 
 DIMENSIONS = 2048
 SEED = 20_240
@@ -188,19 +188,29 @@ def predict(
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the cosine with that language's prototype (0 to 1)."""
     schema = T.StructType().add("lang_pred", "string", False).add("score", "double", False)
+    classify = _classifier(prototypes)
+    return map_text(docs, text, schema, lambda column: [pa.array(x) for x in classify(column)], keep)
+
+
+def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language."""
+    classify = _classifier(prototypes)
+    return keep_rows(docs, text, lambda column: np.array(classify(column)[0], object) != UNKNOWN)
+
+
+def _classifier(prototypes: dict[str, np.ndarray]):
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else None
 
-    def make(column):
+    def classify(column: pa.Array) -> tuple[list[str], list[float]]:
         if matrix is None:
-            return [pa.array([UNKNOWN] * len(column)), pa.array([0.0] * len(column))]
+            return [UNKNOWN] * len(column), [0.0] * len(column)
         vectors, count = bundle(column.to_pylist(), matrix.shape[1])
         norm = np.linalg.norm(vectors, axis=1)
         cosine = (vectors @ matrix.T).astype(np.float64) / np.where(norm > 0, norm, 1)[:, None]
         best = np.round(cosine, 6).argmax(axis=1)
-        score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
         found = count > 0
-        labels = [names[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)]
-        return [pa.array(labels, pa.string()), pa.array(np.where(found, score, 0.0))]
+        score = np.where(found, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
+        return [names[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)], score.tolist()
 
-    return map_text(docs, text, schema, make, keep)
+    return classify

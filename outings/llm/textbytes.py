@@ -143,3 +143,19 @@ def map_text(docs, text: str, schema, make, keep: list[str] | None = None, limit
     source = docs.select(*dict.fromkeys([*names, text]))
     names_in = source.columns
     return source.mapInArrow(run, T.StructType([*kept, *schema]))
+
+
+def keep_rows(docs, text: str, decide, limit: int = CHUNK_BYTES):
+    """The rows of ``docs`` whose text ``decide`` keeps, with all their columns.
+
+    ``decide`` gets an Arrow column of whole texts (nulls as they are) and gives one boolean per row.
+    """
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            for first, end, _, _ in chunks(batch.column(at), limit):
+                rows = batch.slice(first, end - first)
+                yield rows.filter(pa.array(decide(rows.column(at))))
+
+    return docs.mapInArrow(run, docs.schema)

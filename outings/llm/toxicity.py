@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.textbytes import chunks, map_text, mix, prefix_hash, span_hash, spans
+from outings.llm.textbytes import chunks, keep_rows, map_text, mix, prefix_hash, span_hash, spans
 
 ORDER = 7
 #: Discounts of counts of one, two and more (modified Kneser-Ney). They are higher than those that predict best:
@@ -265,3 +265,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     return map_text(
         docs, text, schema, lambda column: [pa.array(shared.value.score(shared.value.evidence(column)))], keep
     )
+
+
+def keep_ordinary(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(
+        docs, text, lambda column: shared.value.score(shared.value.evidence(column)) < threshold
+    )
