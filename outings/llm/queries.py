@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import bpe, decontaminate, langid, neardup, toxicity
+from outings.llm import bpe, decontaminate, hilbert, langid, neardup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -62,3 +62,12 @@ def op6_decontaminate(spark: SparkSession, path: str) -> DataFrame:
 @query
 def op4_near_duplicates(spark: SparkSession, path: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, path, "documents"), shingle=2, percent=80)
+
+
+@query
+def op7_hilbert_shards(spark: SparkSession, path: str) -> DataFrame:
+    rows = hilbert.assign(table(spark, path, "documents"), shards=8)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve", *[c for c in rows.columns if c.startswith("bin_")],
+    )
