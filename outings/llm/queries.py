@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import bpe, chat, decontaminate, hilbert, langid, neardup, toxicity
+from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, neardup, toxicity
 from outings.llm.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op9_chat_format(spark: SparkSession, path: str) -> DataFrame:
     return chat.read_back(written(formatted, "formatted"))
 
 
+@query
+def op2_nearest_vectors(spark: SparkSession, path: str) -> DataFrame:
+    vectors = table(spark, path, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 #: The control strings that are escaped, each of which makes a text five characters longer.
 _ADDED = " + ".join(
     f"5 * (length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL
