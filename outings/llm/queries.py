@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, neardup, toxicity
+from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, neardup, toxicity
 from outings.llm.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,14 @@ def op2_nearest_vectors(spark: SparkSession, path: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
 
 
+@query
+def op8_lm_score(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = lmscore.score(docs, _crc("doc_id", 7) != 2, ranks, public_tokenizers.PATTERN)
+    return out.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 #: The control strings that are escaped, each of which makes a text five characters longer.
 _ADDED = " + ".join(
     f"5 * (length(t) - length(replace(t, '{c}', ''))) // {len(c)}" for c in chat.CONTROL
