@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -163,8 +164,8 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, id: str = "do
     pairs = np.zeros((attention.SINGLE + attention.CLUSTERS, speller.n_ids), np.float32)
     found = counts.filter("kind = 1").select("key", "n").toPandas()  # at most classes times ids
     pairs.reshape(-1)[found["key"].to_numpy()] = found["n"].to_numpy()
-    model = attention.start(speller.n_ids, class_of, attention.within_class(pairs, class_of))
-    model = attention.train(model, inputs, targets, lengths)
+    model = _trained(spark, attention.start(speller.n_ids, class_of, None), inputs, targets, lengths)
+    model.within = attention.within_class(pairs, class_of)
     least = _least_frequent(words)
     frequent = words.filter(F.col("n") >= least).toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
@@ -214,6 +215,19 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, id: str = "do
     )
 
 
+def _trained(spark, model: attention.Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> attention.Model:
+    """The model trained on the sample, by one task: numpy has one thread there, and the driver stays free."""
+    shared = spark.sparkContext.broadcast((model, inputs, targets, lengths))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                trained = pickle.dumps(attention.train(*shared.value))
+                yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], ["model"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first().model)
+
+
 def _least_frequent(words: DataFrame) -> int:
     """Smallest count such that at most ``FREQUENT`` words reach it."""
     held = 0
