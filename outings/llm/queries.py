@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, neardup, toxicity
+from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, neardup, tokenfile, toxicity
 from outings.llm.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,10 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
+
+
+@query
+def op3_token_files(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select("doc_id", "text")
+    files = tokenfile.write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokenfile.read_files(files)
