@@ -38,8 +38,8 @@ BAND = 6
 BANDS = BUCKETS // BAND
 #: Chance that different minima of a bucket have equal registers: equal zeros (1/3) and mantissa bits.
 COLLISION = 2.0**-MANTISSA / 3
-#: Rows of a block on either side of a comparison.
-LEFT_ROWS, RIGHT_ROWS = 256, 512
+#: Rows of a block on either side of a comparison, and rows that one call compares.
+LEFT_ROWS, RIGHT_ROWS, CALL_ROWS = 128, 256, 384
 
 _order = np.argsort(np.random.default_rng(4).random((BUCKETS, BUCKETS)), axis=1).argsort(axis=1).astype(np.int16)
 
@@ -126,18 +126,16 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int)
 
 
 def _verify(percent: int, first_band: bool):
-    """Links between the rows of a left and a right block; one that would only close a circle may be left out."""
+    """Links between the left and right rows of each unit; one that would only close a circle may be left out."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(left) and len(right):
-            a, b = ([np.frombuffer(r, np.uint16) for r in side["regs"]] for side in (left, right))
-            a, b = np.stack(a), np.stack(b)
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            node_a, node_b = left["node"].to_numpy(), right["node"].to_numpy()
-            comp_a, comp_b = left["component"].tolist(), right["component"].tolist()
-            sets_a = [np.frombuffer(h, np.uint64) for h in left["hashes"]]
-            sets_b = [np.frombuffer(h, np.uint64) for h in right["hashes"]]
+            left, right = (side.sort_values("unit", kind="stable") for side in (left, right))
+            regs_a, regs_b = (np.stack([np.frombuffer(r, np.uint16) for r in side["regs"]]) for side in (left, right))
+            sets_a, sets_b = ([np.frombuffer(h, np.uint64) for h in side["hashes"]] for side in (left, right))
+            n_a, n_b, node_a, node_b = (side[c].to_numpy() for c in ("n", "node") for side in (left, right))
+            comp_a, comp_b, number = left["component"].tolist(), right["component"].tolist(), left["number"].to_numpy()
             root: dict[int, int] = {}
 
             def find(x):
@@ -146,26 +144,39 @@ def _verify(percent: int, first_band: bool):
                     x = up
                 return x
 
-            for i in range(len(left)):
-                small, large = np.minimum(na[i], nb), np.maximum(na[i], nb)
+            for i, j in _pairs(left["unit"].to_numpy(), right["unit"].to_numpy()):
+                small, large = np.minimum(n_a[i], n_b[j]), np.maximum(n_a[i], n_b[j])
+                near = (100 * small >= percent * large) & (node_a[i] != node_b[j])
+                i, j, small = i[near], j[near], small[near]
                 slack = 6 * np.sqrt(percent * (100 - percent) / 1e4 / np.minimum(BUCKETS, small))
-                near = (100 * small >= percent * large) & (node_b != node_a[i])
-                near &= estimate((b == a[i]).sum(axis=1)) >= percent / 100 - slack
-                for j in np.flatnonzero(near).tolist():
-                    x, y = find(comp_a[i]), find(comp_b[j])
-                    if x == y:
+                near = estimate((regs_a[i] == regs_b[j]).sum(axis=1)) >= percent / 100 - slack
+                for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                    one, two = find(comp_a[x]), find(comp_b[y])
+                    if one == two or first_band and not _first_band(regs_a[x], regs_b[y], number[x]):
                         continue
-                    if first_band and not _first_band(a[i], b[j], left["number"].iat[i]):
-                        continue
-                    both = len(np.intersect1d(sets_a[i], sets_b[j], assume_unique=True))
-                    if 100 * both >= percent * (len(sets_a[i]) + len(sets_b[j]) - both):
-                        root[max(x, y)] = min(x, y)
-                        out.append((int(node_a[i]), int(node_b[j])))
+                    both = len(np.intersect1d(sets_a[x], sets_b[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets_a[x]) + len(sets_b[y]) - both):
+                        root[max(one, two)] = min(one, two)
+                        out.append((int(node_a[x]), int(node_b[y])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _pairs(left: np.ndarray, right: np.ndarray, limit: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the pairs of left and right rows with equal (sorted) units, some thousand at a time."""
+    lo, hi = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    count = hi - lo
+    begin, ends = 0, np.cumsum(count)
+    while begin < len(left):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + limit, "right")))
+        own = count[begin:end]
+        i = np.repeat(np.arange(begin, end), own)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(own) - own, own) + lo[i]
+        begin = end
+
+
 def _first_band(a: np.ndarray, b: np.ndarray, key: int) -> bool:
     """Whether the band with this key is the first that the two share; each pair counts in one bucket."""
     shared = np.flatnonzero((a == b)[: BANDS * BAND].reshape(BANDS, BAND).all(axis=1))
@@ -173,23 +184,32 @@ def _first_band(a: np.ndarray, b: np.ndarray, key: int) -> bool:
 
 
 def _compare(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, first_band: bool = False) -> DataFrame:
-    """Links between left and right rows (``number``, ``node``, ``component``) of the same number, block by block."""
+    """Links between left and right rows (``number``, ``node``, ``component``) of the same number.
+
+    Both sides of a number are dealt into blocks; a left and a right block are a unit. A call works on about
+    ``CALL_ROWS`` rows of many small units or few large ones. (Should two units share their hash, some more pairs are
+    verified.)
+    """
     sizes = (
         left.groupBy("number").agg(F.count("*").alias("l"), F.lit(0).alias("r"))
         .unionAll(right.groupBy("number").agg(F.lit(0).alias("l"), F.count("*").alias("r")))
-        .groupBy("number").agg(
-            F.ceil(F.sum("l") / LEFT_ROWS).cast("int").alias("nl"), F.ceil(F.sum("r") / RIGHT_ROWS).cast("int").alias("nr")
-        )
-        .filter("nl > 0 AND nr > 0")
+        .groupBy("number").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).filter("l > 0 AND r > 0")
+        .withColumn("nl", F.ceil(F.col("l") / LEFT_ROWS).cast("int"))
+        .withColumn("nr", F.ceil(F.col("r") / RIGHT_ROWS).cast("int"))
     )
+    sizes = written(sizes, "sizes")
+    rows = sizes.agg(F.coalesce(F.sum(F.expr("l * nr + r * nl")), F.lit(0)).alias("n")).first().n
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sizes = sizes.select("number", "nl", "nr")
     a = left.join(sizes, "number").withColumn("i", spot("nl")).withColumn("j", every("nr"))
     b = right.join(sizes, "number").withColumn("j", spot("nr")).withColumn("i", every("nl"))
 
-    def side(rows):
-        rows = rows.drop("nl", "nr").join(sets, "node")
-        return rows.toDF(*rows.columns).groupBy("number", "i", "j")  # names of its own for either side
+    def side(rows_of):
+        unit = F.xxhash64("number", "i", "j")
+        out = rows_of.select("number", "node", "component", unit.alias("unit")).join(sets, "node")
+        out = out.withColumn("call", F.pmod(F.col("unit"), F.lit(rows // CALL_ROWS + 1)))
+        return out.toDF(*out.columns).groupBy("call")  # names of its own for either side
 
     return side(a).cogroup(side(b)).applyInPandas(_verify(percent, first_band), "a long, b long")
 
