@@ -35,7 +35,7 @@ PLACE_COLUMNS = [
     "CASE p_partkey % 10 WHEN 0 THEN 'CLOSED_TEMPORARILY' WHEN 1 THEN NULL "
     "ELSE 'OPERATIONAL' END AS business_status",
     "p_partkey % 19 <> 0 AS is_active",
-    "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 500 END AS vec_id",
+    "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey % {vectors} END AS vec_id",
     "CAST(p_partkey % 7 AS INT) AS closed_day",
     "CAST(700 + 100 * (p_partkey % 5) AS INT) AS open_hhmm",
     "CASE WHEN p_partkey % 6 = 0 THEN 200 "
@@ -71,7 +71,7 @@ EVENT_COLUMNS = [
     "value AS price_min",
     "concat('src', CAST(user_id % 4 AS STRING)) AS source",
     "concat(event_type, '-', CAST(user_id AS STRING)) AS source_id",
-    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 500 END AS vec_id",
+    "CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % {vectors} END AS vec_id",
     "event_id % 19 <> 0 AS is_active",
 ]
 
@@ -87,7 +87,7 @@ REQUEST_COLUMNS = [
     "WHEN 1 THEN split('music,food,hot', ',') ELSE split('bolt', ',') END AS tags",
     "c_custkey % 2 = 0 AS kid_friendly",
     "c_custkey % 3 = 0 AS low_energy",
-    "c_custkey % 500 AS vec_id",
+    "c_custkey % {vectors} AS vec_id",
 ]
 
 CITY_COLUMNS = [
@@ -145,6 +145,11 @@ def bound_hours() -> Column:
     )
 
 
+def bound(columns: list[str], vectors: int | str) -> list[str]:
+    """Column expressions with the number of stored vectors put in, so that rows refer to all of them."""
+    return [c.replace("{vectors}", str(vectors)) for c in columns]
+
+
 class Tables:
     """Model tables, bound lazily; only the columns a query uses are read."""
 
@@ -155,22 +160,27 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @cached_property
+    def vectors(self) -> int:
+        """Number of stored vectors, at least one; read from the files' footers."""
+        return max(1, self.raw("embeddings").count())
+
     @cached_property
     def cities(self) -> DataFrame:
         return self.raw("region").selectExpr(*CITY_COLUMNS)
 
     @cached_property
     def places(self) -> DataFrame:
-        bound = self.raw("part").selectExpr(*PLACE_COLUMNS)
-        return bound.withColumn("hours", bound_hours())
+        places = self.raw("part").selectExpr(*bound(PLACE_COLUMNS, self.vectors))
+        return places.withColumn("hours", bound_hours())
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.raw("events").selectExpr(*EVENT_COLUMNS)
+        return self.raw("events").selectExpr(*bound(EVENT_COLUMNS, self.vectors))
 
     @cached_property
     def requests(self) -> DataFrame:
-        return self.raw("customer").selectExpr(*REQUEST_COLUMNS)
+        return self.raw("customer").selectExpr(*bound(REQUEST_COLUMNS, self.vectors))
 
     @cached_property
     def rec_log(self) -> DataFrame:
@@ -191,7 +201,7 @@ class Tables:
 
 
 def _cte(name: str, columns, source: str) -> str:
-    body = ",\n  ".join(columns)
+    body = ",\n  ".join(bound(columns, "(SELECT greatest(1, count(*)) FROM embeddings)"))
     return f"{name} AS (SELECT {body}\nFROM {source})"
 
 

@@ -12,8 +12,6 @@ from outings.functions.vectors import cosine_similarity, norm, vector_literal
 from outings.operators.blocks import blocked_topk
 from outings.operators.recommend import unit_matrix
 
-MAX_LISTS = 4096
-
 
 def semantic_scores(items: DataFrame, vector, embedding: str = "embedding") -> DataFrame:
     """All items with a vector, with their ``similarity`` to one query vector."""
@@ -62,8 +60,8 @@ def nearest(
 
 
 def list_count(n: int) -> int:
-    """A tenth of the rows as for a database index, bounded: all centres go to every task."""
-    return max(1, min(math.ceil(n / 10), MAX_LISTS))
+    """A tenth of the rows, the rule of thumb for a database index. Every task holds all centres."""
+    return max(1, math.ceil(n / 10))
 
 
 def assign_lists(items: DataFrame, n_lists: int, seed: int = 1, iterations: int = 10):
@@ -104,7 +102,8 @@ def ivf_topk(
     """Approximate nearest items: probe the nearest lists, rank their members exactly.
 
     All members of a probed list are ranked; a list of any size is cut into
-    blocks. With ``n_probe >= n_lists`` the result is exact.
+    blocks. With ``n_probe >= n_lists`` the result is exact. ``n_lists`` defaults to ``list_count``;
+    for many millions of items give a number whose centres fit into a task.
     """
     n_lists = n_lists or list_count(items.filter(F.col("embedding").isNotNull()).count())
     members, centres = assign_lists(items, n_lists)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outings.bindings import AS_OF, EVENT_COLUMNS, with_model
+from outings.bindings import AS_OF, EVENT_COLUMNS, bound, with_model
 from outings.operators.ingest import KEYS
 from outings.plans.landing import CALENDAR_SQL, feed_texts
 from outings.plans.registry import query
@@ -21,7 +21,7 @@ def _files(t, name: str) -> str:
 def _event_stream(t):
     """The events table as a stream of its files."""
     raw = S.table_stream(t.spark, _files(t, "events"), t.raw("events").schema)
-    return raw.selectExpr(*EVENT_COLUMNS)
+    return raw.selectExpr(*bound(EVENT_COLUMNS, t.vectors))
 
 
 @query("stream_ingest", with_model(CALENDAR_SQL))
@@ -29,7 +29,9 @@ def stream_ingest(t):
     work = shared_dir(t.spark, "ingest")
     table = SnapshotTable(t.spark, f"{work}/table")
     feeds = feed_texts(_event_stream(t))
-    S.start_ingest(feeds, table, f"{work}/state", "cal", 1, AS_OF, seq="id").awaitTermination()
+    S.start_ingest(
+        feeds, table, f"{work}/state", "cal", 1, AS_OF, f"{work}/rejected", seq="id"
+    ).awaitTermination()
     return table.read().select(
         "source_id", "title", "slug", "vibe_quiet", "vibe_inside", "vibe_active",
         F.array_join("tags", ",").alias("tags"), "start_time",
@@ -57,7 +59,7 @@ def drain(t):
         return batch.select(*KEYS, payload.alias("p")).select(*KEYS, "p.id", "p.title")
 
     S.drain_staging(
-        staged, table, f"{work}/state", to_rows, KEYS, ["id", "title"], "id", AS_OF
+        staged, table, f"{work}/state", to_rows, KEYS, ["id", "title"], "id", AS_OF, f"{work}/rejected"
     ).awaitTermination()
     return table.read().select(*KEYS, "id", "title")
 
@@ -65,13 +67,26 @@ def drain(t):
 @query("stream_dedupe", with_model("SELECT DISTINCT source, source_id FROM acts_events"))
 def stream_dedupe(t):
     work = shared_dir(t.spark, "dedupe")
-    unique = S.dedupe_stream(
-        _event_stream(t).select(*KEYS, "start_time"), KEYS, "start_time", "60 days"
-    )
-    S.write_rows(unique, f"{work}/rows", f"{work}/state").awaitTermination()
+    stream = _event_stream(t).select(*KEYS, "start_time")
+    S.dedupe_stream(stream, KEYS, f"{work}/rows", f"{work}/state").awaitTermination()
     return t.spark.read.parquet(f"{work}/rows").select(*KEYS)
 
 
+@query(
+    "stream_rejected",
+    with_model("SELECT id, 'missing title' AS reason FROM acts_events WHERE id % 7 = 0"),
+)
+def stream_rejected(t):
+    """What the ingest stream sets aside when every seventh event has no title."""
+    work = shared_dir(t.spark, "rejected")
+    events = _event_stream(t).withColumn("title", F.when(F.col("id") % 7 != 0, F.col("title")))
+    table = SnapshotTable(t.spark, f"{work}/table")
+    S.start_ingest(
+        feed_texts(events), table, f"{work}/state", "cal", 1, AS_OF, f"{work}/rejected", seq="id"
+    ).awaitTermination()
+    return t.spark.read.parquet(f"{work}/rejected").select("id", "reason")
+
+
 @query(
     "stream_weekly",
     with_model(

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from outings.operators.ingest import calendar_events, upsert_calendar
+from outings.operators.quality import missing, rejected_rows, valid_rows
 from outings.operators.upsert import apply_feedback, upsert
 from outings.sources.ics import ics_events
 from outings.sources.sinks import SnapshotTable
@@ -36,6 +39,10 @@ def kept(rows: DataFrame) -> Iterator[DataFrame]:
         stored.unpersist()
 
 
+def _set_aside(rows: DataFrame, path: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def _run(stream: DataFrame, each: Callable, checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.outputMode(mode)
@@ -48,16 +55,18 @@ def _run(stream: DataFrame, each: Callable, checkpoint: str, mode: str = "append
 
 def start_ingest(
     feeds: DataFrame, target: SnapshotTable, checkpoint: str, source: str, city_id: int, as_of,
-    seq: str = "position", rfc: bool = False,
+    rejected: str, seq: str = "position", rfc: bool = False,
 ) -> StreamingQuery:
     """New feed texts -> events -> tags and vibe -> upsert by (source, source_id).
 
     A batch that is replayed after a failure writes the same rows again, so the
-    result does not change.
+    result does not change. Rows without title or start are written below ``rejected`` with
+    their ``reason``, one folder per batch.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        rows, _rejected = calendar_events(ics_events(batch, rfc=rfc), source, city_id)
+    def merge(batch: DataFrame, number: int) -> None:
+        rows, bad = calendar_events(ics_events(batch, rfc=rfc), source, city_id)
+        _set_aside(bad, rejected, number)
         with kept(rows) as rows:
             target.write(upsert_calendar(target.read(), rows, seq, as_of))
 
@@ -66,26 +75,43 @@ def start_ingest(
 
 def drain_staging(
     staged: DataFrame, target: SnapshotTable, checkpoint: str, to_rows: Callable,
-    keys: list[str], update_cols: list[str], seq: str, as_of,
+    keys: list[str], update_cols: list[str], seq: str, as_of, rejected: str,
 ) -> StreamingQuery:
-    """Process staged rows once each; the checkpoint takes the place of a processed flag."""
+    """Process staged rows once each; the checkpoint takes the place of a processed flag.
 
-    def merge(batch: DataFrame, _: int) -> None:
+    Rows without one of the keys are written below ``rejected`` with their ``reason``.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
         known = target.read()
-        with kept(to_rows(batch)) as rows:
+        checks = missing(*keys)
+        _set_aside(rejected_rows(to_rows(batch), checks), rejected, number)
+        with kept(valid_rows(to_rows(batch), checks)) as rows:
             known = rows.limit(0) if known is None else known
             target.write(upsert(known, rows, keys, update_cols, seq, as_of=as_of))
 
     return _run(staged, merge, checkpoint)
 
 
-def dedupe_stream(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """Drop repeats of a key that arrive within ``delay``; state older than that is freed."""
-    return (
-        stream.withColumn(time, F.col(time).cast("timestamp"))
-        .withWatermark(time, delay)
-        .dropDuplicatesWithinWatermark(keys)
-    )
+def dedupe_stream(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Append rows whose key is not stored yet, one row per key.
+
+    The stored keys take the place of state with a time limit: nothing is late, however far apart the
+    rows' times are, and no state grows in memory. A batch only adds files; a replayed one
+    replaces its own folder. NULL keys are equal.
+    """
+    spark, schema = stream.sparkSession, T.StructType([*stream.schema, T.StructField("batch", T.LongType())])
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(keys)
+        if number:
+            stored = spark.read.schema(schema).parquet(path)
+            stored = stored.filter(F.col("batch") < number).select(*keys)
+            same = reduce(and_, (rows[k].eqNullSafe(stored[k]) for k in keys))
+            rows = rows.join(stored, same, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return _run(stream, merge, checkpoint)
 
 
 def weekly_stream(events: DataFrame, as_of, delay: str = "1 day") -> DataFrame:
