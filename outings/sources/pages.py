@@ -264,9 +264,9 @@ def event_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def first_card(cards: Column, name: Column) -> Column:
-    """First card whose title holds the first 20 characters of ``name``, ignoring case."""
-    start = F.substring(F.lower(name), 1, 20)
+def first_card(cards: Column, name: Column, prefix: int = 20) -> Column:
+    """First card whose title holds the first ``prefix`` characters of ``name``, ignoring case."""
+    start = F.substring(F.lower(name), 1, prefix)
     hits = F.filter(
         cards,
         lambda c: (F.coalesce(name, F.lit("")) != "") & F.lower(c["title"]).contains(start),
