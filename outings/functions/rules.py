@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+# Words of two categories.
 MUSIC = ("music", "concert", "band", "jazz", "rock", "dj")
 COMEDY = ("comedy", "comedian", "standup", "improv")
 
@@ -96,6 +97,7 @@ FILE_CATEGORIES = (
     ("nature", "trail"),
 )
 
+# Words that make an article an event.
 ARTICLE_EVENT_WORDS = ("event", "happening", "festival", "concert", "show", "market")
 
 # Words that mark opening hours as seasonal.
@@ -107,6 +109,7 @@ SEASONAL_HOURS_WORDS = (
 # Sunset per month, January to December, as HHMM.
 SUNSET_HHMM = (1630, 1700, 1800, 1900, 1945, 2015, 2015, 1945, 1845, 1745, 1645, 1615)
 
+# Tags of winter activities.
 WINTER_TAGS = ("ice-skating", "skiing", "winter-sports")
 
 
@@ -191,6 +194,7 @@ def _first_group(tags: Column, groups, default: float = 0.5) -> Column:
     return out.otherwise(F.lit(default))
 
 
+# Tags that set the vibe.
 LOUD = ("music", "nightlife", "social", "sports")
 CALM = ("art", "lectures", "film")
 
@@ -281,7 +285,7 @@ def event_vibe_active(tags: Column, low_energy: Column) -> Column:
 
 def tagged_seasons(
     name: Column, category: Column, story: Column, nudge: Column, tags: Column, current: Column,
-    summer_fall_pattern: str = "%pope farm%",
+    summer_fall_pattern: str,
 ) -> Column:
     """Season list: category rule, then name rule, then what is set, then the text rules."""
     nothing = F.lit(False)

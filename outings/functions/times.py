@@ -71,11 +71,13 @@ def parse_event_date(text: Column, published: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) != "", found)
 
 
+# Forms of a clock time, the more exact one first.
+CLOCK_FORMS = (r"(?i)(\d{1,2}):(\d{2})\s*(am|pm)", r"(?i)(\d{1,2})\s*(am|pm)")
+
+
 def extract_time(text: Column) -> Column:
     """First ``h:mm am/pm``, else first ``h am/pm``; the whole match."""
-    with_minutes = F.regexp_extract(text, r"(?i)(\d{1,2}):(\d{2})\s*(am|pm)", 0)
-    hour_only = F.regexp_extract(text, r"(?i)(\d{1,2})\s*(am|pm)", 0)
-    return F.coalesce(F.nullif(with_minutes, F.lit("")), F.nullif(hour_only, F.lit("")))
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, form, 0), F.lit("")) for form in CLOCK_FORMS])
 
 
 def clamp_request_date(t: Column, as_of: Column) -> Column:

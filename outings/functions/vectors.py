@@ -104,17 +104,24 @@ def preference_text(
     )
 
 
-def _joined(*parts: Column, limit: int = 8000) -> Column:
-    """Non-empty parts with blank lines between, cut where the model's input ends."""
-    return F.substring(F.concat_ws("\n\n", *[_non_blank(p) for p in parts]), 1, limit)
+def _joined(*parts: Column, limit: int | None) -> Column:
+    """Non-empty parts with blank lines between, cut at ``limit`` characters if the model has such a bound."""
+    whole = F.concat_ws("\n\n", *[_non_blank(p) for p in parts])
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
-def place_text(name: Column, story: Column, nudge: Column, tags: Column) -> Column:
-    return _joined(name, story, nudge, F.array_join(tags, ", "))
+def place_text(
+    name: Column, story: Column, nudge: Column, tags: Column, limit: int | None = None
+) -> Column:
+    return _joined(name, story, nudge, F.array_join(tags, ", "), limit=limit)
 
 
-def event_text(title: Column, description: Column, categories: Column, tags: Column) -> Column:
-    return _joined(title, description, F.array_join(categories, ", "), F.array_join(tags, ", "))
+def event_text(
+    title: Column, description: Column, categories: Column, tags: Column, limit: int | None = None
+) -> Column:
+    return _joined(
+        title, description, F.array_join(categories, ", "), F.array_join(tags, ", "), limit=limit
+    )
 
 
 # ---- embedding -----------------------------------------------------------------------------

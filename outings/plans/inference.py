@@ -340,8 +340,8 @@ def preference_texts(t):
 
 @query(
     "place_text",
-    "SELECT doc_id AS id, substring(concat_ws(chr(10) || chr(10), nullif(source, ''), "
-    "nullif(text, ''), 'small, ring'), 1, 8000) AS body FROM documents",
+    "SELECT doc_id AS id, concat_ws(chr(10) || chr(10), nullif(source, ''), "
+    "nullif(text, ''), 'small, ring') AS body FROM documents",
 )
 def place_texts(t):
     body = place_text(
@@ -354,8 +354,8 @@ def place_texts(t):
 @query(
     "event_text",
     with_model(
-        "SELECT id, substring(concat_ws(chr(10) || chr(10), title, description, "
-        "array_to_string(tags, ', ')), 1, 8000) AS body FROM acts_events"
+        "SELECT id, concat_ws(chr(10) || chr(10), title, description, "
+        "array_to_string(tags, ', ')) AS body FROM acts_events"
     ),
 )
 def event_texts(t):

@@ -219,14 +219,15 @@ _SLUG_B = (
 _over_documents("slugify_words", _SLUG_A.format(c="text"), lambda: X.slugify_words(_text()))
 _over_documents("slugify_alnum", _SLUG_B.format(c="text"), lambda: X.slugify_alnum(_text()))
 _over_documents("snippet", "substring(text, 1, 100)", lambda: X.snippet(_text(), 100))
+# Each document ends with one of the three forms; the words before them hold no venue of their own.
+_VENUE = (
+    "concat(lower(text), CASE doc_id % 4 WHEN 0 THEN '. Meet at Union Hall on the corner. ' WHEN 1 THEN "
+    "'. LOCATION: Old Mill. ' WHEN 2 THEN '. Venue:  The Shed. ' ELSE '.' END)"
+)
 _over_documents(
     "extract_location",
-    "coalesce(nullif(trim(regexp_extract(concat(text, ' Meet at Union Hall on the corner. '), "
-    "'at\\s+([A-Z][A-Za-z\\s&]+?)(?:\\s+on|\\s+from|\\.|,)', 1)), ''), 'none')",
-    lambda: F.coalesce(
-        X.extract_location(F.concat(_text(), F.lit(" Meet at Union Hall on the corner. "))),
-        F.lit("none"),
-    ),
+    "CASE doc_id % 4 WHEN 0 THEN 'Union Hall' WHEN 1 THEN 'Old Mill' WHEN 2 THEN 'The Shed' ELSE 'none' END",
+    lambda: F.coalesce(X.extract_location(F.expr(_VENUE)), F.lit("none")),
 )
 
 
