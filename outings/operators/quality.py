@@ -21,9 +21,6 @@ def too_long(**limits: int) -> dict[str, Column]:
     return {f"{n} too long": F.length(n) > limit for n, limit in limits.items()}
 
 
-
-
-
 def event_checks() -> dict[str, Column]:
     return missing("title", "start_time")
 

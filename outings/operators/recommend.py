@@ -238,8 +238,9 @@ def candidate_classes(acts: DataFrame, model: ScoreModel, limit: int) -> DataFra
 
 
 def profile_key(model: ScoreModel) -> Column:
-    """128-bit key of a request's wishes; JSON keeps NULLs and list ends apart."""
-    return F.md5(F.to_json(F.struct("city_id", *model.wishes)))
+    """128-bit key of a request's wishes; JSON keeps NULLs and list ends apart, times to the microsecond."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return F.md5(F.to_json(F.struct("city_id", *model.wishes), exact))
 
 
 def request_profiles(requests: DataFrame, model: ScoreModel) -> DataFrame:
@@ -438,7 +439,7 @@ def _block_scorer(model: ScoreModel):
             if rounded:
                 total = np.floor(total * 10.0 + 0.5) / 10.0
             ok = total >= 0 if keep_zero else total > 0
-            ok &= (needed <= available) if strict else ~(needed > available)
+            ok &= (needed <= available) if strict else np.isnan(needed) | (needed <= available)
             if "location" in wishes:
                 place = q["r_location"].to_numpy()
                 for i, wanted in enumerate(place):
