@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outings.llm import attention
-from outings.llm.tables import written
+from outings.llm.tables import least_frequent, written
 from outings.llm.textbytes import chunks, lower_ascii, map_text, prefix_hash, span_hash, spans
 
 #: Training texts of the attention weights, and ids of each text that are used: pieces from all of its length.
@@ -148,7 +148,15 @@ def _counts(docs: DataFrame, text: str, path: str, pattern: str, class_of: np.nd
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, learn: Column, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame,
+    learn: Column,
+    path: str,
+    pattern: str,
+    id: str = "doc_id",
+    text: str = "text",
+    steps: int = attention.STEPS,
+) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``learned`` (whether ``learn`` holds), ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` and ``score`` (both logarithms to base 10 of the text's probability)."""
     spark = docs.sparkSession
@@ -164,9 +172,9 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, id: str = "do
     pairs = np.zeros((attention.SINGLE + attention.CLUSTERS, speller.n_ids), np.float32)
     found = counts.filter("kind = 1").select("key", "n").toPandas()  # at most classes times ids
     pairs.reshape(-1)[found["key"].to_numpy()] = found["n"].to_numpy()
-    model = _trained(spark, attention.start(speller.n_ids, class_of, None), inputs, targets, lengths)
+    model = _trained(spark, attention.start(speller.n_ids, class_of, None), inputs, targets, lengths, steps)
     model.within = attention.within_class(pairs, class_of)
-    least = _least_frequent(words)
+    least = least_frequent(words, FREQUENT)
     frequent = words.filter(F.col("n") >= least).toPandas().sort_values("key")
     shared = spark.sparkContext.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
     total, scale = int(facts.n), math.log10(facts.n + facts.v + 1)
@@ -215,9 +223,9 @@ def score(docs: DataFrame, learn: Column, path: str, pattern: str, id: str = "do
     )
 
 
-def _trained(spark, model: attention.Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray) -> attention.Model:
+def _trained(spark, model: attention.Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, steps: int):
     """The model trained on the sample, by one task: numpy has one thread there, and the driver stays free."""
-    shared = spark.sparkContext.broadcast((model, inputs, targets, lengths))
+    shared = spark.sparkContext.broadcast((model, inputs, targets, lengths, steps))
 
     def run(batches):
         for batch in batches:
@@ -226,15 +234,3 @@ def _trained(spark, model: attention.Model, inputs: np.ndarray, targets: np.ndar
                 yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], ["model"])
 
     return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first().model)
-
-
-def _least_frequent(words: DataFrame) -> int:
-    """Smallest count such that at most ``FREQUENT`` words reach it."""
-    held = 0
-    least = None
-    for row in words.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        held += row["count"]
-        if held > FREQUENT:
-            break
-        least = row["n"]
-    return least or 1 << 62
