@@ -206,8 +206,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     copies = Window.partitionBy("vector").orderBy("vec_id")
-    own = usable(vectors, id, vector).withColumn("copy", F.row_number().over(copies))
-    own = written(own.filter(F.col("copy") <= k + 1).drop("copy"), "vectors")
+    own = usable(vectors, id, vector).withColumn("copy", F.dense_rank().over(copies)).filter(F.col("copy") <= k + 1)
+    own = written(own.groupBy("vector", "vec_id").agg(F.lit(0)).select("vec_id", "vector"), "vectors")
     square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     facts = own.agg(F.count("*").alias("n"), F.max(square).alias("radius")).first()
     radius = facts.radius or 0.0
