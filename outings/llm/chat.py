@@ -132,14 +132,20 @@ def format_log(events: DataFrame, learn_roles: tuple[str, ...] = ("assistant",))
 
     def run(batches):
         rows: list[tuple] = []
+        kinds: list[pa.DataType] = []
         size, open_, number, parts, spans, chars = 0, None, 0, [], [], 0
 
         def batch():
             ids, *rest = zip(*rows, strict=True)
             columns = [pa.array(c, f.type) for c, f in zip(rest, arrow, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids), *columns], ["conv_id", *arrow.names])
+            return pa.RecordBatch.from_arrays([pa.array(ids, kinds[0]), *columns], ["conv_id", *arrow.names])
 
-        for conv, role, text in _messages(batches):
+        def noted():
+            for batch_in in batches:
+                kinds.append(batch_in.schema.field("conv_id").type)
+                yield batch_in
+
+        for conv, role, text in _messages(noted()):
             other = open_ is not None and open_[0] != conv
             if open_ is not None and (other or chars >= SEGMENT_CHARS):
                 rows.append((open_[0], number, "".join(parts), spans))
@@ -181,9 +187,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
             out.append((open_[0], turns, all_.hexdigest(), learned, loss.hexdigest(), chars))
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names)
+            ids, *rest = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *[pa.array(c) for c in rest]], names)
 
         for rows in batches:
+            kind = rows.schema.field("conv_id").type
             for row in rows.to_pylist():
                 if open_ is None or open_[0] != row["conv_id"]:
                     if open_ is not None:
