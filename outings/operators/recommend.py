@@ -203,9 +203,15 @@ def local_model(as_of, weights: Weights = LOCAL) -> ScoreModel:
 
 
 def recommend(acts: DataFrame, request: dict, model: ScoreModel, limit: int = 3) -> DataFrame:
-    """Best ``limit`` candidates for one request given as plain values."""
+    """Best ``limit`` candidates for one request given as plain values.
+
+    A request with an ``embedding`` is compared block by block, like many requests.
+    """
     if "embedding" in model.features:
-        raise ValueError("a request with a vector goes through recommend_many")
+        values = {"request_id": 0, **request}
+        asked = {"request_id", "city_id", *model.wishes}
+        one = acts.sparkSession.range(1).select(*[_literal(values.get(n)).alias(n) for n in asked])
+        return recommend_many(one, acts, model, limit).select(*TIE_BREAK, "score")
     wishes = {f"r_{name}": _literal(request[name]) for name in model.wishes}
     if model.weights.jitter:
         wishes["r_hash"] = F.xxhash64(F.lit(model.weights.seed), F.lit(request["request_id"]))
@@ -220,7 +226,11 @@ def recommend(acts: DataFrame, request: dict, model: ScoreModel, limit: int = 3)
 
 
 def _literal(value) -> Column:
-    return string_array(value) if isinstance(value, (list, tuple)) else F.lit(value)
+    if not isinstance(value, (list, tuple)):
+        return F.lit(value)
+    if value and isinstance(value[0], float):
+        return F.array(*[F.lit(v) for v in value]).cast("array<float>")
+    return string_array(value)
 
 
 # ---- many requests -------------------------------------------------------------------------

@@ -8,6 +8,8 @@ A key with a NULL part never matches, as in SQL uniqueness.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from outings.functions.times import ts
@@ -124,13 +126,16 @@ def upsert(
     return merged.select(*columns).unionByName(fresh.select(*target.columns))
 
 
-def touch_updated_at(before: DataFrame, after: DataFrame, key: str, as_of) -> DataFrame:
-    """Set ``updated_at`` on the rows of ``after`` that differ from ``before``."""
-    others = [c for c in after.columns if c not in (key, "updated_at")]
-    old = before.select(key, F.struct(*others).alias("_old"))
-    changed = ~F.struct(*others).eqNullSafe(F.col("_old"))
-    return after.join(old, key, "left").withColumn(
-        "updated_at", F.when(changed, ts(as_of)).otherwise(F.col("updated_at"))
+def touch_updated_at(before: DataFrame, change: Callable[[DataFrame], DataFrame], as_of) -> DataFrame:
+    """``before`` after ``change``, with ``updated_at`` set on the rows that it altered.
+
+    The old values travel along in a column, so the table is read once and nothing is joined;
+    ``change`` must pass columns through that it does not know.
+    """
+    others = F.struct(*[c for c in before.columns if c != "updated_at"])
+    altered = ~others.eqNullSafe(F.col("_old"))
+    return change(before.withColumn("_old", others)).withColumn(
+        "updated_at", F.when(altered, ts(as_of)).otherwise(F.col("updated_at"))
     ).drop("_old")
 
 

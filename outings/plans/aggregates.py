@@ -169,9 +169,21 @@ def _early(t):
     return t.places.select("id", closes_early(F.col("hours")).alias("closes_early"))
 
 
-query("closes_early_majority", with_model(f"SELECT id, {_CLOSES} AS closes_early FROM places"))(
-    _early
+@query(
+    "closes_early_majority",
+    with_model(
+        "SELECT id, NOT (coalesce(always_open, FALSE) OR no_hours) AND id % 8 >= 4 AS closes_early "
+        "FROM places"
+    ),
 )
+def early_majority(t):
+    """Mixed weeks of six open days: the first ``id % 8`` of them close at 17:00, the others at 21:00."""
+    time = lambda i: F.when(i < F.col("id") % 8, "1700").otherwise("2100")
+    week = F.transform(F.col("hours.periods"), lambda p, i: p.withField("close.time", time(i)))
+    hours = F.col("hours").withField("periods", week)
+    return t.places.select("id", closes_early(hours).alias("closes_early"))
+
+
 query("closes_early", with_model(f"SELECT id, {_CLOSES} AS closes_early FROM places"))(_early)
 
 

@@ -259,7 +259,7 @@ def touched(t):
     before = t.events.select(
         "id", "title", "start_time", "is_active", F.col("scraped_at").alias("updated_at")
     )
-    after = U.touch_updated_at(before, U.expire_events(before, AS_OF), "id", AS_OF)
+    after = U.touch_updated_at(before, lambda rows: U.expire_events(rows, AS_OF), AS_OF)
     return after.select("id", "updated_at")
 
 

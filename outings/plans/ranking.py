@@ -266,7 +266,11 @@ _part("availability_bonus", _FIT.replace("r.time_available", "100"),
       lambda: availability_bonus(F.col("walk_minutes_from_center"), F.lit(100)))
 _part("low_energy_penalty", _PENALTY.replace("r.low_energy", "TRUE"),
       lambda: low_energy_penalty(F.lit(True), F.col("low_energy")))
-_part("jitter", "0e0", lambda: jitter(F.xxhash64(F.lit(1)), F.xxhash64("type", "id"), 0.0))
+# A product takes the place of the hash, which the other engine lacks.
+_part(
+    "jitter", "xor(12345, id * 7919 + length(type)) % 10000 / 10000e0 * 5e0",
+    lambda: jitter(F.lit(12345).cast("long"), F.col("id") * 7919 + F.length("type"), 5.0),
+)
 
 
 @query("round1", "SELECT event_id AS id, floor((value - 50e0) * 10e0 + 0.5e0) / 10e0 AS rounded "

@@ -145,6 +145,27 @@ def test_requested_dates(spark, t):
     assert same(best.filter(even), plain.filter(even))
 
 
+def test_one_request_with_a_vector_equals_many(t):
+    model = RC.hybrid_model(AS_OF, with_vectors=True)
+    requests = t.requests.join(t.embeddings, "vec_id", "left")
+    acts = t.activities().join(t.embeddings, "vec_id", "left")
+    many = RC.recommend_many(requests, acts, model)
+    for row in requests.filter("embedding IS NOT NULL").orderBy("request_id").limit(2).collect():
+        one = RC.recommend(acts, row.asDict(), model)
+        assert same(one, many.filter(F.col("request_id") == row.request_id).select(one.columns))
+
+
+def test_missing_wishes_rank_alike_on_both_paths(t):
+    """NULL in any wish: the class path and the pair-wise path agree."""
+    model = RC.hybrid_model(AS_OF)
+    pairwise = replace(model, weights=replace(model.weights, jitter=1e-30))
+    for wish in ("time_available", "location", "quiet", "tags"):
+        asked = t.requests.withColumn(
+            wish, F.when(F.col("request_id") % 2 == 0, F.col(wish)))
+        a, b = (RC.recommend_many(asked, t.activities(), m) for m in (model, pairwise))
+        assert same(a, b), wish
+
+
 def test_jitter_is_repeatable_and_bounded(t):
     model = RC.hybrid_model(AS_OF, weights=replace(HYBRID, jitter=5.0, seed=7))
     a = RC.recommend_many(t.requests, t.activities(), model)
