@@ -13,16 +13,16 @@ from outings.bindings import with_model
 from outings.operators.ingest import (
     article_event_rows, calendar_events, card_event_rows, jsonld_event_rows,
 )
-from outings.operators.quality import valid_rows
+from outings.operators.quality import missing, valid_rows
 from outings.plans.registry import query
 from outings.bindings import AS_OF
-from outings.schemas import PLACES_CSV
+from outings.session import shared_dir
 from outings.sources import pages as P
 from outings.sources.drafts import markdown_places
 from outings.sources.ics import ics_events
-from outings.sources.sinks import export_rows
+from outings.sources.sinks import export_places_csv
 from outings.sources.tables import (
-    csv_places, parse_csv_lines, parse_verified_hours, place_details, verified_hours,
+    csv_places, place_details, read_places_csv, read_verified_hours, rejected_details, verified_hours,
 )
 
 # ---- calendar feeds ----------------------------------------------------------------------------
@@ -333,7 +333,14 @@ def _sheet(t):
             "created_at": F.lit(AS_OF).cast("timestamp"),
         }
     )
-    return export_rows(places, "vec_id")
+    return places
+
+
+def _sheet_files(t):
+    """The sheet, exported as CSV files below the shared folder and read back."""
+    path = shared_dir(t.spark, "sheet")
+    export_places_csv(_sheet(t), path, "vec_id")
+    return read_places_csv(t.spark, path)
 
 
 _SHEET_NAME = "concat('The \"', name, '\", again')"
@@ -355,7 +362,7 @@ _SHEET_NAME = "concat('The \"', name, '\", again')"
     ),
 )
 def export(t):
-    return _sheet(t)
+    return _sheet_files(t)
 
 
 @query(
@@ -367,14 +374,8 @@ def export(t):
     ),
 )
 def sheet(t):
-    """The exported columns as CSV lines, read back; rows without a story are set aside."""
-    from outings.operators.quality import missing
-
-    lines = _sheet(t).select(
-        F.to_csv(F.struct("*"), {"escape": '"', "quoteAll": "true"}).alias("line")
-    )
-    records = parse_csv_lines(lines, "line", PLACES_CSV)
-    return valid_rows(csv_places(records), missing("story", "nudge")).select(
+    """The exported files, read back; rows without a story are set aside."""
+    return valid_rows(csv_places(_sheet_files(t)), missing("story", "nudge")).select(
         "id", "name", "category", "story", "vibe_quiet",
         F.array_join("tags", "|").alias("tags"), "price_level",
     )
@@ -405,7 +406,9 @@ def verified(t):
             F.struct(F.lit("2024-01-01").alias("verified_date"), F.array(place).alias("places"))
         ).alias("doc")
     )
-    return verified_hours(parse_verified_hours(docs, "doc")).select(
+    path = shared_dir(t.spark, "hours")
+    docs.select(F.col("doc").alias("value")).write.text(path)
+    return verified_hours(read_verified_hours(t.spark, path, multi_line=False)).select(
         "name", "weekday", "open_text"
     )
 
@@ -419,6 +422,29 @@ def verified(t):
     ),
 )
 def details(t):
+    return place_details(_details_payloads(t)).select(
+        "id", "name", "address", "business_status", F.col("hours.type").alias("hours_type"), "lat"
+    )
+
+
+@query(
+    "rejected_details",
+    with_model(
+        "SELECT id, CASE WHEN id % 9 = 0 THEN 'missing name' ELSE 'unreadable payload' END AS reason "
+        "FROM places WHERE id % 9 IN (0, 1)"
+    ),
+)
+def details_set_aside(t):
+    """Payloads of which some lack a name and some are cut off."""
+    text = F.col("payload")
+    broken = F.when(F.col("id") % 9 == 0, F.replace(text, F.lit("displayName"), F.lit("other"))).when(
+        F.col("id") % 9 == 1, F.substring(text, 1, 12)
+    )
+    payloads = _details_payloads(t).withColumn("payload", F.coalesce(broken, text))
+    return rejected_details(payloads).select("id", "reason")
+
+
+def _details_payloads(t):
     payload = F.to_json(
         F.struct(
             F.struct(F.col("name").alias("text")).alias("displayName"),
@@ -436,6 +462,4 @@ def details(t):
             F.col("business_status").alias("businessStatus"),
         )
     )
-    return place_details(t.places.select("id", payload.alias("payload"))).select(
-        "id", "name", "address", "business_status", F.col("hours.type").alias("hours_type"), "lat"
-    )
+    return t.places.select("id", payload.alias("payload"))

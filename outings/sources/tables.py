@@ -34,17 +34,6 @@ def read_places_csv(spark: SparkSession, path: str, schema=PLACES_CSV) -> DataFr
     return spark.read.csv(path, schema=schema, header=True, **CSV_OPTIONS).fillna("")
 
 
-def parse_csv_lines(lines: DataFrame, line: str, schema) -> DataFrame:
-    """Records of a column of CSV lines (no header), other columns kept."""
-    kept = [c for c in lines.columns if c != line]
-    record = F.from_csv(F.col(line), _csv_ddl(schema), CSV_OPTIONS)
-    return lines.select(*kept, record.alias("_r")).select(*kept, "_r.*").fillna("")
-
-
-def _csv_ddl(schema) -> str:
-    return ", ".join(f"`{f.name}` STRING" for f in schema.fields)
-
-
 def csv_places(records: DataFrame) -> DataFrame:
     """Typed place columns of the text records; loose numbers, tags split."""
     tags = F.col("Tags")
@@ -63,12 +52,9 @@ def csv_places(records: DataFrame) -> DataFrame:
     )
 
 
-def read_verified_hours(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(VERIFIED_HOURS_DDL).json(path, multiLine=True)
-
-
-def parse_verified_hours(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.from_json(text, VERIFIED_HOURS_DDL).alias("d")).select("d.*")
+def read_verified_hours(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Documents of hours: one per file, or one per line without ``multi_line``."""
+    return spark.read.schema(VERIFIED_HOURS_DDL).json(path, multiLine=multi_line)
 
 
 def verified_hours(docs: DataFrame) -> DataFrame:
@@ -86,7 +72,7 @@ def hours_worklist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def place_details(payloads: DataFrame, text: str = "payload") -> DataFrame:
-    """Details payloads in the stored shape; payloads without a name are dropped."""
+    """Details payloads in the stored shape; ``rejected_details`` has the ones without a name."""
     kept = [c for c in payloads.columns if c != text]
     p = F.col("_p")
     hours = p["regularOpeningHours"]
@@ -118,6 +104,14 @@ def place_details(payloads: DataFrame, text: str = "payload") -> DataFrame:
     )
 
 
+def rejected_details(payloads: DataFrame, text: str = "payload") -> DataFrame:
+    """Payloads that cannot be read or have no name, with the ``reason``."""
+    readable = F.try_parse_json(text).isNotNull()
+    named = F.from_json(text, DETAILS_PAYLOAD_DDL)["displayName"].isNotNull()
+    reason = F.when(~readable, "unreadable payload").when(~named, "missing name")
+    return payloads.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def place_lookup(payloads: DataFrame, text: str = "payload") -> DataFrame:
     """First hit of each lookup payload; empty lists give no row."""
     kept = [c for c in payloads.columns if c != text]
