@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from outings.llm.textbytes import map_text, mix, prefix_hash, span_hash
 
 #: Results of the second tier kept per Python worker; the table starts anew when it is full.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 150_000
 #: Longest pre-token kept in that table, in characters.
 MEMO_CHARS = 64
 _loaded: dict = {}

@@ -17,12 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.textbytes import chunks, keep_rows, prefix_hash, span_hash
+from outings.llm.textbytes import keep_rows, lowered, prefix_hash, span_hash
 
 Q = 10
 RATE = 0.08
@@ -75,7 +74,7 @@ def edit_distance(item: np.ndarray, text: np.ndarray, first: int, last: int, k:
 class Index:
     """Q-grams of a pass of items."""
 
-    ids: list
+    ids: pa.Array
     items: list[np.ndarray]
     budget: np.ndarray
     hashes: np.ndarray
@@ -86,10 +85,9 @@ class Index:
     q: int
 
     @classmethod
-    def build(cls, ids: list, texts: list[str], q: int, rate: float) -> Index:
-        column = pc.utf8_lower(pa.array(texts, pa.string()))
+    def build(cls, ids: pa.Array | list, texts: list[str], q: int, rate: float) -> Index:
         items = []
-        for _, _, data, offsets in chunks(column):
+        for _, _, data, offsets in lowered(pa.array(texts, pa.string())):
             plain, ends, _ = normalise(data, offsets)
             items += [_strip(plain[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         size = np.array([len(i) for i in items], np.int64)
@@ -111,7 +109,7 @@ class Index:
         table = np.zeros(1 << _FILTER_BITS, bool)
         table[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         short = {n: tuple(map(np.array, zip(*sorted(found), strict=True))) for n, found in short.items()}
-        return cls(ids, items, budget, hashes[order], owner[order], place[order], table, short, q)
+        return cls(pa.array(ids) if isinstance(ids, list) else ids, items, budget, hashes[order], owner[order], place[order], table, short, q)
 
     def regions(self, sums, inv, size: int, offsets: np.ndarray):
         """Text, item and first diagonal of the bands that meet the bound."""
@@ -222,15 +220,15 @@ def _indexes(benchmark: DataFrame, item_id: str, item_text: str, q: int, rate: f
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first().n
     passes = max(1, -(-total // PASS_BYTES))
     for number in range(passes):
-        rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == number).sort("i", "t").collect()
-        index = Index.build([r.i for r in rows], [r.t for r in rows], q, rate)
+        rows = items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == number).sort("i", "t").toArrow()
+        index = Index.build(rows.column("i").combine_chunks(), rows.column("t").to_pylist(), q, rate)
         yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
 def _cleaner(shared):
     def decide(column):
         keep = np.ones(len(column), bool)
-        for first, _, data, offsets in chunks(pc.utf8_lower(column)):
+        for first, _, data, offsets in lowered(column):
             keep[[first + row for row, *_ in shared.value.search(data, offsets)]] = False
         return keep
 
@@ -243,12 +241,12 @@ def _searcher(shared):
         for batch in batches:
             ids = batch.column(0)
             found = []
-            for first, _, data, offsets in chunks(pc.utf8_lower(batch.column(1))):
+            for first, _, data, offsets in lowered(batch.column(1)):
                 found += [(first + row, *rest) for row, *rest in index.search(data, offsets)]
             rows, items, edits, starts, ends = zip(*found, strict=True) if found else ([],) * 5
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.take(pa.array(rows, pa.int64())), pa.array([index.ids[i] for i in items], None if items else pa.int64()),
+                    ids.take(pa.array(rows, pa.int64())), index.ids.take(pa.array(items, pa.int64())),
                     pa.array(edits, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()),
                 ],
                 ["doc_id", "item_id", "edits", "start", "end"],

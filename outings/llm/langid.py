@@ -27,7 +27,7 @@ from outings.llm.textbytes import chunks, keep_rows, map_text
 DIMENSIONS = 2048
 SEED = 20_240
 #: Texts and characters that are bundled at once, and trigrams that are bound at once.
-TEXTS, CHARS, GRAMS = 256, 1 << 20, 4096
+TEXTS, CHARS, GRAMS = 256, 1 << 19, 2048
 #: Prototypes are held by the driver and every task: 16 KB a language.
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"

@@ -16,6 +16,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_frequent(counts: DataFrame, most: int) -> int:
+    """Smallest value of ``n`` such that at most ``most`` rows of ``counts`` reach it."""
+    held, least = 0, None
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += row["count"]
+        if held > most:
+            break
+        least = row["n"]
+    return least if least is not None else 1 << 62
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node reachable, of all nodes in ``links`` (``a``, ``b``).
 

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _K = 0x9E3779B97F4A7C15
 _K_INV = pow(_K, -1, 1 << 64)
 _powers = {}
@@ -66,6 +67,12 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
+def lowered(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Like ``chunks``, with the texts lower-cased; one run at a time."""
+    for first, end, _, _ in chunks(column, limit):
+        yield first, end, *text_buffer(pc.utf8_lower(column.slice(first, end - first)))
+
+
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums from which ``span_hash`` gives the hash of any span, and the inverse powers."""
     p, inv = powers(len(data) + 1)
