@@ -17,16 +17,17 @@ labels).
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from outings.llm.textbytes import chunks, keep_rows, map_text, mix, prefix_hash, span_hash, spans
+from outings.llm.tables import least_frequent, written
+from outings.llm.textbytes import keep_rows, lowered, map_text, mix, prefix_hash, span_hash, spans
 
 ORDER = 7
 #: Discounts of counts of one, two and more (modified Kneser-Ney). They are higher than those that predict best:
@@ -60,7 +61,7 @@ def word_grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np
 
 def _words(column: pa.Array):
     """Chunks of the column: rows, and the bytes and spans of the words with the row of each."""
-    for first, end, data, offsets in chunks(pc.utf8_lower(column)):
+    for first, end, data, offsets in lowered(column):
         start, stop, row = spans(_LETTER[data], offsets)
         yield first, end, data, start, stop, row
 
@@ -186,6 +187,17 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return slope, w[1] - slope * centre
 
 
+def _builder(batches):
+    columns = [[], [], []]
+    for batch in batches:
+        for held, name in zip(columns, ("gram", "toxic", "ordinary"), strict=True):
+            held.append(batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False))
+    if columns[0]:
+        grams, toxic, ordinary = map(np.concatenate, columns)
+        model = build(grams.view(np.uint64), toxic, ordinary)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
 def gram_counts(docs: DataFrame, text: str, label: str) -> DataFrame:
     """Counts of each n-gram in toxic and ordinary texts: ``gram``, ``toxic``, ``ordinary``.
 
@@ -240,12 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     sample = sample.select("id", "label", "curve")
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
     counts = gram_counts(picked.filter(~F.col("curve")), "text", "label")
-    rows = (
-        counts.orderBy(F.desc(F.col("toxic") + F.col("ordinary")), "gram").limit(MAX_GRAMS).toPandas()
-    )
-    model = build(
-        rows["gram"].to_numpy(np.int64).view(np.uint64), rows["toxic"].to_numpy(), rows["ordinary"].to_numpy()
-    )
+    counts = written(counts, "grams")
+    both = F.col("toxic") + F.col("ordinary")
+    counts = counts.filter(both >= least_frequent(counts.select(both.alias("n")), MAX_GRAMS))
+    made = counts.repartition(1).mapInArrow(_builder, "model binary").first()  # at most MAX_GRAMS rows
+    model = pickle.loads(made.model) if made else Model()
     unseen = map_text(
         picked.filter("curve"), "text", T.StructType().add("evidence", "double"),
         lambda column: [pa.array(model.evidence(column))], ["label"],
