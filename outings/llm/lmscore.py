@@ -33,7 +33,7 @@ from outings.llm.textbytes import chunks, lower_ascii, map_text, prefix_hash, sp
 #: Training texts of the attention weights, and ids of each text that are used: pieces from all of its length.
 TRAIN_TEXTS, PIECES, PIECE_IDS = 1500, 8, 256
 #: Words whose counts every task holds, 16 bytes each.
-FREQUENT = 1_000_000
+FREQUENT = 500_000
 #: Spellings kept per Python worker.
 MEMO_WORDS = 2_000_000
 _END_WORD = -1
@@ -105,7 +105,7 @@ def _sequences(speller: Speller, data: np.ndarray, offsets: np.ndarray):
 
 
 def _sample(docs: DataFrame, text: str, path: str, pattern: str):
-    """Inputs, targets and lengths of pieces of the training sample."""
+    """Inputs, targets and lengths of pieces of the training sample, and the class of each id."""
 
     def make(column):
         out = []
@@ -118,14 +118,31 @@ def _sample(docs: DataFrame, text: str, path: str, pattern: str):
         return [pa.array(out, pa.list_(pa.list_(pa.int32())))]
 
     schema = T.StructType().add("pieces", T.ArrayType(T.ArrayType(T.IntegerType())))
+    def pack(batches):
+        speller, pieces = Speller.load(path, pattern), []
+        for batch in batches:
+            for row in batch.column(0).to_pylist():
+                pieces += [np.array(p, np.int64) for p in row]
+        targets = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
+        inputs = np.concatenate([np.concatenate(([speller.end], p[:-1])) for p in pieces]) if pieces else targets
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        seen = np.bincount(targets, minlength=speller.n_ids)
+        class_of = attention.classes(seen, inputs, targets)
+        yield _packed((inputs, targets, lengths, class_of))
+
     picked = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("order")).filter("text IS NOT NULL")
     picked = map_text(picked.orderBy("order", "text").limit(TRAIN_TEXTS), "text", schema, make, [])
-    pieces = [np.array(p, np.int64) for row in picked.collect() for p in row.pieces]
-    end = Speller.load(path, pattern).end
-    if not pieces:
-        return (np.zeros(0, np.int64),) * 3
-    inputs = np.concatenate([np.concatenate(([end], p[:-1])) for p in pieces])
-    return inputs, np.concatenate(pieces), np.array([len(p) for p in pieces])
+    return _unpacked(picked.repartition(1).mapInArrow(pack, "packed binary"))
+
+
+def _packed(value) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(value)], pa.binary())], ["packed"])
+
+
+def _unpacked(rows: DataFrame):
+    """What one task has made; None if it had no partition to work on."""
+    row = rows.first()
+    return pickle.loads(row.packed) if row else None
 
 
 def _counts(docs: DataFrame, text: str, path: str, pattern: str, class_of: np.ndarray) -> DataFrame:
@@ -163,20 +180,14 @@ def score(
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col(text).alias("text"))
     training = rows.filter("learned")
     speller = Speller.load(path, pattern)
-    inputs, targets, lengths = _sample(training, "text", path, pattern)
-    seen = np.bincount(targets, minlength=speller.n_ids)
-    class_of = attention.classes(seen, inputs, targets)
-    counts = written(_counts(training, "text", path, pattern, class_of), "counts")
+    sample = _sample(training, "text", path, pattern) or (*(np.zeros(0, np.int64),) * 3, np.zeros(speller.n_ids, np.int64))
+    counts = written(_counts(training, "text", path, pattern, sample[-1]), "counts")
     words = counts.filter("kind = 0").select("key", "n")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = np.zeros((attention.SINGLE + attention.CLUSTERS, speller.n_ids), np.float32)
-    found = counts.filter("kind = 1").select("key", "n").toPandas()  # at most classes times ids
-    pairs.reshape(-1)[found["key"].to_numpy()] = found["n"].to_numpy()
-    model = _trained(spark, attention.start(speller.n_ids, class_of, None), inputs, targets, lengths, steps)
-    model.within = attention.within_class(pairs, class_of)
-    least = least_frequent(words, FREQUENT)
-    frequent = words.filter(F.col("n") >= least).toPandas().sort_values("key")
-    shared = spark.sparkContext.broadcast((model, frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)))
+    model = _fitted(counts.filter("kind = 1").select("key", "n"), sample, speller.n_ids, steps)
+    frequent = words.filter(F.col("n") >= least_frequent(words, FREQUENT)).repartition(1).sortWithinPartitions("key")
+    known = _unpacked(frequent.mapInArrow(_columns, "packed binary")) or (np.zeros(0, np.int64),) * 2
+    shared = spark.sparkContext.broadcast((model, *known))
     total, scale = int(facts.n), math.log10(facts.n + facts.v + 1)
 
     def make(column):
@@ -223,14 +234,30 @@ def score(
     )
 
 
-def _trained(spark, model: attention.Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, steps: int):
-    """The model trained on the sample, by one task: numpy has one thread there, and the driver stays free."""
-    shared = spark.sparkContext.broadcast((model, inputs, targets, lengths, steps))
+def _columns(batches):
+    """Both columns of at most ``FREQUENT`` rows as arrays."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        yield _packed(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    def run(batches):
+
+def _fitted(pairs: DataFrame, sample: tuple, n_ids: int, steps: int) -> attention.Model:
+    """The trained model with the counted pairs, at most classes times ids of them.
+
+    One task makes it: numpy has one thread there, and the driver's memory stays free.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(sample)
+    n_classes = attention.SINGLE + attention.CLUSTERS
+
+    def make(batches) -> attention.Model:
+        inputs, targets, lengths, class_of = shared.value
+        table = np.zeros((n_classes, n_ids), np.float32)
         for batch in batches:
-            if batch.num_rows:
-                trained = pickle.dumps(attention.train(*shared.value))
-                yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], ["model"])
+            table.reshape(-1)[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        model = attention.start(n_ids, class_of, attention.within_class(table, class_of))
+        return attention.train(model, inputs, targets, lengths, steps)
+
+    def run(batches):
+        yield _packed(make(batches))
 
-    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").first().model)
+    return _unpacked(pairs.repartition(1).mapInArrow(run, "packed binary")) or make([])
