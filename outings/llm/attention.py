@@ -14,6 +14,8 @@ import numpy as np
 #: Positions in a window, new positions per later window, width of the vectors, classes of one id, and of several.
 WINDOW, STRIDE, WIDTH, SINGLE, CLUSTERS = 32, 24, 24, 80, 48
 STEPS, BATCH, RATE = 2500, 64, 6e-3
+#: Windows that are scored at once.
+RUN = 128
 #: Counts that the share of all counts stands for.
 SMOOTHING = 5.0
 SEED = 11
@@ -65,17 +67,23 @@ class Model:
         """Natural log-probability of each target, for sequences laid end to end."""
         out = np.zeros(len(targets))
         at, scored = windows(lengths)
-        for lo in range(0, len(at), 256):
-            place, mark = at[lo : lo + 256], scored[lo : lo + 256]
-            h = self.hidden(inputs[place])[-1][mark]
-            logits = h @ self.head + self.bias
+        joint = np.concatenate([self.wq * np.float32(1 / np.sqrt(WIDTH)), self.wk, self.wv], axis=1)
+        future = _future()
+        for lo in range(0, len(at), RUN):
+            place, mark = at[lo : lo + RUN], scored[lo : lo + RUN]
+            x = self.embed[inputs[place]] + self.place
+            q, k, v = np.split((x.reshape(-1, WIDTH) @ joint).reshape(len(place), WINDOW, 3 * WIDTH), 3, axis=2)
+            s = q @ k.transpose(0, 2, 1)
+            s += future
+            np.exp(np.minimum(s, 60, out=s), out=s)
+            o = (s @ v) / s.sum(axis=2, keepdims=True)
+            h = x[mark] + o[mark] @ self.wo
+            logits = h @ self.head
+            logits += self.bias
+            np.minimum(logits, 80, out=logits)
             chosen = place[mark]
-            own = self.class_of[targets[chosen]]
-            top = logits.max(axis=1)
-            picked = logits[np.arange(len(own)), own] - top
-            logits -= top[:, None]
-            total = np.exp(logits, out=logits).sum(axis=1)
-            out[chosen] = picked - np.log(total)
+            picked = logits[np.arange(len(chosen)), self.class_of[targets[chosen]]]
+            out[chosen] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
         return out + self.within[self.class_of[inputs], targets]
 
 
