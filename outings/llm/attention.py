@@ -67,23 +67,26 @@ class Model:
         """Natural log-probability of each target, for sequences laid end to end."""
         out = np.zeros(len(targets))
         at, scored = windows(lengths)
-        joint = np.concatenate([self.wq * np.float32(1 / np.sqrt(WIDTH)), self.wk, self.wv], axis=1)
-        future = _future()
-        for lo in range(0, len(at), RUN):
-            place, mark = at[lo : lo + RUN], scored[lo : lo + RUN]
-            x = self.embed[inputs[place]] + self.place
-            q, k, v = np.split((x.reshape(-1, WIDTH) @ joint).reshape(len(place), WINDOW, 3 * WIDTH), 3, axis=2)
-            s = q @ k.transpose(0, 2, 1)
-            s += future
-            np.exp(np.minimum(s, 60, out=s), out=s)
-            o = (s @ v) / s.sum(axis=2, keepdims=True)
-            h = x[mark] + o[mark] @ self.wo
-            logits = h @ self.head
-            logits += self.bias
-            np.minimum(logits, 80, out=logits)
-            chosen = place[mark]
-            picked = logits[np.arange(len(chosen)), self.class_of[targets[chosen]]]
-            out[chosen] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
+        wq = self.wq * np.float32(1 / np.sqrt(WIDTH))
+        wkv = np.concatenate([self.wk, self.wv], axis=1)
+        first = scored[:, 0]
+        for own, skip in ((first, 0), (~first, WINDOW - STRIDE)):  # later windows score no position before ``skip``
+            future, own = _future()[skip:], np.flatnonzero(own)
+            for lo in range(0, len(own), RUN):
+                place, mark = at[own[lo : lo + RUN]], scored[own[lo : lo + RUN], skip:]
+                x = self.embed[inputs[place]] + self.place
+                k, v = np.split((x.reshape(-1, WIDTH) @ wkv).reshape(len(place), WINDOW, 2 * WIDTH), 2, axis=2)
+                x = x[:, skip:]
+                s = (x.reshape(-1, WIDTH) @ wq).reshape(x.shape) @ k.transpose(0, 2, 1)
+                s += future
+                np.exp(np.minimum(s, 60, out=s), out=s)
+                o = (s @ v) / s.sum(axis=2, keepdims=True)
+                logits = (x[mark] + o[mark] @ self.wo) @ self.head
+                logits += self.bias
+                np.minimum(logits, 80, out=logits)
+                chosen = place[:, skip:][mark]
+                picked = logits[np.arange(len(chosen)), self.class_of[targets[chosen]]]
+                out[chosen] = picked - np.log(np.exp(logits, out=logits).sum(axis=1))
         return out + self.within[self.class_of[inputs], targets]
 
 
