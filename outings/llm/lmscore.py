@@ -128,7 +128,7 @@ def _sample(docs: DataFrame, text: str, path: str, pattern: str):
         lengths = np.array([len(p) for p in pieces], np.int64)
         seen = np.bincount(targets, minlength=speller.n_ids)
         class_of = attention.classes(seen, inputs, targets)
-        yield _packed((inputs, targets, lengths, class_of))
+        yield _packed((inputs.astype(np.int32), targets.astype(np.int32), lengths, class_of))
 
     picked = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("order")).filter("text IS NOT NULL")
     picked = map_text(picked.orderBy("order", "text").limit(TRAIN_TEXTS), "text", schema, make, [])
@@ -179,12 +179,14 @@ def score(
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col(text).alias("text"))
     training = rows.filter("learned")
-    speller = Speller.load(path, pattern)
-    sample = _sample(training, "text", path, pattern) or (*(np.zeros(0, np.int64),) * 3, np.zeros(speller.n_ids, np.int64))
+    sample = _sample(training, "text", path, pattern)
+    if sample is None:  # no task had anything to read
+        nothing = np.zeros(0, np.int32)
+        sample = (nothing, nothing, nothing, np.zeros(Speller.load(path, pattern).n_ids, np.int64))
     counts = written(_counts(training, "text", path, pattern, sample[-1]), "counts")
     words = counts.filter("kind = 0").select("key", "n")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    model = _fitted(counts.filter("kind = 1").select("key", "n"), sample, speller.n_ids, steps)
+    model = _fitted(counts.filter("kind = 1").select("key", "n"), sample, steps)
     frequent = words.filter(F.col("n") >= least_frequent(words, FREQUENT)).repartition(1).sortWithinPartitions("key")
     known = _unpacked(frequent.mapInArrow(_columns, "packed binary")) or (np.zeros(0, np.int64),) * 2
     shared = spark.sparkContext.broadcast((model, *known))
@@ -241,7 +243,7 @@ def _columns(batches):
         yield _packed(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _fitted(pairs: DataFrame, sample: tuple, n_ids: int, steps: int) -> attention.Model:
+def _fitted(pairs: DataFrame, sample: tuple, steps: int) -> attention.Model:
     """The trained model with the counted pairs, at most classes times ids of them.
 
     One task makes it: numpy has one thread there, and the driver's memory stays free.
@@ -251,6 +253,7 @@ def _fitted(pairs: DataFrame, sample: tuple, n_ids: int, steps: int) -> attentio
 
     def make(batches) -> attention.Model:
         inputs, targets, lengths, class_of = shared.value
+        n_ids = len(class_of)
         table = np.zeros((n_classes, n_ids), np.float32)
         for batch in batches:
             table.reshape(-1)[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
