@@ -14,6 +14,8 @@ import numpy as np
 #: Positions in a window, new positions per later window, width of the vectors, classes of one id, and of several.
 WINDOW, STRIDE, WIDTH, SINGLE, CLUSTERS = 32, 24, 24, 80, 48
 STEPS, BATCH, RATE = 2500, 64, 6e-3
+#: Most frequent ids by which neighbours are told apart.
+NEAR = 256
 #: Windows that are scored at once.
 RUN = 128
 #: Counts that the share of all counts stands for.
@@ -28,8 +30,7 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Every position is scored once: a first window scores all of its positions, each later one its last ``STRIDE``.
     Positions beyond a sequence's end repeat its last one and are not scored.
     """
-    more = np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
-    per = np.where(lengths > 0, more + 1, 0)
+    per = n_windows(lengths)
     first = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(lengths)), per)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
@@ -94,28 +95,35 @@ def _future() -> np.ndarray:
     return np.triu(np.full((WINDOW, WINDOW), -1e4, np.float32), 1)
 
 
-def classes(counts: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Class of each id. ``inputs`` and ``targets`` are neighbouring ids of the training sample."""
+def nearest_ranks(counts: np.ndarray) -> np.ndarray:
+    """Rank of each of the ``NEAR`` most frequent ids; ``NEAR`` for all others."""
+    rank = np.full(len(counts), NEAR)
+    order = np.argsort(-counts, kind="stable")[:NEAR]
+    rank[order] = np.arange(len(order))
+    return rank
+
+
+def classes(counts: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """Class of each id from its count and its neighbours (which this overwrites).
+
+    A row of ``feature`` counts the ranks of the ids before, then those of the ids after.
+    """
     rng = np.random.default_rng(SEED)
     order = np.argsort(-counts, kind="stable")
     class_of = np.full(len(counts), SINGLE + CLUSTERS - 1)
     class_of[order[:SINGLE]] = np.arange(SINGLE)
-    near = 256
-    rank = np.full(len(counts), near)
-    rank[order[:near]] = np.arange(near)
-    feature = np.zeros((len(counts), 2 * (near + 1)), np.float32)
-    np.add.at(feature, (targets, rank[inputs]), 1)
-    np.add.at(feature, (inputs, near + 1 + rank[targets]), 1)
-    seen = np.flatnonzero((feature.sum(axis=1) >= 4) & (class_of >= SINGLE))
+    size = feature.sum(axis=1)
+    seen = np.flatnonzero((size >= 4) & (class_of >= SINGLE))
     if len(seen) < CLUSTERS:
         return class_of
-    x = np.sqrt(feature[seen] / feature[seen].sum(axis=1, keepdims=True))
+    x = feature[seen]
+    x /= size[seen][:, None]
+    np.sqrt(x, out=x)
     centres = x[rng.choice(len(x), CLUSTERS - 1, replace=False)]
     for _ in range(15):
         own = (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
         size = np.bincount(own, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
+        sums = (own == np.arange(len(centres))[:, None]).astype(np.float32) @ x
         centres = np.where(size[:, None] > 0, sums / np.maximum(1, size)[:, None], centres)
     class_of[seen] = SINGLE + own
     return class_of
@@ -172,8 +180,39 @@ def gradients(model: Model, ids: np.ndarray, wanted: np.ndarray, mark: np.ndarra
     return float(loss), g
 
 
-def train(model: Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, steps: int = STEPS) -> Model:
-    """Adam on random windows of the sample; of the embeddings only the rows of a batch move."""
+def n_windows(lengths: np.ndarray) -> np.ndarray:
+    """Number of windows over each sequence."""
+    return np.where(lengths > 0, np.maximum(0, -(-(lengths - WINDOW) // STRIDE)) + 1, 0)
+
+
+def flat(model: Model) -> np.ndarray:
+    """All weights in rows of ``WIDTH``: the embeddings first, the rest padded to whole rows."""
+    rest = np.concatenate([getattr(model, n).reshape(-1) for n in _PARTS[1:]])
+    rest = np.append(rest, np.zeros(-len(rest) % WIDTH, np.float32))
+    return np.concatenate([model.embed, rest.reshape(-1, WIDTH)])
+
+
+def assign(model: Model, rows: np.ndarray) -> Model:
+    """The model with the weights of ``flat``."""
+    at = 0
+    rows = rows.astype(np.float32).reshape(-1)
+    for name in _PARTS:
+        shape = getattr(model, name).shape
+        size = int(np.prod(shape))
+        setattr(model, name, rows[at : at + size].reshape(shape).copy())
+        at += size
+    return model
+
+
+def train(
+    model: Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, steps: int = STEPS,
+    begin: float = 0.0, end: float = 1.0,
+) -> Model:
+    """Adam on the windows in random order, all of them before any comes again.
+
+    Of the embeddings only the rows of a batch move. ``begin`` and ``end``: share of the whole training
+    that is done before and after, which sets the rate.
+    """
     rng = np.random.default_rng(SEED)
     at, mark = windows(lengths)
     if not len(at):
@@ -181,15 +220,17 @@ def train(model: Model, inputs: np.ndarray, targets: np.ndarray, lengths: np.nda
     wanted = model.class_of[targets]
     first = {n: np.zeros_like(getattr(model, n)) for n in _PARTS}
     second = {n: np.zeros_like(getattr(model, n)) for n in _PARTS}
+    rounds = -(-steps * BATCH // len(at))
+    drawn = np.concatenate([rng.permutation(len(at)) for _ in range(rounds)])
     for step in range(1, steps + 1):
-        pick = rng.integers(0, len(at), BATCH)
+        pick = drawn[(step - 1) * BATCH : step * BATCH]
         place = at[pick]
         _, g = gradients(model, inputs[place], wanted[place], mark[pick])
-        rate = RATE * min(1, step / 50) * (0.05 + 0.95 * (1 - step / steps))
+        rate = RATE * min(1, step / 50) * (0.05 + 0.95 * (1 - begin - (end - begin) * step / steps))
         rows, which = np.unique(inputs[place], return_inverse=True)
-        embed = np.zeros((len(rows), WIDTH), np.float32)
-        np.add.at(embed, which.reshape(-1), g["embed"].reshape(-1, WIDTH))
-        g["embed"] = embed
+        order = np.argsort(which, axis=None, kind="stable")
+        begins = np.searchsorted(which.reshape(-1)[order], np.arange(len(rows)))
+        g["embed"] = np.add.reduceat(g["embed"].reshape(-1, WIDTH)[order], begins)
         for name in _PARTS:
             part = rows if name == "embed" else slice(None)
             value, m, s = getattr(model, name), first[name], second[name]

@@ -5,12 +5,16 @@ lower-cased) and one end. The baseline adds up add-one log-probabilities of word
 texts. The model spells each word, with one space before it, in subword ids and predicts ids and the end
 with causal self-attention (``attention``): windows of ids overlap, and each id is scored once.
 
-The attention weights are fitted on windows of at most ``TRAIN_TEXTS`` training texts. Everything else is
-counted over all of them: words, and pairs of a class and the id after it. The ``FREQUENT`` most frequent
+The attention weights are fitted on all windows of all distinct training texts: one task starts with about
+``steps`` batches of windows (small inputs are repeated), then tasks go on with the others, each on texts
+of its own, and their weights are averaged ``ROUNDS`` times. The classes of ids come from the neighbours of
+each id in all distinct training texts. Words, and pairs of a class and the id after it, are counted over
+all training rows. The ``FREQUENT`` most frequent
 words go to every task; the counts of the others are joined by a shuffle, so no word is lost and the
 vocabulary may be of any size.
 
-Null and empty texts are one end. Repeated rows are scored each and learned from each.
+Null and empty texts are one end. Repeated rows are scored each and counted each; the attention weights and
+classes learn from one of equal texts, so that copies do not take the place of others.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from outings.llm import attention
 from outings.llm.tables import least_frequent, written
 from outings.llm.textbytes import chunks, lower_ascii, map_text, prefix_hash, span_hash, spans
 
-#: Training texts of the attention weights, and ids of each text that are used: pieces from all of its length.
-TRAIN_TEXTS, PIECES, PIECE_IDS = 1500, 8, 256
+#: Times that the tasks' weights are averaged at most, and windows that a task trains on before it takes more.
+ROUNDS, TASK_WINDOWS = 8, 1 << 15
+#: Ids whose neighbours a task counts at once.
+IDS = 1 << 18
 #: Words whose counts every task holds, 16 bytes each.
 FREQUENT = 500_000
 #: Spellings kept per Python worker.
@@ -104,35 +110,90 @@ def _sequences(speller: Speller, data: np.ndarray, offsets: np.ndarray):
     return hashes, which, row, inputs, targets, lengths
 
 
-def _sample(docs: DataFrame, text: str, path: str, pattern: str):
-    """Inputs, targets and lengths of pieces of the training sample, and the class of each id."""
+def _distinct(docs: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
+    """Ids and number of windows of each distinct text, with a hash of it."""
 
     def make(column):
-        out = []
+        ids, windows = [], []
         speller = Speller.load(path, pattern)
         for _, _, data, offsets in chunks(column):
             *_, targets, lengths = _sequences(speller, data, offsets)
-            for ids in np.split(targets, np.cumsum(lengths)[:-1]):
-                begins = np.unique(np.linspace(0, max(0, len(ids) - PIECE_IDS), PIECES).astype(int))
-                out.append([ids[b : b + PIECE_IDS].tolist() for b in begins])
-        return [pa.array(out, pa.list_(pa.list_(pa.int32())))]
-
-    schema = T.StructType().add("pieces", T.ArrayType(T.ArrayType(T.IntegerType())))
-    def pack(batches):
-        speller, pieces = Speller.load(path, pattern), []
+            ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+            ids.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(targets.astype(np.int32))))
+            windows.append(attention.n_windows(lengths))
+        return [pa.concat_arrays(ids), pa.array(np.concatenate(windows))]
+
+    schema = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("windows", "long")
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    texts = texts.withColumn("order", F.xxhash64("text"))
+    return map_text(texts, "text", schema, make, ["order"])
+
+
+def _parts(batches):
+    """Id lists (the first column) of the batches in runs of about ``IDS`` ids."""
+    for batch in batches:
+        column = batch.column(0)
+        group = np.cumsum(column.value_lengths().to_numpy().astype(np.int64)) // IDS
+        cuts = (np.flatnonzero(np.diff(group)) + 1).tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(group)], strict=True):
+            if lo < hi:
+                yield column.slice(lo, hi - lo)
+
+
+def _laid_out(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and lengths of id lists, end to end."""
+    targets = column.flatten().to_numpy().astype(np.int64)
+    lengths = column.value_lengths().to_numpy().astype(np.int64)
+    inputs = np.concatenate(([end], targets[:-1]))[: len(targets)]
+    inputs[np.cumsum(lengths)[:-1]] = end
+    return inputs, targets, lengths
+
+
+def _classes(texts: DataFrame, path: str, pattern: str) -> np.ndarray | None:
+    """Class of each id, from counts over all of ``texts``; None without any text."""
+    n_bins = attention.NEAR + 1
+
+    def count(batches):
+        last = Speller.load(path, pattern).end  # so that the counts tell the number of ids
+        for column in _parts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([0])], ["key", "n"])
+            ids, n = np.unique(column.flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(n)], ["key", "n"])
+
+    counted = texts.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    held = _unpacked(counted.repartition(1).mapInArrow(_columns, "packed binary"))
+    if held is None:
+        return None
+
+    def beside(batches):
+        end = Speller.load(path, pattern).end
+        rank = shared.value[1]
+        for column in _parts(batches):
+            inputs, targets, _ = _laid_out(column, end)
+            key = np.concatenate([targets * 2 * n_bins + rank[inputs], inputs * 2 * n_bins + n_bins + rank[targets]])
+            key, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    def make(batches):
+        seen = shared.value[0]
+        feature = np.zeros((len(seen), 2 * n_bins), np.float32)
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                pieces += [np.array(p, np.int64) for p in row]
-        targets = np.concatenate(pieces) if pieces else np.zeros(0, np.int64)
-        inputs = np.concatenate([np.concatenate(([speller.end], p[:-1])) for p in pieces]) if pieces else targets
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        seen = np.bincount(targets, minlength=speller.n_ids)
-        class_of = attention.classes(seen, inputs, targets)
-        yield _packed((inputs.astype(np.int32), targets.astype(np.int32), lengths, class_of))
-
-    picked = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("order")).filter("text IS NOT NULL")
-    picked = map_text(picked.orderBy("order", "text").limit(TRAIN_TEXTS), "text", schema, make, [])
-    return _unpacked(picked.repartition(1).mapInArrow(pack, "packed binary"))
+            bins = batch.column(1)
+            at = np.repeat(batch.column(0).to_numpy(), bins.value_lengths().to_numpy())
+            pair = bins.flatten()
+            feature[at, pair.field("bin").to_numpy()] = pair.field("n").to_numpy()
+        yield _packed(attention.classes(seen, feature))
+
+    seen = np.zeros(int(held[0].max()) + 1, np.int64)
+    seen[held[0]] = held[1]
+    shared = texts.sparkSession.sparkContext.broadcast((seen, attention.nearest_ranks(seen)))
+    pairs = texts.select("ids").mapInArrow(beside, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = pairs.select(
+        F.expr(f"key div {2 * n_bins}").alias("id"),
+        F.struct((F.col("key") % (2 * n_bins)).alias("bin"), F.col("n").cast("float").alias("n")).alias("pair"),
+    )
+    per_id = pairs.groupBy("id").agg(F.collect_list("pair").alias("bins"))  # at most 2 * n_bins of an id
+    return _unpacked(per_id.repartition(1).mapInArrow(make, "packed binary"))
 
 
 def _packed(value) -> pa.RecordBatch:
@@ -179,14 +240,15 @@ def score(
     spark = docs.sparkSession
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learned"), F.col(text).alias("text"))
     training = rows.filter("learned")
-    sample = _sample(training, "text", path, pattern)
-    if sample is None:  # no task had anything to read
-        nothing = np.zeros(0, np.int32)
-        sample = (nothing, nothing, nothing, np.zeros(Speller.load(path, pattern).n_ids, np.int64))
-    counts = written(_counts(training, "text", path, pattern, sample[-1]), "counts")
+    texts = written(_distinct(training, "text", path, pattern), "ids")
+    class_of = _classes(texts, path, pattern)
+    if class_of is None:  # no text to learn from
+        class_of = np.zeros(Speller.load(path, pattern).n_ids, np.int64)
+    counts = written(_counts(training, "text", path, pattern, class_of), "counts")
     words = counts.filter("kind = 0").select("key", "n")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    model = _fitted(counts.filter("kind = 1").select("key", "n"), sample, steps)
+    model = _fitted(counts.filter("kind = 1").select("key", "n"), class_of)
+    model = _trained(texts, model, steps)
     frequent = words.filter(F.col("n") >= least_frequent(words, FREQUENT)).repartition(1).sortWithinPartitions("key")
     known = _unpacked(frequent.mapInArrow(_columns, "packed binary")) or (np.zeros(0, np.int64),) * 2
     shared = spark.sparkContext.broadcast((model, *known))
@@ -243,24 +305,108 @@ def _columns(batches):
         yield _packed(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _fitted(pairs: DataFrame, sample: tuple, steps: int) -> attention.Model:
-    """The trained model with the counted pairs, at most classes times ids of them.
+def _fitted(pairs: DataFrame, class_of: np.ndarray) -> attention.Model:
+    """The untrained model with the counted pairs, at most classes times ids of them.
 
-    One task makes it: numpy has one thread there, and the driver's memory stays free.
+    One task makes it: the driver's memory stays free.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(sample)
+    shared = pairs.sparkSession.sparkContext.broadcast(class_of)
     n_classes = attention.SINGLE + attention.CLUSTERS
 
     def make(batches) -> attention.Model:
-        inputs, targets, lengths, class_of = shared.value
-        n_ids = len(class_of)
-        table = np.zeros((n_classes, n_ids), np.float32)
+        class_of = shared.value
+        table = np.zeros((n_classes, len(class_of)), np.float32)
         for batch in batches:
             table.reshape(-1)[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-        model = attention.start(n_ids, class_of, attention.within_class(table, class_of))
-        return attention.train(model, inputs, targets, lengths, steps)
+        return attention.start(len(class_of), class_of, attention.within_class(table, class_of))
 
     def run(batches):
         yield _packed(make(batches))
 
     return _unpacked(pairs.repartition(1).mapInArrow(run, "packed binary")) or make([])
+
+
+def _trained(texts: DataFrame, model: attention.Model, steps: int) -> attention.Model:
+    """The model with weights fitted on all windows of ``texts``."""
+    total = texts.agg(F.coalesce(F.sum("windows"), F.lit(0)).alias("n")).first().n
+    if not total:
+        return model
+    slots = 1 << 30
+    cut = math.ceil(min(1, steps * attention.BATCH / total) * slots)
+    rest = max(0, total - steps * attention.BATCH)
+    rounds = min(ROUNDS, -(-rest // TASK_WINDOWS))
+    tasks = max(1, rest // max(1, rounds) // TASK_WINDOWS)
+    slot = F.pmod(F.xxhash64("order", F.lit(5)), F.lit(slots))
+    local = rest / max(1, rounds * tasks) / attention.BATCH
+    begin = steps / (steps + rounds * local)
+    within, model.within = model.within, None  # the windows' loss does not need it
+    first = texts.filter(slot < cut).select("order", "ids").repartition(1)
+    model = _averaged(first, model, steps, 1 << 62, 0.0, begin)
+    for number in range(rounds):
+        share = texts.filter((slot >= cut) & (slot % rounds == number)).select("order", "ids").coalesce(tasks)
+        done = [begin + (1 - begin) * (number + more) / rounds for more in (0, 1)]
+        model = _averaged(share, model, 0, TASK_WINDOWS, *done)
+    model.within = within
+    return model
+
+
+def _averaged(
+    texts: DataFrame, model: attention.Model, least: int, at_once: int, begin: float, end: float
+) -> attention.Model:
+    """The model after each task has trained it on all windows of its texts, ``at_once`` of them at a time.
+
+    ``least``: batches at least. A weight is the mean over the tasks that moved it, by how often they did.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    names = [f"v{i}" for i in range(attention.WIDTH)]
+
+    def run(batches):
+        own, held, size = pickle.loads(pickle.dumps(shared.value)), [], 0
+        n_ids = len(own.embed)
+        moved = np.zeros(len(attention.flat(own)))
+
+        def learn():
+            column = pa.concat_arrays([a for _, a in held])
+            column = column.take(pa.array(np.argsort(np.concatenate([o for o, _ in held]), kind="stable")))
+            inputs, targets, lengths = _laid_out(column, n_ids - 1)
+            n = int(attention.n_windows(lengths).sum())
+            attention.train(own, inputs, targets, lengths, max(least, -(-n // attention.BATCH)), begin, end)
+            moved[:n_ids] += np.bincount(inputs, minlength=n_ids)
+            moved[n_ids:] += n
+
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            group = np.cumsum(attention.n_windows(lengths)) // at_once
+            cuts = (np.flatnonzero(np.diff(group)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(group)], strict=True):
+                if lo == hi:
+                    continue
+                held.append((batch.column(0).slice(lo, hi - lo).to_numpy(), batch.column(1).slice(lo, hi - lo)))
+                size += int(attention.n_windows(lengths[lo:hi]).sum())
+                if size >= at_once:
+                    learn()
+                    held, size = [], 0
+        if held:
+            learn()
+        rows = np.flatnonzero(moved)
+        values = attention.flat(own)[rows] * moved[rows][:, None]
+        columns = [pa.array(rows), pa.array(moved[rows]), *map(pa.array, np.ascontiguousarray(values.T))]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "n", *names])
+
+    def gather(batches):
+        rows, values = [], []
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            rows.append(columns[0])
+            values.append((np.stack(columns[2:], axis=1) / columns[1][:, None]).astype(np.float32))
+        if rows:
+            yield _packed((np.concatenate(rows), np.concatenate(values)))
+
+    moved = texts.mapInArrow(run, f"row long, n double, {', '.join(f'{n} double' for n in names)}")
+    sums = moved.groupBy("row").agg(*[F.sum(n).alias(n) for n in ("n", *names)])
+    made = _unpacked(sums.repartition(1).mapInArrow(gather, "packed binary"))
+    if made is None:
+        return model
+    rows = attention.flat(model)
+    rows[made[0]] = made[1]
+    return attention.assign(model, rows)

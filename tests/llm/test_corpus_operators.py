@@ -388,6 +388,33 @@ def test_scores_over_odd_rows(odd, none, monkeypatch):
     assert len(scored(odd, F.lit(None).cast("boolean"), monkeypatch, 3)) == odd.count()
 
 
+def trained_on(rows, monkeypatch, steps=1, at_once=64):
+    """Ids of the distinct texts, classes, and ids whose vectors the training has moved."""
+    monkeypatch.setattr(lmscore, "TASK_WINDOWS", at_once)
+    own = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    texts = tables.written(lmscore._distinct(rows, "text", *own), "ids")
+    class_of = lmscore._classes(texts, *own)
+    pairs = tables.written(lmscore._counts(rows, "text", *own, class_of), "counts").filter("kind = 1")
+    model = lmscore._fitted(pairs.select("key", "n"), class_of)
+    before = model.embed.copy()
+    model = lmscore._trained(texts, model, steps)
+    ids = [r.ids for r in texts.collect()]
+    return ids, class_of, set(np.flatnonzero((model.embed != before).any(axis=1)).tolist())
+
+
+def test_attention_learns_from_every_text(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (1_700, 40)).astype(np.uint8)
+    rows = [(" ".join(bytes(w).decode() for w in t.reshape(8, 5)),) for t in letters]
+    ids, class_of, moved = trained_on(spark.createDataFrame(rows, "text string").repartition(5), monkeypatch)
+    inputs = {i for t in ids for i in t}
+    assert len(ids) == 1_700 and moved == inputs
+    often = collections.Counter(i for t in ids for i in t)
+    single = {i for i, _ in often.most_common(attention.SINGLE)}
+    rest = [class_of[i] for i, n in often.items() if n >= 4 and i not in single]
+    assert len(set(rest)) > attention.CLUSTERS // 2
+
+
 # ---- chat
 
 
