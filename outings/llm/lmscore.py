@@ -124,7 +124,7 @@ def _distinct(docs: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
         return [pa.concat_arrays(ids), pa.array(np.concatenate(windows))]
 
     schema = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("windows", "long")
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(text).alias("text")).distinct()
     texts = texts.withColumn("order", F.xxhash64("text"))
     return map_text(texts, "text", schema, make, ["order"])
 
