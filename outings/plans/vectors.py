@@ -82,7 +82,7 @@ def _queries(t):
 
 @query("ivf_topk")
 def ivf(t):
-    found = ivf_topk(t.embeddings, _queries(t), 5, ["vec_id"], n_probe=8)
+    found = ivf_topk(t.embeddings, _queries(t), 5, ["vec_id"])
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -18,6 +18,7 @@ from outings.operators.ingest import calendar_events, upsert_calendar
 from outings.operators.quality import (
     PRICE_LEVELS, VIBE_RANGES, event_checks, out_of_range, rejected_rows, too_long, valid_rows,
 )
+from outings.plans import QUERIES
 from outings.sources.ics import ics_events
 from outings.sources.sinks import SnapshotTable
 from outings.streaming import ingest as SI
@@ -246,6 +247,14 @@ def test_probing_lists(t):
     assert SM.list_count(95) == 10 and SM.list_count(0) == 1
 
 
+def test_registered_probing_finds_nine_of_ten(t):
+    exact = SM.nearest(queries_of(t), t.embeddings, 5, ["vec_id"])
+    found = QUERIES["ivf_topk"].build(t)
+    others = [df.filter("query_id != vec_id") for df in (found, exact)]
+    assert SM.recall(*others, ["vec_id"]).first().recall >= 0.9
+    assert SM.list_count(1_000_000) == 1_000
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([(1, "jazz at noon"), (2, " "), (3, None)], "id int, body string")
     rows = {r.id: r.v for r in hashed_embedding(df, "body", "v", 16).collect()}
