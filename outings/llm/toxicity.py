@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ ORDER = 7
 #: what stands in one or two texts of a class says little about the class.
 DISCOUNTS = (1.0, 1.9, 2.5)
 WINDOW = 2
-#: Labelled texts used: of each class for the models, and in all for the curve. The rest of the labels is not needed.
+#: Labelled texts of each class that are used, for the models and for the curve. The rest of the labels is not needed.
 MODEL_TEXTS, CURVE_TEXTS = 8_000, 4_000
 #: Most byte n-grams in the model (the most frequent), about 12 bytes each in every task.
 MAX_GRAMS = 4_000_000
@@ -233,7 +234,8 @@ def _smallest(rows: DataFrame, n: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Model from labelled texts. ``labels``: id and label (1 toxic, 0 ordinary; the larger of several).
 
-    At most ``MODEL_TEXTS`` texts of each class and ``CURVE_TEXTS`` others are read, chosen by a hash of the id.
+    At most ``MODEL_TEXTS`` texts of each class and ``CURVE_TEXTS`` others of each are read, chosen by a hash of
+    the id. In the curve each class has the weight of its share of the labels.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull())
@@ -246,10 +248,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if len(shares) < 2:
         share = shares.get(1, 0) / max(1, total)
         return Model(offset=np.inf if share else -np.inf)
-    sample = _smallest(known.filter("curve"), CURVE_TEXTS)
-    for value in (0, 1):
-        sample = sample.unionAll(_smallest(known.filter(~F.col("curve") & (F.col("label") == value)), MODEL_TEXTS))
-    sample = sample.select("id", "label", "curve")
+    parts = [
+        _smallest(known.filter((F.col("curve") == curve) & (F.col("label") == value)), most)
+        for curve, most in ((True, CURVE_TEXTS), (False, MODEL_TEXTS))
+        for value in (0, 1)
+    ]
+    sample = reduce(DataFrame.unionAll, parts).select("id", "label", "curve")
     picked = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id")
     counts = gram_counts(picked.filter(~F.col("curve")), "text", "label")
     counts = written(counts, "grams")
@@ -265,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     if len(set(y)) < 2:
         model.offset = float(np.log(shares[1] / shares[0]))
         return model
-    model.slope, model.offset = _curve(unseen["evidence"].to_numpy(), y, np.ones(len(y)))
+    share = shares[1] / total
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    model.slope, model.offset = _curve(unseen["evidence"].to_numpy(), y, weight)
     return model
 
 

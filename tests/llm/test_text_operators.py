@@ -184,6 +184,18 @@ def test_toxicity_learns_stems_and_keeps_clean_texts(spark):
     assert toxicity.keep_ordinary(docs, model).columns == docs.columns
 
 
+def test_curve_sees_a_rare_class(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CURVE_TEXTS", 8)
+    rng = random.Random(4)
+    words = ["garden", "window", "river", "market", "letter", "summer"]
+    rows = [(i, " ".join(rng.choices(words, k=12) + ["vilescum"] * (i % 50 == 0)), int(i % 50 == 0)) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
+    assert model.slope > 0
+    scored = toxicity.predict(docs, model).collect()
+    assert min(r.score for r in scored if r.toxic) > 0.5 > max(r.score for r in scored if not r.toxic)
+
+
 def test_toxicity_over_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (9, None), (None, 1), (6, 0), (99, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
