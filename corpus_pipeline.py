@@ -15,8 +15,9 @@ from outings.llm.tables import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language: null or without any letter."""
-    return langid.keep_identified(docs, langid.fit(docs, "lang"))
+    """Drop texts without a language: null, without any letter, or unlike the learned texts of their length."""
+    prototypes = langid.fit(docs, "lang")
+    return langid.keep_identified(docs, prototypes, least=langid.least_cosines(docs, prototypes, "lang"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,10 @@ TEXTS, CHARS, GRAMS = 256, 1 << 19, 2048
 #: Prototypes are held by the driver and every task: 16 KB a language.
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
+#: A text is unlike all languages below ``SHARE`` of the cosine that all but ``LOW`` of the learned texts of its
+#: length reach. Texts of fewer than ``LEAST`` trigrams have no bound: their cosines spread down to those of noise.
+LOW, SHARE, LEAST = 0.01, 0.5, 8
+_STEPS = 1000
 
 _SPACE = 32
 _tables: dict[str, np.ndarray] = {}
@@ -189,28 +193,71 @@ def predict(
     """``docs`` with ``lang_pred`` and ``score``, the cosine with that language's prototype (0 to 1)."""
     schema = T.StructType().add("lang_pred", "string", False).add("score", "double", False)
     classify = _classifier(prototypes)
-    return map_text(docs, text, schema, lambda column: [pa.array(x) for x in classify(column)], keep)
+    return map_text(docs, text, schema, lambda column: [pa.array(x) for x in classify(column)[:2]], keep)
 
 
-def keep_identified(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language."""
+def _length_class(count: np.ndarray) -> np.ndarray:
+    """Powers of two of the number of trigrams."""
+    return np.log2(np.maximum(1, count)).astype(np.int64)
+
+
+def least_cosines(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], label: str, text: str = "text"
+) -> np.ndarray:
+    """Least cosine by length class, from the cosines of all learned texts. A class without texts has that of the
+    next shorter one with texts, and none if there is no such class."""
     classify = _classifier(prototypes)
-    return keep_rows(docs, text, lambda column: np.array(classify(column)[0], object) != UNKNOWN)
+
+    def run(batches):
+        for batch in batches:
+            for first, end, _, _ in chunks(batch.column(0)):
+                _, score, count = classify(batch.column(0).slice(first, end - first))
+                cell = _length_class(count) * (_STEPS + 1) + np.floor(np.array(score) * _STEPS).astype(np.int64)
+                cell, n = np.unique(cell[count >= LEAST], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    known = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
+    cells = known.select(F.col(text)).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    table = np.zeros((64, _STEPS + 1), np.int64)
+    for row in cells.toLocalIterator():  # at most a cell a length class and step
+        table.reshape(-1)[row.cell] = row.n
+    least, last = np.zeros(64), 0.0
+    for number, own in enumerate(table):
+        if own.sum():
+            last = SHARE * int(np.searchsorted(np.cumsum(own), LOW * own.sum(), "right")) / _STEPS
+        least[number] = last
+    return least
+
+
+def keep_identified(
+    docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", least: np.ndarray | None = None
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a cosine not under ``least`` of its length class."""
+    classify = _classifier(prototypes)
+
+    def decide(column: pa.Array) -> np.ndarray:
+        names, score, count = classify(column)
+        found = np.array(names, object) != UNKNOWN
+        if least is None:
+            return found
+        return found & ((count < LEAST) | (np.array(score) >= least[_length_class(count)]))
+
+    return keep_rows(docs, text, decide)
 
 
 def _classifier(prototypes: dict[str, np.ndarray]):
     names = sorted(prototypes)
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else None
 
-    def classify(column: pa.Array) -> tuple[list[str], list[float]]:
+    def classify(column: pa.Array) -> tuple[list[str], list[float], np.ndarray]:
         if matrix is None:
-            return [UNKNOWN] * len(column), [0.0] * len(column)
+            return [UNKNOWN] * len(column), [0.0] * len(column), np.zeros(len(column), np.int64)
         vectors, count = bundle(column.to_pylist(), matrix.shape[1])
         norm = np.linalg.norm(vectors, axis=1)
         cosine = (vectors @ matrix.T).astype(np.float64) / np.where(norm > 0, norm, 1)[:, None]
         best = np.round(cosine, 6).argmax(axis=1)
         found = count > 0
         score = np.where(found, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-        return [names[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)], score.tolist()
+        return [names[b] if f else UNKNOWN for b, f in zip(best, found, strict=True)], score.tolist(), count
 
     return classify

@@ -158,6 +158,18 @@ def test_op1_held_out_accuracy(spark, data):
     assert np.mean(right) > 0.97
 
 
+def test_language_stage_rejects_unlike_texts(spark, data):
+    from corpus_pipeline import identify_language
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+    noise = [(-i, " ".join("".join(rng.choices("qxzjvkwy", k=6)) for _ in range(60)), None) for i in range(1, 21)]
+    foreign = [(-100, "съешь же ещё этих мягких французских булок да выпей чаю " * 4, None)]
+    kept = {r.doc_id for r in identify_language(spark, docs.unionAll(spark.createDataFrame(noise + foreign, docs.schema)), data).collect()}
+    assert not any(i < 0 for i in kept)
+    assert len(kept) >= 0.99 * docs.count()
+
+
 # ---- toxicity
 
 
