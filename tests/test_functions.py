@@ -161,6 +161,14 @@ def test_json_repair(value):
     assert value(X.hours_unverified(L("by appointment"))) is False
 
 
+def test_json_repair_of_deep_indents(value):
+    deep = "\n" + " " * 40
+    raw = "{" + deep + "open: 08:00," + deep + "kinds: [" + deep + "a," + deep + "b]," + deep + "hours_verified:" + deep + "false}"
+    fixed = "{" + deep + '"open": "08:00",' + deep + '"kinds": [' + deep + '"a",' + deep + '"b"],' + deep + '"hours_verified":' + deep + "false}"
+    assert value(X.fix_json(L(raw))) == fixed
+    assert value(X.hours_unverified(L(raw))) is True
+
+
 def test_venues_and_times(value):
     assert value(X.extract_location(L("Meet at Union Hall on Friday"))) == "Union Hall"
     assert value(X.extract_location(L("Venue: The Shed. Late"))) == "The Shed"
