@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, neardup, tokenfile, toxicity
+from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, merkle, neardup, tokenfile, toxicity
 from outings.llm.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,88 @@ def op3_token_files(spark: SparkSession, path: str) -> DataFrame:
     docs = table(spark, path, "documents").select("doc_id", "text")
     files = tokenfile.write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokenfile.read_files(files)
+
+
+#: The columns of a document, in the order in which they enter its leaf.
+DOCUMENT = ["doc_id", "source", "lang", "n_chars", "text"]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, path: str) -> DataFrame:
+    docs = table(spark, path, "documents").select(*DOCUMENT)
+    tampered = F.when(_crc("doc_id", 5) == 0, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, DOCUMENT, group="source", id="doc_id", shown={"text": tampered})
+    return rows.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
+def _field(expression: str) -> str:
+    return f"coalesce(strlen(CAST({expression} AS VARCHAR)) || ':' || CAST({expression} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in [*DOCUMENT[:-1], text]) + ")"
+
+
+#: CRC-32 bit by bit: DuckDB has no such function.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC = f"""
+crcs(crc_id, digits, c, i) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT), 0 FROM documents
+  WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT crc_id, digits, CASE WHEN i % 9 = 0 THEN xor(c, ascii(substr(digits, i // 9 + 1, 1))) ELSE {_CRC_STEP} END,
+    i + 1
+  FROM crcs WHERE i < 9 * length(digits)
+), crc AS (
+  SELECT crc_id, xor(c, 4294967295) AS crc FROM crcs WHERE i = 9 * length(digits)
+)"""
+
+
+def _levels(name: str) -> str:
+    """The levels of the trees in ``{name}0``, and the siblings of every node."""
+    return f"""
+{name}(tree, level, idx, n, hash) AS (
+  SELECT tree, 0, idx, n, hash FROM {name}0
+  UNION ALL
+  SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY idx))
+  FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 16, n
+), {name}_steps AS (
+  SELECT tree, level, idx, hash, n,
+    coalesce(string_agg(hash, '' ORDER BY idx) OVER (PARTITION BY tree, level, idx // 16 ORDER BY idx
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(hash, '' ORDER BY idx) OVER (PARTITION BY tree, level, idx // 16 ORDER BY idx
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {name}
+)"""
+
+
+ORACLE_SQL["op13_merkle_manifest"] = f"""
+WITH RECURSIVE {_CRC.strip()}, leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS hash,
+    CASE WHEN crc % 5 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf("text")} END AS seen
+  FROM documents d LEFT JOIN crc ON crc_id = doc_id
+), low0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash) - 1 AS idx,
+    count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), {_levels("low").strip()}, top0 AS (
+  SELECT '' AS tree, tree AS member, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, hash
+  FROM low WHERE n = 1
+), {_levels("top").strip()}, walk(doc_id, tree, idx, level, leaf, h, proof, n) AS (
+  SELECT doc_id, tree, idx, 0, hash, seen, '', n FROM low0
+  UNION ALL
+  SELECT w.doc_id, w.tree, w.idx // 16, w.level + 1, leaf, sha256(before || h || after), proof || before || after,
+    (w.n + 15) // 16
+  FROM walk w JOIN low_steps s ON s.tree = w.tree AND s.level = w.level AND s.idx = w.idx WHERE w.n > 1
+), climb(doc_id, subroot, idx, level, leaf, h, proof, n) AS (
+  SELECT doc_id, t.hash, t.idx, 0, leaf, h, proof, t.n FROM walk w JOIN top0 t ON t.member = w.tree WHERE w.n = 1
+  UNION ALL
+  SELECT doc_id, subroot, c.idx // 16, c.level + 1, leaf, sha256(before || h || after), proof || before || after,
+    (c.n + 15) // 16
+  FROM climb c JOIN top_steps s ON s.level = c.level AND s.idx = c.idx WHERE c.n > 1
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM climb, (SELECT hash AS root FROM top WHERE n = 1) WHERE n = 1"""
