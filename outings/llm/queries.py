@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, merkle, neardup, tokenfile, toxicity
+from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, merkle, neardup, tokenfile, toxicity, windows
 from outings.llm.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +210,29 @@ WITH RECURSIVE {_CRC.strip()}, leaves AS (
 )
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified
 FROM climb, (SELECT hash AS root FROM top WHERE n = 1) WHERE n = 1"""
+
+
+@query
+def op12_repeated_windows(spark: SparkSession, path: str) -> DataFrame:
+    rows = windows.drop_repeats(table(spark, path, "documents").select("doc_id", "text"), size=20)
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op12_repeated_windows"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20
+), ranked AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS place
+  FROM starts
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM ranked WHERE place > 1
+), every AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body
+  FROM every ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
