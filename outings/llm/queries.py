@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, merkle, neardup, tokenfile, toxicity, windows
+from outings.llm import ann, bpe, chat, decontaminate, hilbert, langid, lmscore, merkle, neardup, pqcodes, tokenfile, toxicity, windows
 from outings.llm.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,3 +237,52 @@ WITH words AS (
 )
 SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)"""
+
+
+@query
+def op11_vector_codes(spark: SparkSession, path: str) -> DataFrame:
+    rows = table(spark, path, "embeddings").select("vec_id", "embedding", "label")
+    coded, books = pqcodes.fit_encode(rows, parts=8, entries=16, rounds=6)
+    listed = ",".join(str(v) for book in books for v in book.ravel())
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return pqcodes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error",
+        F.lit(hashlib.sha256(listed.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
+def _assigned(book: str) -> str:
+    """Entry and squared distance of each part under a codebook."""
+    return f"""SELECT id, part, min(far) AS far, arg_min(entry, (far, entry)) AS entry FROM (
+    SELECT id, x.part, entry, sum((v - c) * (v - c)) AS far
+    FROM x JOIN {book} b ON b.part = x.part AND b.place = x.place GROUP BY id, x.part, entry
+  ) GROUP BY id, part"""
+
+
+_FLOOR = "CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT)"
+_ROUNDS = "".join(
+    f""", a{r} AS MATERIALIZED ({_assigned(f"b{r}")}), m{r} AS (
+  SELECT x.part, entry, place, {_FLOOR.replace("/", "//")} AS c FROM x JOIN a{r} USING (id, part) GROUP BY x.part, entry, place
+), b{r + 1} AS MATERIALIZED (
+  SELECT part, entry, place, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry, place)
+)"""
+    for r in range(6)
+)
+ORACLE_SQL["op11_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label,
+    [CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT) FOR v IN embedding] AS xs, len(embedding) // 8 AS width
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR v IN embedding IF v IS NULL OR NOT isfinite(v)]) = 0
+), x AS MATERIALIZED (
+  SELECT id, (i - 1) // width AS part, (i - 1) % width AS place, v
+  FROM (SELECT id, width, unnest(xs) AS v, unnest(range(1, len(xs) + 1)) AS i FROM kept)
+), b0 AS (
+  SELECT part, id - 1 AS entry, place, v AS c FROM x WHERE id <= 16
+){_ROUNDS}, last AS ({_assigned("b6")}), coded AS (
+  SELECT id, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM last GROUP BY id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, place)) FROM b6) AS codebooks_sha256
+FROM coded JOIN kept USING (id)"""
