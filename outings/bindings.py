@@ -145,9 +145,9 @@ def bound_hours() -> Column:
     )
 
 
-def bound(columns: list[str], vectors: int | str) -> list[str]:
+def bound(columns: list[str], vectors: str) -> list[str]:
     """Column expressions with the number of stored vectors put in, so that rows refer to all of them."""
-    return [c.replace("{vectors}", str(vectors)) for c in columns]
+    return [c.replace("{vectors}", vectors) for c in columns]
 
 
 class Tables:
@@ -160,10 +160,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
-    @cached_property
-    def vectors(self) -> int:
-        """Number of stored vectors, at least one; read from the files' footers."""
-        return max(1, self.raw("embeddings").count())
+    @property
+    def vectors(self) -> str:
+        """Number of stored vectors, at least one, as a subquery; nothing is counted where ``vec_id`` is not read."""
+        return f"(SELECT greatest(1, count(*)) FROM parquet.`{self.path}/embeddings.parquet`)"
 
     @cached_property
     def cities(self) -> DataFrame:

@@ -262,18 +262,18 @@ def rejected(t):
 
 
 _AVAILABILITY = (
-    "CASE WHEN id % 7 = 0 THEN 'by appointment' ELSE concat('{open:0', CAST(id % 10 AS STRING), "
-    "':00, kind:', category_word, ',hours_verified:', "
-    "CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END, '}') END"
+    "CASE WHEN id % 7 = 0 THEN 'by appointment' WHEN id % 11 <> 0 THEN concat('{open:0', "
+    "CAST(id % 10 AS STRING), ':00, kind:', category_word, ',\\n            note: \"', name, ', grill, pub\", "
+    "hours_verified:', CASE WHEN id % 3 = 0 THEN 'true' ELSE 'false' END, '}') END"
 )
 
 
 @query(
     "hours_unverified",
-    with_model("SELECT id FROM places WHERE id % 7 <> 0 AND id % 3 <> 0"),
+    with_model("SELECT id FROM places WHERE id % 7 <> 0 AND id % 11 <> 0 AND id % 3 <> 0"),
 )
 def unverified(t):
-    sheet = t.places.select("id", F.lit("regular").alias("category_word")).withColumn(
+    sheet = t.places.select("id", "name", F.lit("regular").alias("category_word")).withColumn(
         "availability", F.expr(_AVAILABILITY)
     )
     return sheet.filter(hours_unverified(F.col("availability"))).select("id")

@@ -219,15 +219,22 @@ _SLUG_B = (
 _over_documents("slugify_words", _SLUG_A.format(c="text"), lambda: X.slugify_words(_text()))
 _over_documents("slugify_alnum", _SLUG_B.format(c="text"), lambda: X.slugify_alnum(_text()))
 _over_documents("snippet", "substring(text, 1, 100)", lambda: X.snippet(_text(), 100))
-# Each document ends with one of the three forms; the words before them hold no venue of their own.
+# The documents name few venues, so three quarters get one more form behind their own words.
 _VENUE = (
-    "concat(lower(text), CASE doc_id % 4 WHEN 0 THEN '. Meet at Union Hall on the corner. ' WHEN 1 THEN "
+    "concat(text, CASE doc_id % 4 WHEN 0 THEN '. Meet at Union Hall on the corner. ' WHEN 1 THEN "
     "'. LOCATION: Old Mill. ' WHEN 2 THEN '. Venue:  The Shed. ' ELSE '.' END)"
 )
+
+
+def _venue_sql(form: str) -> str:
+    return f"nullif(trim(regexp_extract({_VENUE}, '{form}', 1)), '')"
+
+
 _over_documents(
     "extract_location",
-    "CASE doc_id % 4 WHEN 0 THEN 'Union Hall' WHEN 1 THEN 'Old Mill' WHEN 2 THEN 'The Shed' ELSE 'none' END",
-    lambda: F.coalesce(X.extract_location(F.expr(_VENUE)), F.lit("none")),
+    "coalesce(" + _venue_sql(r"at\s+([A-Z][A-Za-z\s&]+?)(?:\s+on|\s+from|\.|,)") + ", "
+    + _venue_sql(r"(?i)location:\s*([^.\n]+)") + ", " + _venue_sql(r"(?i)venue:\s*([^.\n]+)") + ")",
+    lambda: X.extract_location(F.expr(_VENUE)),
 )
 
 
@@ -327,16 +334,22 @@ def vibe_triples(t):
     return parsed.select("id", "v.quiet", "v.inside", "v.active")
 
 
+# Bare words, clock times, quoted text with commas, colons, brackets and quotes, null and no text at all.
 @query(
     "fix_json",
-    "SELECT p_partkey AS id, concat('{\"days\":\"', p_brand_word, '\", \"opens\":\"08:', "
-    "CAST(p_size % 50 + 10 AS VARCHAR), '\",\"hours_verified\":', CASE WHEN p_size % 2 = 0 THEN "
-    "'true' ELSE 'false' END, '}') AS fixed FROM (SELECT *, lower(p_type) AS p_brand_word "
-    "FROM part)",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 <> 0 THEN concat('{\"days\":\"', lower(p_type), "
+    "'\", \"note\": \"bar, ', p_name, ', pub: {open, 08:30}\", \"said\":\"a \\\"', p_brand, ', x\\\"\", "
+    "\"opens\":\"08:', CAST(p_size % 50 + 10 AS VARCHAR), '\",\"gone\": null,\"hours_verified\":', "
+    "CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '}') END AS fixed FROM part",
 )
 def json_fixed(t):
-    raw = F.expr(
-        "concat('{days:', lower(p_type), ', opens:08:', CAST(p_size % 50 + 10 AS STRING), "
-        "',hours_verified:', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '}')"
+    raw = F.when(
+        F.col("p_partkey") % 11 != 0,
+        F.concat(
+            F.lit("{days:"), F.lower("p_type"), F.lit(', note: "bar, '), F.col("p_name"),
+            F.lit(', pub: {open, 08:30}", "said":"a \\"'), F.col("p_brand"), F.lit(', x\\"", opens:08:'),
+            (F.col("p_size") % 50 + 10).cast("string"), F.lit(",gone: null,hours_verified:"),
+            F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), F.lit("}"),
+        ),
     )
     return t.raw("part").select(F.col("p_partkey").alias("id"), X.fix_json(raw).alias("fixed"))

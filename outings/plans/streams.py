@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from outings.bindings import AS_OF, EVENT_COLUMNS, bound, with_model
+from outings.bindings import AS_OF, EVENT_COLUMNS, with_model
 from outings.operators.ingest import KEYS
 from outings.plans.landing import CALENDAR_SQL, feed_texts
 from outings.plans.registry import query
@@ -19,9 +19,9 @@ def _files(t, name: str) -> str:
 
 
 def _event_stream(t):
-    """The events table as a stream of its files."""
+    """The events table as a stream of its files, without vectors."""
     raw = S.table_stream(t.spark, _files(t, "events"), t.raw("events").schema)
-    return raw.selectExpr(*bound(EVENT_COLUMNS, t.vectors))
+    return raw.selectExpr(*[c for c in EVENT_COLUMNS if "{vectors}" not in c])
 
 
 @query("stream_ingest", with_model(CALENDAR_SQL))

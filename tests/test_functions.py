@@ -161,6 +161,19 @@ def test_json_repair(value):
     assert value(X.hours_unverified(L("by appointment"))) is False
 
 
+def test_json_repair_leaves_quoted_text_and_null(value):
+    raw = r'{"note": "bar, grill, pub", said:"a \"b, c\" d", none: null, true: true, nullish: null-ish, hours_verified: false}'
+    assert value(X.fix_json(L(raw))) == (
+        r'{"note": "bar, grill, pub", "said":"a \"b, c\" d", "none": null, "true": true, "nullish": "null-ish", '
+        '"hours_verified": false}'
+    )
+    assert value(X.hours_unverified(L(raw))) is True
+    assert value(X.fix_json(L(None).cast("string"))) is None and value(X.fix_json(L(""))) == ""
+    assert value(X.fix_json(L('{"open, a: b'))) == '{"open, a: b'  # an open quote reaches to the end
+    for long in ("x, y: " * 20_000, '\\"' * 20_000):
+        assert value(X.fix_json(L('{a: "' + long + '", b: c}'))) == '{"a": "' + long + '", "b": "c"}'
+
+
 def test_json_repair_of_deep_indents(value):
     deep = "\n" + " " * 40
     raw = "{" + deep + "open: 08:00," + deep + "kinds: [" + deep + "a," + deep + "b]," + deep + "hours_verified:" + deep + "false}"
