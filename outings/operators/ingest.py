@@ -146,9 +146,12 @@ def card_event_rows(cards: DataFrame, source: str, city_id: int, as_of) -> DataF
     )
 
 
-def upsert_calendar(target: DataFrame | None, rows: DataFrame, seq: str, as_of) -> DataFrame:
-    """Merge calendar rows into the events snapshot."""
+def upsert_calendar(
+    target: DataFrame | None, rows: DataFrame, seq: str, as_of, deal_by: list[str] | None = None
+) -> DataFrame:
+    """Merge calendar rows into the events; ``deal_by`` as in ``upsert``."""
     rows = rows.withColumn("updated_at", ts(as_of))
     if target is None:
         target = rows.limit(0)
-    return upsert(target, rows, KEYS, CALENDAR_UPDATES, seq, as_of=as_of)
+    keys = [*(deal_by or []), *KEYS]
+    return upsert(target, rows, keys, CALENDAR_UPDATES, seq, as_of=as_of, deal_by=deal_by)

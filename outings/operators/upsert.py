@@ -1,8 +1,8 @@
 """Snapshot-in, snapshot-out mutations.
 
-The target may be very large and a batch is usually small, so the target is
-left-joined to the batch (Spark broadcasts the batch when its measured size
-allows) instead of a full outer join that would always shuffle the target.
+A merge is one pass: target and batch rows travel together and are reduced per
+key in one exchange. Where the target is large and the batch small, the target is
+a ``BucketedTable``, which hands in only the buckets that the batch touches.
 A key with a NULL part never matches, as in SQL uniqueness.
 """
 
@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import (
+    Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T,
+)
 
 from outings.functions.times import ts
+from outings.operators.quality import first_reason
 
 
 def _keyed(keys: list[str]) -> Column:
@@ -22,6 +25,11 @@ def _keyed(keys: list[str]) -> Column:
     return out
 
 
+def _alone(keys: list[str]) -> Column:
+    """A number of its own for each row whose key has a NULL, 0 for all others."""
+    return F.when(_keyed(keys), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id() + 1)
+
+
 def dedupe(df: DataFrame, keys: list[str], seq: str, keep: str) -> DataFrame:
     """First or last row per key by ``seq``; rows whose key has a NULL all stay.
 
@@ -31,9 +39,9 @@ def dedupe(df: DataFrame, keys: list[str], seq: str, keep: str) -> DataFrame:
     if keep not in ("first", "last"):
         raise ValueError("keep is 'first' or 'last'")
     order = F.col(seq).asc() if keep == "first" else F.col(seq).desc()
-    window = Window.partitionBy(*keys).orderBy(order)
-    ranked = df.filter(_keyed(keys)).withColumn("_n", F.row_number().over(window))
-    return ranked.filter(F.col("_n") == 1).drop("_n").unionByName(df.filter(~_keyed(keys)))
+    window = Window.partitionBy(*keys, "_alone").orderBy(order)
+    ranked = df.withColumn("_alone", _alone(keys)).withColumn("_n", F.row_number().over(window))
+    return ranked.filter(F.col("_n") == 1).drop("_n", "_alone")
 
 
 def dedupe_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -44,21 +52,6 @@ def dedupe_first(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return dedupe(df, keys, seq, "first")
 
 
-def collapse_batch(batch: DataFrame, keys: list[str], update_cols: list[str], seq: str):
-    """One row per key as a row-by-row upsert would leave it.
-
-    Updated columns come from the last row, all others from the first. Both are
-    partial aggregates, so repeats shrink before the shuffle.
-    """
-    kept = [c for c in batch.columns if c not in (*keys, *update_cols)]
-    with_key = batch.filter(_keyed(keys)).groupBy(*keys).agg(
-        F.max_by(F.struct(*update_cols), F.col(seq)).alias("_last"),
-        F.min_by(F.struct(*kept), F.col(seq)).alias("_first"),
-    )
-    flat = with_key.select(*keys, "_last.*", "_first.*").select(*batch.columns)
-    return flat.unionByName(batch.filter(~_keyed(keys)))
-
-
 def existing_keys(batch: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Batch rows whose key is in the target.
 
@@ -83,47 +76,91 @@ def merge_lookup(batch: DataFrame, target: DataFrame, keys: list[str], columns:
 
 
 def insert_new(target: DataFrame, batch: DataFrame, keys: list[str], seq: str | None = None):
-    """Target plus batch rows with a new key; of repeats the first is kept."""
-    fresh = new_keys(batch, target, keys)
+    """Target plus batch rows with a new key; with ``seq`` the first of repeats only, in one pass."""
     if seq:
-        fresh = dedupe_first(fresh, keys, seq)
-    return target.unionByName(fresh.select(*target.columns))
+        return upsert(target, batch, keys, [], seq, keep="first")
+    return target.unionByName(new_keys(batch, target, keys).select(*target.columns))
 
 
 def upsert(
     target: DataFrame, batch: DataFrame, keys: list[str], update_cols: list[str], seq: str,
-    keep: str = "last", as_of=None,
+    keep: str = "last", as_of=None, checks: dict[str, Column] | None = None,
+    counts: Observation | None = None, deal_by: list[str] | None = None, guard: bool = False,
 ) -> DataFrame:
-    """Insert new keys, overwrite ``update_cols`` of known ones.
-
-    ``keep='last'`` treats batch repeats like row-by-row upserts (see
-    ``collapse_batch``); ``keep='first'`` takes the first row only, as an insert
-    that drops conflicts inside its own batch. With ``as_of``, ``updated_at`` is
-    set on every row that is touched.
+    """Insert new keys, overwrite ``update_cols`` of known ones; the target has one row per key.
+
+    ``keep='last'`` treats batch repeats like row-by-row upserts: updated columns come from the last
+    row by ``seq``, all others of a new key from the first. ``keep='first'`` takes the first row only, as
+    an insert that drops conflicts inside its own batch. With ``as_of``, ``updated_at`` is set on every
+    row that is touched.
+
+    Both sides are one tagged union, reduced per key by partial aggregates, so repeats of a hot key
+    shrink before the only exchange. ``deal_by`` names columns (a function of the keys, such as a bucket)
+    by which the union is dealt out first; the reduction then needs no exchange of its own.
+    ``guard`` leaves a known row alone if its stored ``seq`` is above all of the batch's, so versions may
+    arrive in any order. Batch rows that fail ``checks`` are left out. ``counts`` observes, in the same run, the input rows
+    ``inserted`` (the first row of a new key), ``updated`` (its repeats, and all rows of known keys) and
+    ``skipped``; it counts behind the exchange, in the tasks that write the result.
     """
-    if keep == "last":
-        rows = collapse_batch(batch, keys, update_cols, seq)
-    else:
-        rows = dedupe_first(batch, keys, seq)
-    changes = rows.filter(_keyed(keys)).select(
-        *keys, F.lit(True).alias("_hit"), F.struct(*update_cols).alias("_new")
-    )
-    merged = target.join(changes, keys, "left")
+    if keep not in ("first", "last"):
+        raise ValueError("keep is 'first' or 'last'")
+    good = first_reason(checks).isNull() if checks else F.lit(True)
+    kept = list(dict.fromkeys([*(c for c in target.columns if c in batch.columns), *update_cols]))
+    old = target.select(
+        *keys, F.struct(*target.columns).alias("_old"), F.lit(None).cast(_struct(batch, kept)).alias("_new"),
+        F.lit(None).cast(batch.schema[seq].dataType).alias("_seq"), F.lit(False).alias("_bad"),
+    )
+    new = batch.select(
+        *keys, F.lit(None).cast(_struct(target, target.columns)).alias("_old"),
+        F.when(good, F.struct(*kept)).alias("_new"), F.col(seq).alias("_seq"), (~good).alias("_bad"),
+    )
+    both = old.unionByName(new)
+    if deal_by:
+        both = both.repartition(*deal_by)
+    alone = F.when(F.col("_bad"), F.monotonically_increasing_id() + 1).otherwise(_alone(keys))
+    is_new = F.col("_new").isNotNull()
+    last = F.max_by("_new", F.struct(is_new, "_seq"))
+    first = F.min_by("_new", F.struct(~is_new, "_seq"))
+    reduced = both.withColumn("_alone", alone).groupBy(*keys, "_alone").agg(
+        F.any_value("_old", F.lit(True)).alias("_old"), (last if keep == "last" else first).alias("_last"),
+        first.alias("_first"), F.count("_new").alias("_n"), F.max("_bad").alias("_bad"),
+        F.max(F.when(is_new, F.col("_seq"))).alias("_top"),
+    )
+    known, hit = F.col("_old").isNotNull(), F.col("_n") > 0
+    if guard:
+        hit = hit & F.coalesce(~(F.col("_top") < F.col(f"_old.{seq}")), F.lit(True))
+    if counts is not None:
+        fresh = F.when(known | ~hit, 0).otherwise(1)
+        reduced = reduced.observe(
+            counts, F.sum(fresh).alias("inserted"), F.sum(F.col("_n") - fresh).alias("updated"),
+            F.sum(F.col("_bad").cast("long")).alias("skipped"),
+        )
     columns = []
     for c in target.columns:
-        if c in update_cols:
-            value = F.when(F.col("_hit"), F.col(f"_new.{c}")).otherwise(F.col(c))
-        elif c == "updated_at" and as_of is not None:
-            value = F.when(F.col("_hit"), ts(as_of)).otherwise(F.col(c))
-        else:
+        if c in keys:
             value = F.col(c)
-        columns.append(value.alias(c))
-    fresh = new_keys(rows, target, keys)
-    for c in target.columns:
-        if c not in fresh.columns:
+        elif c in update_cols:
+            value = F.when(hit, F.col(f"_last.{c}")).otherwise(F.col(f"_old.{c}"))
+        else:
             default = ts(as_of) if c == "updated_at" and as_of is not None else F.lit(None)
-            fresh = fresh.withColumn(c, default.cast(target.schema[c].dataType))
-    return merged.select(*columns).unionByName(fresh.select(*target.columns))
+            value = F.when(known, F.col(f"_old.{c}"))
+            if c == "updated_at" and as_of is not None:
+                value = F.when(known, F.when(hit, ts(as_of)).otherwise(F.col("_old.updated_at")))
+            value = value.otherwise(F.col(f"_first.{c}") if c in kept else default)
+        columns.append(value.cast(target.schema[c].dataType).alias(c))
+    return reduced.filter(known | hit).select(*columns)
+
+
+def link_staged(staged: DataFrame, events: DataFrame, keys: list[str], id: str = "id") -> DataFrame:
+    """Staged rows with ``event_id``, the stored event of their key, and ``processed`` where there is one."""
+    known = events.select(*keys, F.col(id).alias("event_id"))
+    return staged.drop("event_id", "processed").join(known, keys, "left").withColumn(
+        "processed", F.col("event_id").isNotNull()
+    )
+
+
+def _struct(df: DataFrame, columns: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, df.schema[c].dataType) for c in columns])
 
 
 def touch_updated_at(before: DataFrame, change: Callable[[DataFrame], DataFrame], as_of) -> DataFrame:
@@ -139,35 +176,11 @@ def touch_updated_at(before: DataFrame, change: Callable[[DataFrame], DataFrame]
     ).drop("_old")
 
 
-def outcomes(valid: DataFrame, rejected: DataFrame, target: DataFrame, keys: list[str], seq: str):
-    """One outcome per input row: inserted, updated or skipped.
-
-    The first row of a new key inserts; its repeats update, as do known keys.
-    Counted per key, so no task sees all the rows of a hot key.
-    """
-    per_key = valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hits = existing_keys(per_key, target, keys).select(*keys, F.lit(True).alias("_known"))
-    known = F.coalesce(F.col("_known"), F.lit(False))
-    keyed = _keyed(keys)
-    counted = per_key.join(hits, keys, "left").select(
-        F.when(known, F.lit(0)).when(keyed, F.lit(1)).otherwise(F.col("n")).alias("inserted"),
-        F.when(known, F.col("n")).when(keyed, F.col("n") - 1).otherwise(F.lit(0)).alias("updated"),
-    )
-    totals = counted.agg(
-        F.coalesce(F.sum("inserted"), F.lit(0)).alias("inserted"),
-        F.coalesce(F.sum("updated"), F.lit(0)).alias("updated"),
-    )
-    listed = totals.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("inserted").alias("outcome"), F.col("inserted").alias("n")),
-                F.struct(F.lit("updated").alias("outcome"), F.col("updated").alias("n")),
-            )
-        ).alias("r")
-    ).select("r.*")
-    return listed.unionByName(
-        rejected.agg(F.lit("skipped").alias("outcome"), F.count(F.lit(1)).alias("n"))
-    )
+def outcome_rows(spark: SparkSession, counts: Observation) -> DataFrame:
+    """The counts of a finished merge as rows: outcome, n."""
+    seen = counts.get
+    rows = [(name, seen[name] or 0) for name in ("inserted", "updated", "skipped")]
+    return spark.createDataFrame(rows, "outcome string, n long")
 
 
 def needs_embedding(batch: DataFrame, target: DataFrame, keys: list[str], embedding="embedding"):

@@ -7,13 +7,15 @@ some are known and some are new.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from outings.bindings import AS_OF, with_model
 from outings.functions.times import ts
 from outings.operators import upsert as U
-from outings.operators.quality import event_checks, rejected_rows, valid_rows
+from outings.operators.quality import event_checks
 from outings.plans.registry import query
+from outings.session import shared_dir
+from outings.sources.buckets import IN_BUCKET, BucketedTable
 
 KEYS = ["source", "source_id"]
 UPDATES = ["title", "description", "start_time", "end_time"]
@@ -32,7 +34,7 @@ _SPLIT = (
 
 
 def _sides(t):
-    columns = [*KEYS, *KEPT, *UPDATES, "vec_id"]
+    columns = [*KEYS, *KEPT, *UPDATES]
     old = t.events.filter(F.col("start_time") < ts(STORED_UNTIL)).select(*columns)
     stored = U.dedupe_last(old, KEYS, "id")
     batch = t.events.withColumn("title", F.concat("title", F.lit(" new"))).select(*columns)
@@ -59,7 +61,7 @@ _UPSERT_SQL = (
 )
 def upsert_events(t):
     stored, batch = _sides(t)
-    return U.upsert(stored, batch, KEYS, UPDATES, "id").drop("vec_id")
+    return U.upsert(stored, batch, KEYS, UPDATES, "id")
 
 
 @query(
@@ -157,7 +159,8 @@ def staged(t):
     ),
 )
 def embedding_needed(t):
-    stored, _ = _sides(t)
+    columns = [*KEYS, "id", "title", "description", "vec_id"]
+    stored = U.dedupe_last(t.events.filter(F.col("start_time") < ts(STORED_UNTIL)).select(*columns), KEYS, "id")
     return U.needs_embedding(t.events, stored, KEYS, "vec_id").select("id", "needs_embedding")
 
 
@@ -276,10 +279,13 @@ def touched(t):
     ),
 )
 def run_counts(t):
+    """The merge of a run, written as it would be; the counts come from that run."""
     stored, batch = _sides(t)
     batch = batch.withColumn("title", F.when(F.col("id") % 17 != 0, F.col("title")))
-    good, bad = valid_rows(batch, event_checks()), rejected_rows(batch, event_checks())
-    return U.outcomes(good, bad, stored, KEYS, "id")
+    counts = Observation("merge")
+    merged = U.upsert(stored, batch, KEYS, UPDATES, "id", checks=event_checks(), counts=counts)
+    merged.write.parquet(shared_dir(t.spark, "merged"))
+    return U.outcome_rows(t.spark, counts)
 
 
 @query(
@@ -291,12 +297,25 @@ def run_counts(t):
     ),
 )
 def snapshot(t):
-    """Stored rows are committed, then the merged rows replace them in one step."""
-    from outings.session import shared_dir
-    from outings.sources.sinks import SnapshotTable
-
+    """Stored rows are committed, then the buckets that the batch touches are replaced in one step."""
     stored, batch = _sides(t)
-    table = SnapshotTable(t.spark, shared_dir(t.spark, "events"))
+    table = BucketedTable(t.spark, shared_dir(t.spark, "events"), KEYS, buckets=8)
     table.write(stored)
-    table.write(U.upsert(table.read(), batch, KEYS, UPDATES, "id"))
-    return table.read().drop("vec_id")
+    table.merge(
+        batch, lambda old, new: U.upsert(old, new, [IN_BUCKET, *KEYS], UPDATES, "id", deal_by=[IN_BUCKET]), dealt=True
+    )
+    return table.read()
+
+
+@query(
+    "staged_links",
+    with_model(
+        _SPLIT + "SELECT f.source, f.source_id, f.id, s.id AS event_id, s.id IS NOT NULL AS processed "
+        "FROM first_of f LEFT JOIN stored s ON s.source = f.source AND s.source_id = f.source_id"
+    ),
+)
+def staged_links(t):
+    """Staged rows with the id of the stored event that they became."""
+    stored, batch = _sides(t)
+    rows = U.stage_raw(None, batch.select(*KEYS, "id"), "id", AS_OF)
+    return U.link_staged(rows, stored, KEYS).select(*KEYS, "id", "event_id", "processed")

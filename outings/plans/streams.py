@@ -9,9 +9,13 @@ from outings.operators.ingest import KEYS
 from outings.plans.landing import CALENDAR_SQL, feed_texts
 from outings.plans.registry import query
 from outings.session import shared_dir
+from outings.sources.buckets import BucketedTable
 from outings.sources.sinks import SnapshotTable
 from outings.streaming import ingest as S
 
+#: Enough for the test tables; a bucket should hold some hundred MB.
+BUCKETS = 8
+
 
 def _files(t, name: str) -> str:
     """A glob, so that a table may be one file or a folder of files."""
@@ -27,7 +31,7 @@ def _event_stream(t):
 @query("stream_ingest", with_model(CALENDAR_SQL))
 def stream_ingest(t):
     work = shared_dir(t.spark, "ingest")
-    table = SnapshotTable(t.spark, f"{work}/table")
+    table = BucketedTable(t.spark, f"{work}/table", KEYS, BUCKETS)
     feeds = feed_texts(_event_stream(t))
     S.start_ingest(
         feeds, table, f"{work}/state", "cal", 1, AS_OF, f"{work}/rejected", seq="id"
@@ -47,7 +51,7 @@ def stream_ingest(t):
 )
 def drain(t):
     work = shared_dir(t.spark, "drain")
-    table = SnapshotTable(t.spark, f"{work}/table")
+    table = BucketedTable(t.spark, f"{work}/table", KEYS, BUCKETS)
     staged = _event_stream(t).select(
         *KEYS, "scraped_at",
         F.to_json(F.struct("id", "title", F.date_format("start_time", "yyyy-MM-dd").alias("day"))
@@ -59,7 +63,7 @@ def drain(t):
         return batch.select(*KEYS, payload.alias("p")).select(*KEYS, "p.id", "p.title")
 
     S.drain_staging(
-        staged, table, f"{work}/state", to_rows, KEYS, ["id", "title"], "id", AS_OF, f"{work}/rejected"
+        staged, table, f"{work}/state", to_rows, ["id", "title"], "id", AS_OF, f"{work}/rejected"
     ).awaitTermination()
     return table.read().select(*KEYS, "id", "title")
 
@@ -68,8 +72,9 @@ def drain(t):
 def stream_dedupe(t):
     work = shared_dir(t.spark, "dedupe")
     stream = _event_stream(t).select(*KEYS, "start_time")
-    S.dedupe_stream(stream, KEYS, f"{work}/rows", f"{work}/state").awaitTermination()
-    return t.spark.read.parquet(f"{work}/rows").select(*KEYS)
+    table = BucketedTable(t.spark, f"{work}/rows", KEYS, BUCKETS, equal_nulls=True)
+    S.dedupe_stream(stream, table, f"{work}/state").awaitTermination()
+    return table.read().select(*KEYS)
 
 
 @query(
@@ -80,7 +85,7 @@ def stream_rejected(t):
     """What the ingest stream sets aside when every seventh event has no title."""
     work = shared_dir(t.spark, "rejected")
     events = _event_stream(t).withColumn("title", F.when(F.col("id") % 7 != 0, F.col("title")))
-    table = SnapshotTable(t.spark, f"{work}/table")
+    table = BucketedTable(t.spark, f"{work}/table", KEYS, BUCKETS)
     S.start_ingest(
         feed_texts(events), table, f"{work}/state", "cal", 1, AS_OF, f"{work}/rejected", seq="id"
     ).awaitTermination()
@@ -111,7 +116,7 @@ def stream_weekly(t):
 )
 def stream_feedback(t):
     work = shared_dir(t.spark, "feedback")
-    log = SnapshotTable(t.spark, f"{work}/log")
+    log = BucketedTable(t.spark, f"{work}/log", ["id"], BUCKETS)
     log.write(
         t.raw("orders").select(
             F.col("o_orderkey").alias("id"),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from outings.schemas import PLACES_CSV
+from outings.sources.commits import CommitLog
 
 
 def append_log(rows: DataFrame, path: str) -> None:
@@ -59,36 +60,28 @@ def export_places_csv(places: DataFrame, path: str, embedding: str = "embedding"
 
 
 class SnapshotTable:
-    """A table whose versions become visible all at once.
+    """A table that is replaced as a whole; versions become visible all at once.
 
-    A version is written to its own folder; a one-row commit record then makes
-    it current. A run that dies before the record leaves readers on the old
-    version. One writer at a time.
+    A version is written to its own folder, and a commit record makes it current. Of two
+    writers the second is refused. ``BucketedTable`` is for large tables of which a batch changes little.
     """
 
-    _COMMIT = "version BIGINT, folder STRING"
-
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def current(self):
-        """(version, folder) of the newest commit, or None."""
-        try:
-            commits = self.spark.read.schema(self._COMMIT).parquet(f"{self.path}/_commits")
-        except Exception as e:  # no commit yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return commits.orderBy(F.desc("version")).first()
+        self.spark, self.log = spark, CommitLog(spark, path)
+
+    def current(self) -> dict | None:
+        return self.log.latest()[1]
 
     def read(self) -> DataFrame | None:
         found = self.current()
-        return None if found is None else self.spark.read.parquet(f"{self.path}/{found.folder}")
+        return None if found is None else self.spark.read.parquet(f"{self.log.path}/{found['folder']}")
 
     def write(self, df: DataFrame, *partition_by: str) -> None:
-        found = self.current()
-        version = 1 if found is None else found.version + 1
-        folder = f"v{version}-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
-        commit = self.spark.createDataFrame([(version, folder)], self._COMMIT)
-        commit.coalesce(1).write.mode("append").parquet(f"{self.path}/_commits")
+        base, _ = self.log.latest()
+        folder = f"versions/{base + 1}-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.log.path}/{folder}")
+        self.log.commit(base, {"folder": folder})
+
+    def expire(self, seconds: float) -> int:
+        """Remove versions that were replaced more than ``seconds`` ago."""
+        return self.log.expire(seconds, lambda r: {r["folder"]} if r else self.log.folders("versions/*"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from outings.functions.times import ts
 from outings.operators.ingest import calendar_events, upsert_calendar
 from outings.operators.quality import missing, rejected_rows, valid_rows
 from outings.operators.upsert import apply_feedback, upsert
+from outings.sources.buckets import IN_BUCKET, BucketedTable
 from outings.sources.ics import ics_events
 from outings.sources.sinks import SnapshotTable
 
@@ -54,64 +54,61 @@ def _run(stream: DataFrame, each: Callable, checkpoint: str, mode: str = "append
 
 
 def start_ingest(
-    feeds: DataFrame, target: SnapshotTable, checkpoint: str, source: str, city_id: int, as_of,
+    feeds: DataFrame, target: BucketedTable, checkpoint: str, source: str, city_id: int, as_of,
     rejected: str, seq: str = "position", rfc: bool = False,
 ) -> StreamingQuery:
     """New feed texts -> events -> tags and vibe -> upsert by (source, source_id).
 
-    A batch that is replayed after a failure writes the same rows again, so the
-    result does not change. Rows without title or start are written below ``rejected`` with
-    their ``reason``, one folder per batch.
+    Only the buckets that hold a key of the batch are rewritten, in one pass. A batch that is replayed
+    after a failure writes the same rows again, so the result does not change. Rows without title
+    or start are written below ``rejected`` with their ``reason``, one folder per batch.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows, bad = calendar_events(ics_events(batch, rfc=rfc), source, city_id)
-        _set_aside(bad, rejected, number)
-        with kept(rows) as rows:
-            target.write(upsert_calendar(target.read(), rows, seq, as_of))
+        with kept(ics_events(batch, rfc=rfc)) as parsed:
+            rows, bad = calendar_events(parsed, source, city_id)
+            _set_aside(bad, rejected, number)
+            target.merge(
+                rows, lambda old, new: upsert_calendar(old, new, seq, as_of, deal_by=[IN_BUCKET]),
+                columns=rows.withColumn("updated_at", ts(as_of)), dealt=True,
+            )
 
     return _run(feeds, merge, checkpoint)
 
 
 def drain_staging(
-    staged: DataFrame, target: SnapshotTable, checkpoint: str, to_rows: Callable,
-    keys: list[str], update_cols: list[str], seq: str, as_of, rejected: str,
+    staged: DataFrame, target: BucketedTable, checkpoint: str, to_rows: Callable,
+    update_cols: list[str], seq: str, as_of, rejected: str,
 ) -> StreamingQuery:
     """Process staged rows once each; the checkpoint takes the place of a processed flag.
 
-    Rows without one of the keys are written below ``rejected`` with their ``reason``.
+    Versions of a key may arrive in any order: the stored ``seq``, one of ``update_cols``, decides which is the
+    newest, so files in reversed order end as one batch would. Rows without one of the keys are written
+    below ``rejected`` with their ``reason``.
     """
+    keys = target.keys
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = target.read()
         checks = missing(*keys)
-        _set_aside(rejected_rows(to_rows(batch), checks), rejected, number)
-        with kept(valid_rows(to_rows(batch), checks)) as rows:
-            known = rows.limit(0) if known is None else known
-            target.write(upsert(known, rows, keys, update_cols, seq, as_of=as_of))
+        with kept(to_rows(batch)) as rows:
+            _set_aside(rejected_rows(rows, checks), rejected, number)
+            target.merge(
+                valid_rows(rows, checks), lambda old, new: upsert(
+                    old, new, [IN_BUCKET, *keys], update_cols, seq, as_of=as_of, deal_by=[IN_BUCKET], guard=True
+                ), dealt=True,
+            )
 
     return _run(staged, merge, checkpoint)
 
 
-def dedupe_stream(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+def dedupe_stream(stream: DataFrame, table: BucketedTable, checkpoint: str) -> StreamingQuery:
     """Append rows whose key is not stored yet, one row per key.
 
     The stored keys take the place of state with a time limit: nothing is late, however far apart the
-    rows' times are, and no state grows in memory. A batch only adds files; a replayed one
-    replaces its own folder. NULL keys are equal.
+    rows' times are, and no state grows in memory. A batch reads the keys of the buckets that it
+    touches and adds files to them; a replayed batch, or one after the checkpoint was lost, finds its keys stored.
     """
-    spark, schema = stream.sparkSession, T.StructType([*stream.schema, T.StructField("batch", T.LongType())])
-
-    def merge(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(keys)
-        if number:
-            stored = spark.read.schema(schema).parquet(path)
-            stored = stored.filter(F.col("batch") < number).select(*keys)
-            same = reduce(and_, (rows[k].eqNullSafe(stored[k]) for k in keys))
-            rows = rows.join(stored, same, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return _run(stream, merge, checkpoint)
+    return _run(stream, lambda batch, _: table.append_new(batch), checkpoint)
 
 
 def weekly_stream(events: DataFrame, as_of, delay: str = "1 day") -> DataFrame:
@@ -128,12 +125,12 @@ def weekly_stream(events: DataFrame, as_of, delay: str = "1 day") -> DataFrame:
 
 
 def feedback_stream(
-    feedback: DataFrame, log: SnapshotTable, checkpoint: str, seq: str
+    feedback: DataFrame, log: BucketedTable, checkpoint: str, seq: str
 ) -> StreamingQuery:
-    """Merge arriving feedback into the log snapshot."""
+    """Merge arriving feedback into the log; only the buckets of its recommendations are rewritten."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        log.write(apply_feedback(log.read(), batch, seq))
+        log.merge(batch, lambda old, new: apply_feedback(old, new, seq), keys=["recommendation_id"])
 
     return _run(feedback, merge, checkpoint)
 

@@ -4,7 +4,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from outings.bindings import AS_OF, Tables
 from outings.functions.scoring import HYBRID, LOCAL, VIBE
@@ -19,8 +19,8 @@ from outings.operators.quality import (
     PRICE_LEVELS, VIBE_RANGES, event_checks, out_of_range, rejected_rows, too_long, valid_rows,
 )
 from outings.plans import QUERIES
+from outings.sources.buckets import BucketedTable
 from outings.sources.ics import ics_events
-from outings.sources.sinks import SnapshotTable
 from outings.streaming import ingest as SI
 
 REQUEST = {"city_id": 3, "quiet": 0.3, "active": 0.6, "location": "inside",
@@ -59,6 +59,38 @@ def test_upsert_rules(spark):
     assert ("b", "1", "p") in {(r.k1, r.k2, r.v) for r in first.collect()}
 
 
+def test_upsert_counts_its_outcomes_and_skips(spark, tmp_path):
+    target = frame(spark, [("a", "1", "old", 1, 0), ("z", "1", "same", 1, 0)])
+    batch = frame(spark, [("a", "1", "x", 9, 1), ("a", "1", "y", 8, 2), ("b", "1", "p", 5, 3), ("b", "1", "q", 5, 4),
+                          ("b", "1", None, 5, 5), (None, "1", "r", 5, 6), (None, None, None, 5, 7), ("c", "1", None, 5, 8)])
+    counts = Observation("merge")
+    out = U.upsert(target, batch, KEYS, UPDATES, "seq", checks={"missing v": F.col("v").isNull()}, counts=counts)
+    out.write.parquet(str(tmp_path / "merged"))
+    rows = sorted((r.k1 or "", r.v) for r in spark.read.parquet(str(tmp_path / "merged")).collect())
+    assert rows == [("", "r"), ("a", "y"), ("b", "q"), ("z", "same")]
+    assert {r.outcome: r.n for r in U.outcome_rows(spark, counts).collect()} == {
+        "inserted": 2, "updated": 3, "skipped": 3
+    }
+
+
+def test_upsert_needs_two_scans_and_two_shuffles(spark, data):
+    """The stored table is itself one scan and one shuffle in these queries."""
+    for name in ("upsert_events", "upsert_events_partial", "insert_new_events"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 2, name
+        assert "Join" not in plan
+
+
+def test_guarded_versions_in_any_order(spark):
+    v1, v2 = frame(spark, [("a", "1", "v1", 1, 1)]), frame(spark, [("a", "1", "v2", 1, 2)])
+    results = []
+    for first, second in ((v1, v2), (v2, v1)):
+        table = U.upsert(first.limit(0), first, KEYS, ["v", "seq"], "seq", guard=True)
+        out = U.upsert(table, second, KEYS, ["v", "seq"], "seq", guard=True)
+        results.append([(r.v, r.seq) for r in out.collect()])
+    assert results == [[("v2", 2)]] * 2
+
+
 def test_upsert_is_idempotent_and_keys_stay_unique(spark, t):
     keys, cols = ["source", "source_id"], ["source", "source_id", "id", "title", "start_time"]
     batch = t.events.select(*cols)
@@ -298,7 +330,7 @@ def feed(n):
 def test_stream_equals_batch_and_reruns_are_harmless(spark, tmp_path):
     landing = tmp_path / "landing"
     landing.mkdir()
-    table = SnapshotTable(spark, str(tmp_path / "table"))
+    table = BucketedTable(spark, str(tmp_path / "table"), ["source", "source_id"], buckets=4)
     batch = None
     for n in range(1, 5):
         (landing / f"{n}.ics").write_text(feed(n))
@@ -318,17 +350,36 @@ def test_stream_equals_batch_and_reruns_are_harmless(spark, tmp_path):
     assert [r.reason for r in rejected.collect()] == ["missing title"] * 4
 
 
+def test_drain_in_reversed_file_order(spark, tmp_path):
+    ddl = "source string, source_id string, scraped_at int, title string"
+    versions = [("s", "1", 2, "new"), ("s", "1", 1, "old"), ("s", "2", 1, "only"), (None, "3", 1, "no source")]
+    for i, row in enumerate(versions):
+        spark.createDataFrame([row], ddl).coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    tables = []
+    for name, order in (("a", range(4)), ("b", [3, 2, 1, 0])):
+        table = BucketedTable(spark, str(tmp_path / name), ["source", "source_id"], buckets=4)
+        for i in order:
+            staged = spark.readStream.schema(ddl).parquet(str(tmp_path / f"in{i}"))
+            SI.drain_staging(
+                staged, table, str(tmp_path / f"{name}-state{i}"), lambda rows: rows, ["scraped_at", "title"], "scraped_at",
+                AS_OF, str(tmp_path / f"{name}-rejected{i}"),
+            ).awaitTermination()
+        tables.append(sorted((r.source_id, r.title) for r in table.read().collect()))
+        assert spark.read.parquet(str(tmp_path / f"{name}-rejected3")).first().reason == "missing source"
+    assert tables == [[("1", "new"), ("2", "only")]] * 2
+
+
 def test_stream_dedupe_keeps_every_key_in_any_order(spark, tmp_path):
     landing = str(tmp_path / "landing")
     rows = [("a", 1, "2024-09-01"), ("a", 2, "2024-08-20"), ("b", 3, "2024-01-20"),
             ("b", 4, "2024-01-21"), ("a", 1, "2024-01-22"), (None, 5, "2024-01-22"),
             (None, 5, "2030-01-01")]
     ddl = "source string, source_id long, start_time string"
+    table = BucketedTable(spark, str(tmp_path / "out"), ["source", "source_id"], buckets=3, equal_nulls=True)
     for row in rows:
         spark.createDataFrame([row], ddl).coalesce(1).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(landing)
-        SI.dedupe_stream(
-            stream, ["source", "source_id"], str(tmp_path / "out"), str(tmp_path / "state")
-        ).awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out")).select("source", "source_id").collect()
+        SI.dedupe_stream(stream, table, str(tmp_path / "state")).awaitTermination()
+    SI.dedupe_stream(stream, table, str(tmp_path / "lost")).awaitTermination()  # all rows again
+    out = table.read().select("source", "source_id").collect()
     assert len(out) == 5 and {tuple(r) for r in out} == {(r[0], r[1]) for r in rows}

@@ -1,14 +1,19 @@
 """Source jobs over small texts of our own."""
 
 import json
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from outings.bindings import Tables
 from outings.functions.text import article_is_event
 from outings.operators.ingest import calendar_events
+from outings.operators.upsert import upsert
+from outings.sources import buckets
 from outings.sources import pages as P
 from outings.sources import tables as TB
+from outings.sources.buckets import IN_BUCKET, BucketedTable, ConcurrentWrite
 from outings.sources.drafts import markdown_places, read_drafts
 from outings.sources.ics import ics_events, read_feeds
 from outings.sources.sinks import SnapshotTable, append_log, export_places_csv, read_log
@@ -175,10 +180,85 @@ def test_snapshots(spark, tmp_path):
     table.write(old.filter("id > 0"))
     assert old.count() == 3 and table.read().count() == 2
     # a version without its commit record stays invisible
-    spark.range(9).write.parquet(str(tmp_path / "t" / "v9-lost"))
+    spark.range(9).write.parquet(str(tmp_path / "t" / "versions" / "9-lost"))
     assert table.read().count() == 2
 
 
+def test_a_second_writer_is_refused(spark, tmp_path):
+    table, late = SnapshotTable(spark, str(tmp_path / "t")), SnapshotTable(spark, str(tmp_path / "t"))
+    base, _ = late.log.latest()
+    table.write(spark.range(3))
+    with pytest.raises(ConcurrentWrite):
+        late.log.commit(base, {"folder": "mine"})
+    assert table.read().count() == 3
+    table.write(spark.range(4))
+    assert table.expire(3600) == 0 and table.read().count() == 4
+    time.sleep(0.1)
+    assert table.expire(0) == 1 and table.read().count() == 4
+    # a record that was never filled in is passed by
+    (tmp_path / "t" / "commits" / "000000000003").touch()
+    assert table.read().count() == 4
+    table.write(spark.range(5))
+    assert table.read().count() == 5 and table.log.latest()[0] == 4
+
+
+def files(root):
+    return {str(p) for p in root.rglob("part-*.parquet") if "data" in p.parts}
+
+
+def add(old, new):
+    return upsert(old, new, [IN_BUCKET, "k"], ["v"], "seq", deal_by=[IN_BUCKET])
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=16)
+    ddl = "k long, v string, seq int"
+    table.write(spark.createDataFrame([(i, "old", 0) for i in range(200)] + [(None, "null", 0)] * 20, ddl))
+    before, first = files(tmp_path), table.read()
+    assert len({p.split("in_bucket=")[1].split("/")[0] for p in before}) == 16
+    touched = table.merge(spark.createDataFrame([(7, "new", 1)], ddl.replace("long", "int")), add, dealt=True)
+    fresh = files(tmp_path) - before
+    assert len(touched) == 1 and len(fresh) == 1 and before < files(tmp_path)
+    rows = table.read().collect()
+    assert {r.k: r.v for r in rows if r.v == "new"} == {7: "new"} and len(rows) == 220
+    used = {p.removeprefix("file://").removeprefix("file:") for p in table.read().inputFiles()}
+    replaced = before - used
+    assert len(replaced) == 1 and used == (before - replaced) | fresh
+    assert first.count() == 220 and table.expire(3600) == 0  # readers of the old version go on
+    time.sleep(0.1)
+    assert table.expire(0) == 2  # one part and one manifest
+    assert files(tmp_path) == used and table.read().count() == 220
+    assert table.merge(spark.createDataFrame([], ddl), add) == [] and table.version() == 2
+
+
+def test_writers_of_one_version_of_a_bucketed_table(spark, tmp_path):
+    """The second writer is refused though it touches other buckets, and nothing of it is visible."""
+    table = BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=4)
+    ddl = "k long, v string, seq int"
+    table.write(spark.createDataFrame([(1, "a", 0)], ddl))
+
+    def overtaken(old, new):
+        BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=4).merge(spark.createDataFrame([(2, "b", 1)], ddl), add)
+        return add(old, new)
+
+    with pytest.raises(ConcurrentWrite):
+        table.merge(spark.createDataFrame([(3, "c", 1)], ddl), overtaken)
+    assert sorted((r.k, r.v) for r in table.read().collect()) == [(1, "a"), (2, "b")]
+
+
+def test_appends_keep_keys_once_and_parts_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "MOST_PARTS", 2)
+    table = BucketedTable(spark, str(tmp_path / "t"), ["k"], buckets=2, equal_nulls=True)
+    for i in range(6):
+        rows = spark.createDataFrame([(k,) for k in [None, 0, *range(i * 5, i * 5 + 8)]], "k long")
+        table.append_new(rows)
+    assert table.append_new(rows) == []
+    found = [r.k for r in table.read().collect()]
+    assert len(found) == len(set(found)) == 34 and None in found
+    parts = table._manifest(table.log.latest()[1]).groupBy(IN_BUCKET).count().collect()
+    assert all(r["count"] <= 3 for r in parts)
+
+
 def test_log_appends(spark, tmp_path):
     rows = spark.range(2).withColumn("log_date", F.lit("2024-01-01").cast("date"))
     append_log(rows, str(tmp_path / "log"))
