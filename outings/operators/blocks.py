@@ -15,15 +15,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows of a block when numpy scores it, and when pairs are rows of a join.
+# Rows of a block of each side.
 QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
-QUERY_ROWS, ITEM_ROWS = 256, 1024
 # Rows scored at a time: keeps the matrices inside the processor cache.
 _MATRIX_ROWS = 64
+# So many groups with their sizes are sent to all tasks; more are joined by a shuffle.
+FEW_GROUPS = 10_000
 
-# Takes the items of a block once and returns the scoring of query rows against
-# them: a matrix, -inf where the pair is not allowed.
-BlockScorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
+# Takes the items of a block, in the order that breaks ties, and returns the search of query rows in
+# them: query number, item number and score of the k best of each, and further columns of these.
+BlockSearch = Callable[[pd.DataFrame], Callable[[pd.DataFrame, int], tuple]]
 
 
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,18 +45,38 @@ def _block_count(df: DataFrame, group: str, size: int, out: str) -> DataFrame:
     return df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(out))
 
 
+def whole_search(scorer) -> BlockSearch:
+    """Search by scoring all pairs: ``scorer(items)`` gives a function from query rows to a matrix of scores,
+    -inf where a pair is not allowed."""
+
+    def prepare(items: pd.DataFrame):
+        score = scorer(items)
+
+        def search(q: pd.DataFrame, k: int):
+            scores = score(q)
+            rows, cols = best_per_row(scores, k)
+            return rows, cols, scores[rows, cols], {}
+
+        return search
+
+    return prepare
+
+
 def pair_blocks(
     queries: DataFrame, items: DataFrame, group: str, query_id: str, item_order: list[str],
-    query_block: int, item_block: int,
+    query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
 ) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides cut into blocks, each copied to the blocks of the other side it meets.
 
-    Returns the sides and the keys they meet on. The number of partitions is
-    fixed: pairing multiplies the rows, so small inputs must not be coalesced.
+    Returns the sides and the keys they meet on. Both sides are read twice, for the sizes and for the
+    rows, so they should be tables. The number of partitions is fixed: small inputs must not be coalesced.
     """
     sizes = _block_count(queries, group, query_block, "_nq").join(
         _block_count(items, group, item_block, "_ni"), group
     )
+    few = sizes.limit(FEW_GROUPS + 1).collect()
+    if len(few) <= FEW_GROUPS:
+        sizes = F.broadcast(queries.sparkSession.createDataFrame(few, sizes.schema))
     keys = [group, "_qb", "_ib"]
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = (
@@ -75,11 +96,26 @@ def pair_blocks(
     return left, right, keys
 
 
+def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], item_order: list[str], work, schema: str) -> DataFrame:
+    """``work(query rows, items)`` on every pair of blocks; the items come in ``item_order``, the queries in small chunks."""
+    names = [f.partition(" ")[0] for f in schema.split(", ")]
+
+    def run(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or it.empty:
+            return pd.DataFrame(columns=names, dtype=object)
+        each = work(it.sort_values(item_order, ignore_index=True))
+        parts = [each(q.iloc[at : at + _MATRIX_ROWS]) for at in range(0, len(q), _MATRIX_ROWS)]
+        return pd.concat(parts, ignore_index=True)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
 def blocked_topk(
     queries: DataFrame, items: DataFrame, group: str, query_id: str, item_order: list[str],
-    scorer: BlockScorer, k: int, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
+    search: BlockSearch, k: int, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Best ``k`` items per query: ``query_id``, ``item_order`` columns, score, rank.
+    """Best ``k`` items per query: ``query_id``, ``item_order`` columns, score, rank, ``extra`` columns.
 
     ``item_order`` identifies an item and breaks ties. A query may appear in
     several groups (as when probing lists); results merge by ``query_id``.
@@ -89,24 +125,20 @@ def blocked_topk(
     )
     types = dict(queries.dtypes) | dict(items.dtypes)
     names = [query_id, *item_order]
-    schema = ", ".join(f"{n} {types[n]}" for n in names) + ", score double"
+    schema = ", ".join([*(f"{n} {types[n]}" for n in names), "score double", *(f"{n} double" for n in extra)])
 
-    def run(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or it.empty:
-            return pd.DataFrame({n: [] for n in [*names, "score"]})
-        it = it.sort_values(item_order, ignore_index=True)
-        score_block, parts = scorer(it), []
-        for at in range(0, len(q), _MATRIX_ROWS):
-            chunk = q.iloc[at : at + _MATRIX_ROWS]
-            scores = score_block(chunk)
-            rows, cols = best_per_row(scores, k)
+    def work(it: pd.DataFrame):
+        find = search(it)
+
+        def each(q: pd.DataFrame) -> pd.DataFrame:
+            rows, cols, scores, more = find(q, k)
             best = it.iloc[cols][item_order].reset_index(drop=True)
-            best.insert(0, query_id, chunk[query_id].to_numpy()[rows])
-            best["score"] = scores[rows, cols]
-            parts.append(best)
-        return pd.concat(parts, ignore_index=True)
+            best.insert(0, query_id, q[query_id].to_numpy()[rows])
+            return best.assign(score=scores, **{n: more[n] for n in extra})
+
+        return each
 
-    partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    partial = in_blocks(left, right, keys, item_order, work, schema)
     return rank_top(partial, [query_id], k, item_order)
 
 

@@ -10,14 +10,16 @@ anything is paired, both times without losing a result:
   can ever be returned and the others are dropped before the shuffle.
 
 Classes then meet request profiles block by block, so that a city that holds a
-large part of the rows is spread over many tasks. Scores that differ for every
-single pair (vectors, jitter) go through ``blocked_topk`` instead.
+large part of the rows is spread over many tasks. No pair becomes a row: a task
+scores a block in numpy, best parts first, and skips the parts whose bound is
+below what a request has already (``ModelBlock``). Scores that differ for every
+single pair (vectors, jitter) meet in the same way, without classes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,12 +31,12 @@ from outings.functions.scoring import (
     round1, tag_score, time_bonus, vibe_match,
 )
 from outings.functions.times import day_of_week, season_of, time_of_day, ts
-from outings.operators.blocks import (
-    ITEM_ROWS, QUERY_ROWS, blocked_topk, pair_blocks, rank_top,
-)
+from outings.operators.blocks import blocked_topk, in_blocks, pair_blocks
 from outings.operators.filters import (
     band_matches, is_operational, kid_gate, location_band, open_at, season_gate,
 )
+from outings.operators.modelblock import ModelBlock
+from outings.session import stored
 
 TIE_BREAK = ["type", "id"]
 
@@ -259,27 +261,6 @@ def request_profiles(requests: DataFrame, model: ScoreModel) -> DataFrame:
     return asked.withColumnRenamed("request_id", "profile").dropDuplicates(["profile"])
 
 
-def scored_pairs(
-    requests: DataFrame, classes: DataFrame, model: ScoreModel, *carried: str,
-    query_block: int = QUERY_ROWS, item_block: int = ITEM_ROWS,
-) -> DataFrame:
-    """Scores of the classes each profile may get, kept or not.
-
-    The threshold is applied by the callers after ranking or inside the
-    aggregate: as a filter here it would move into the join and have the score
-    computed twice per pair.
-    """
-    left, right, keys = pair_blocks(
-        request_profiles(requests, model), classes, "city_id", "profile", TIE_BREAK,
-        query_block, item_block,
-    )
-    return (
-        left.join(right, keys)
-        .filter(model.gate())
-        .select("profile", *TIE_BREAK, *carried, model.score().alias("score"))
-    )
-
-
 def _for_requests(requests: DataFrame, found: DataFrame, model: ScoreModel, how: str) -> DataFrame:
     """Give each request what was found for its profile."""
     asked = requests.select("request_id", profile_key(model).alias("profile"))
@@ -287,17 +268,44 @@ def _for_requests(requests: DataFrame, found: DataFrame, model: ScoreModel, how:
 
 
 def recommend_many(
-    requests: DataFrame, acts: DataFrame, model: ScoreModel, limit: int = 3, **blocks
+    requests: DataFrame, acts: DataFrame, model: ScoreModel, limit: int = 3, explain: bool = False, **blocks
 ) -> DataFrame:
-    """Best ``limit`` candidates for every request: request_id, type, id, score, rank."""
+    """Best ``limit`` candidates for every request: request_id, type, id, score, rank.
+
+    ``explain`` adds the parts of each score (``PARTS``), rounded to one decimal. Profiles and classes are
+    written once to the shared folder, because their sizes decide how they are cut into blocks.
+    """
     if model.per_pair:
-        return blocked_topk(
-            model.asked(requests), model.candidates(acts), "city_id", "request_id", TIE_BREAK,
-            _block_scorer(model), limit, **blocks,
-        )
-    scored = scored_pairs(requests, candidate_classes(acts, model, limit), model, **blocks)
-    best = rank_top(scored, ["profile"], limit, TIE_BREAK).filter(model.keeps(F.col("score")))
-    return _for_requests(requests, best, model, "inner")
+        asked, id, items = model.asked(requests), "request_id", model.candidates(acts)
+    else:
+        asked, id, items = request_profiles(requests, model), "profile", candidate_classes(acts, model, limit)
+    best = blocked_topk(
+        stored(asked, "asked"), stored(items, "candidates"), "city_id", id, TIE_BREAK, _search(model, explain), limit,
+        extra=PARTS if explain else (), **blocks,
+    )
+    return best if model.per_pair else _for_requests(requests, best, model, "inner")
+
+
+#: The parts of the hybrid score.
+PARTS = ("quiet_score", "active_score", "tag_score", "semantic_score", "time_bonus", "availability_score")
+
+
+def _search(model: ScoreModel, explain: bool = False):
+    model = replace(model, eligible=None)  # tasks score only
+
+    def prepare(items: pd.DataFrame):
+        block = ModelBlock(model, items)
+        place = np.empty(len(items), int)
+        place[block.at] = np.arange(len(items))
+
+        def search(q: pd.DataFrame, k: int):
+            asked = block.prepare(q)
+            rows, cols, scores, _ = block.best(asked, k)
+            return rows, cols, scores, block.parts(asked, rows, place[cols]) if explain else {}
+
+        return search
+
+    return prepare
 
 
 def score_summary(
@@ -305,7 +313,8 @@ def score_summary(
 ) -> DataFrame:
     """Per request over all candidates of its city: how many qualify, best and worst score.
 
-    Classes carry their size, so the counts cover every candidate.
+    Classes carry their size, so the counts cover every candidate. A task returns one row per profile
+    of its block, not one per pair, and scores no part of a block that the profile may not have.
     """
     classes = (
         model.candidates(acts)
@@ -314,15 +323,26 @@ def score_summary(
         .select("*", "first.*")
         .drop("first")
     )
-    kept = model.keeps(F.col("score"))
-    totals = (
-        scored_pairs(requests, classes, model, "members", **blocks)
-        .groupBy("profile")
-        .agg(
-            F.sum(F.when(kept, F.col("members"))).alias("qualified"),
-            F.max(F.when(kept, F.col("score"))).alias("best_score"),
-            F.min(F.when(kept, F.col("score"))).alias("worst_score"),
-        )
+    left, right, keys = pair_blocks(
+        stored(request_profiles(requests, model), "asked"), stored(classes, "classes"), "city_id", "profile", TIE_BREAK,
+        **blocks,
+    )
+
+    terms = replace(model, eligible=None)  # tasks score only
+
+    def work(items: pd.DataFrame):
+        block, members = ModelBlock(terms, items), items["members"].to_numpy()
+
+        def each(q: pd.DataFrame) -> pd.DataFrame:
+            count, best, worst = block.totals(block.prepare(q), members)
+            out = pd.DataFrame({"profile": q["profile"].to_numpy(), "n": count, "high": best, "low": worst})
+            return out[count > 0]
+
+        return each
+
+    found = in_blocks(left, right, keys, TIE_BREAK, work, "profile string, n bigint, high double, low double")
+    totals = found.groupBy("profile").agg(
+        F.sum("n").alias("qualified"), F.max("high").alias("best_score"), F.min("low").alias("worst_score")
     )
     return _for_requests(requests, totals, model, "left").fillna(0, subset=["qualified"])
 
@@ -365,141 +385,6 @@ def request_metadata(
     )
 
 
-# ---- scores that differ for every pair -------------------------------------------------------
-
-
-def unit_matrix(column: pd.Series, dim: int | None = None) -> np.ndarray:
-    """Unit vectors as rows of a matrix; zero rows where there is no vector."""
-    known = column.notna().to_numpy()
-    dim = dim or next((len(v) for v in column[known]), 1)
-    out = np.zeros((len(column), dim))
-    if known.any():
-        out[known] = np.stack(column[known].to_numpy()).astype(float)
-        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        np.divide(out, length, out=out, where=length > 0)
-    return out
-
-
-def _floats(column: pd.Series, missing: float) -> np.ndarray:
-    return column.astype("float64").fillna(missing).to_numpy()
-
-
-def _tag_matrix(tags: pd.Series) -> tuple[dict[str, int], np.ndarray]:
-    """Known words and which row has them."""
-    at: dict[str, int] = {}
-    cells = [(i, at.setdefault(t, len(at))) for i, row in enumerate(tags)
-             for t in (row if row is not None else ())]
-    has = np.zeros((len(tags), len(at)))
-    if cells:
-        has[tuple(np.array(cells).T)] = 1.0
-    return at, has
-
-
-def _tag_shares(asked: pd.Series, at: dict[str, int], has: np.ndarray) -> np.ndarray:
-    wanted = np.zeros((len(asked), has.shape[1]))
-    n = np.ones((len(asked), 1))
-    for i, row in enumerate(asked):
-        if row is not None and len(row):
-            n[i] = len(row)
-            for t in row:
-                if t in at:
-                    wanted[i, at[t]] += 1.0
-    return (wanted @ has.T) / n
-
-
-def _block_scorer(model: ScoreModel):
-    """The model's score and gate for a block of requests and candidates."""
-    w, features, wishes = model.weights, model.features, model.wishes
-    rounded, keep_zero = model.rounded, model.keep_zero
-
-    def scorer(it: pd.DataFrame):
-        strict = "needed" in features
-        needed = _floats(it["needed"], np.nan) if strict else _floats(it["walk"], np.nan) * 2 + 30
-        vibes = {n: _floats(it[f"vibe_{n}"], 0.5) for n in ("quiet", "active", "inside")
-                 if getattr(w, n)}
-        words, has = _tag_matrix(it["tags"]) if w.tags else ({}, np.zeros((len(it), 0)))
-        vectors = None
-        if "embedding" in features and it["embedding"].notna().any():
-            vectors = unit_matrix(it["embedding"]).T
-        bonus = it["bonus"].to_numpy(dtype=float)
-        band = it["band"].to_numpy() if "location" in wishes else None
-
-        def score(q: pd.DataFrame) -> np.ndarray:
-            available = q["r_time_available"].to_numpy(dtype=float)[:, None]
-            total = np.zeros((len(q), len(it)))
-            if w.spare:
-                total = total + (available - needed) * w.spare
-            for name, vibe in vibes.items():
-                wish = q[f"r_{name}"].to_numpy(dtype=float)[:, None]
-                total += (1.0 - np.abs(vibe - wish)) * getattr(w, name)
-            if w.tags:
-                total += _tag_shares(q["r_tags"], words, has) * w.tags
-            if vectors is not None:
-                total += (unit_matrix(q["r_embedding"], vectors.shape[0]) @ vectors) * w.semantic
-            total += bonus
-            if w.low_energy:
-                off = q["r_low_energy"].to_numpy(bool)[:, None] & ~it["low_energy"].to_numpy(bool)
-                total -= off * w.low_energy
-            if w.fit:
-                ratio = needed / available
-                total += np.where(ratio <= 0.8, (1.0 - ratio) * w.fit, 0.0)
-            if w.jitter:
-                mixed = q["r_hash"].to_numpy()[:, None] ^ it["item_hash"].to_numpy()[None, :]
-                total += np.mod(mixed, 10000) / 10000.0 * w.jitter
-            if rounded:
-                total = np.floor(total * 10.0 + 0.5) / 10.0
-            ok = total >= 0 if keep_zero else total > 0
-            ok &= (needed <= available) if strict else np.isnan(needed) | (needed <= available)
-            if "location" in wishes:
-                place = q["r_location"].to_numpy()
-                for i, wanted in enumerate(place):
-                    if wanted in ("inside", "outside"):
-                        ok[i] &= band == wanted
-            if "kid_friendly" in wishes:
-                ok &= ~q["r_kid_friendly"].to_numpy(bool)[:, None] | it["kid_friendly"].to_numpy(bool)
-            if "requested_date" in wishes:
-                starts = it["starts"].to_numpy()[None, :]
-                ok &= pd.isna(starts) | (starts >= q["r_requested_date"].to_numpy()[:, None])
-            return np.where(ok, total, -np.inf)
-
-        return score
-
-    return scorer
-
-
-def score_breakdown(
-    winners: DataFrame, requests: DataFrame, acts: DataFrame, as_of, similarity: Column,
-    weights: Weights = HYBRID,
-) -> DataFrame:
-    """The parts behind each returned score, each rounded to one decimal.
-
-    ``similarity`` may use ``embedding`` and ``r_embedding``.
-    """
-    wishes = ["quiet", "active", "tags", "time_available", "embedding"]
-    asked = requests.select("request_id", *[F.col(c).alias(f"r_{c}") for c in wishes])
-    walk, available = F.col("walk_minutes_from_center"), F.col("r_time_available")
-    shown = acts.select(
-        *TIE_BREAK, "vibe_quiet", "vibe_active", "tags", "best_times",
-        "walk_minutes_from_center", "embedding",
-    )
-    parts = {
-        "quiet_score": vibe_match(F.col("vibe_quiet"), F.col("r_quiet")) * weights.quiet,
-        "active_score": vibe_match(F.col("vibe_active"), F.col("r_active")) * weights.active,
-        "tag_score": tag_score(F.col("r_tags"), F.col("tags"), weights.tags),
-        "semantic_score": F.coalesce(similarity, F.lit(0.0)) * weights.semantic,
-        "time_bonus": time_bonus(F.col("best_times"), time_of_day(ts(as_of)), weights.time),
-        "availability_score": availability_bonus(walk, available, weights.fit),
-    }
-    return (
-        winners.join(asked, "request_id")
-        .join(shown, TIE_BREAK)
-        .select(
-            "request_id", *TIE_BREAK, "score", "rank",
-            *[round1(part).alias(name) for name, part in parts.items()],
-        )
-    )
-
-
 # ---- the log -------------------------------------------------------------------------------
 
 _RESULTS_DDL = "array<struct<rank:int,type:string,id:bigint,score:double>>"

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from outings.functions.vectors import cosine_similarity, norm, vector_literal
-from outings.operators.blocks import blocked_topk
-from outings.operators.recommend import unit_matrix
+from outings.operators.blocks import blocked_topk, whole_search
+from outings.operators.modelblock import unit_matrix
 
 #: Share of the lists that a query probes: vectors without structure need it for a recall of 0.9.
 PROBED = 0.75
@@ -58,7 +58,7 @@ def nearest(
     return blocked_topk(
         asked.select("query_id", group, "q_vector"),
         known.select(group, *item_order, "embedding"),
-        group, "query_id", item_order, _cosine_blocks, k, **blocks,
+        group, "query_id", item_order, whole_search(_cosine_blocks), k, **blocks,
     ).withColumnRenamed("score", "similarity")
 
 

@@ -8,10 +8,9 @@ from outings.bindings import AS_OF, open_sql, with_model
 from outings.functions.scoring import BLEND, availability_bonus, jitter, low_energy_penalty
 from outings.functions.scoring import round1, tag_score, time_bonus, vibe_match
 from outings.functions.times import time_of_day, ts
-from outings.functions.vectors import cosine_similarity
 from outings.operators.recommend import (
     hybrid_model, local_model, log_rows, recommend, recommend_many, request_metadata,
-    result_json, score_breakdown, score_summary, vibe_model,
+    result_json, score_summary, vibe_model,
 )
 from outings.plans.registry import query
 
@@ -220,9 +219,7 @@ _PARTS = {
 )
 def score_hybrid(t):
     requests, acts = _with_vectors(t)
-    best = recommend_many(requests, acts, hybrid_model(AS_OF, with_vectors=True))
-    similarity = cosine_similarity(F.col("r_embedding"), F.col("embedding"))
-    return score_breakdown(best, requests, acts, AS_OF, similarity)
+    return recommend_many(requests, acts, hybrid_model(AS_OF, with_vectors=True), explain=True)
 
 
 _BLEND_SCORE = _R1.format(

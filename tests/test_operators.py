@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Observation, functions as F
 
@@ -15,6 +16,7 @@ from outings.operators import stats
 from outings.operators import upsert as U
 from outings.operators.blocks import best_per_row
 from outings.operators.ingest import calendar_events, upsert_calendar
+from outings.operators.modelblock import ModelBlock
 from outings.operators.quality import (
     PRICE_LEVELS, VIBE_RANGES, event_checks, out_of_range, rejected_rows, too_long, valid_rows,
 )
@@ -241,10 +243,72 @@ def test_plan_of_one_request(t):
     assert plan.count("PushedFilters") == 2 and "GreaterThan(ts" in plan
 
 
-def test_plan_of_many_requests(t):
-    plan = plan_of(RC.recommend_many(t.requests, t.activities(), RC.hybrid_model(AS_OF)))
-    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-    assert plan.count("WindowGroupLimit") >= 2
+@pytest.mark.parametrize("name", ["topn_per_request", "score_matrix", "score_hybrid"])
+def test_plan_of_many_requests(spark, data, name):
+    """Blocks meet in one cogroup; only their results, k rows a request, are shuffled again."""
+    plan = plan_of(QUERIES[name](spark, data))
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and plan.count("FlatMapCoGroupsInPandas") == 1
+    assert plan.count("FileScan") <= 6 and "part.parquet" not in plan and "events.parquet" not in plan
+    if name != "score_matrix":
+        assert plan.count("WindowGroupLimit") == 2  # before and behind the shuffle
+
+
+def random_block(make, items, requests, seed):
+    """A block with two-decimal vibes, ties, gaps, tags and vectors, and what all pairs score."""
+    rng = np.random.default_rng(seed)
+    model = replace(make, eligible=None)
+    vibe = lambda n: np.where(rng.random(n) < 0.05, np.nan, rng.integers(0, 101, n) / 100)
+    words = [f"w{i}" for i in range(12)]
+    pick = lambda n, most: [None if rng.random() < 0.1 else list(rng.choice(words, rng.integers(0, most))) for _ in range(n)]
+    unit = lambda n: [None if rng.random() < 0.1 else rng.normal(size=8) for _ in range(n)]
+    it = pd.DataFrame({
+        **{f"vibe_{n}": vibe(items) for n in ("quiet", "active", "inside")}, "tags": pick(items, 5), "embedding": unit(items),
+        "band": rng.choice(["inside", "outside", None], items), "walk": np.where(rng.random(items) < 0.2, np.nan, rng.integers(1, 60, items)),
+        "bonus": rng.choice([0.0, 20.0], items), "kid_friendly": rng.random(items) < 0.5, "low_energy": rng.random(items) < 0.5,
+    })
+    it["needed"] = it["walk"] * 2 + 30
+    q = pd.DataFrame({
+        **{f"r_{n}": vibe(requests) for n in ("quiet", "active", "inside")}, "r_tags": pick(requests, 4), "r_embedding": unit(requests),
+        "r_location": rng.choice(["inside", "outside", "either", None], requests), "r_time_available": rng.choice([60, 90, 150], requests),
+        "r_kid_friendly": rng.choice([True, False, None], requests), "r_low_energy": rng.choice([True, False, None], requests),
+    })
+    block = ModelBlock(model, it, part=16)
+    asked = block.prepare(q)
+    scores = np.full((requests, items), -np.inf)
+    scores[:, block.at] = block.score(asked, np.arange(requests), 0, items)
+    return block, asked, scores
+
+
+MODELS = {
+    "hybrid": lambda: RC.hybrid_model(AS_OF), "vectors": lambda: RC.hybrid_model(AS_OF, with_vectors=True),
+    "vibe": lambda: RC.vibe_model(AS_OF), "local": lambda: RC.local_model(AS_OF),
+}
+
+
+@pytest.mark.parametrize("name", MODELS)
+@pytest.mark.parametrize("items", [1, 16, 700])
+def test_bounds_lose_nothing(spark, name, items):
+    block, asked, scores = random_block(MODELS[name](), items, 40, items)
+    bound = block.bound(asked)
+    for s, (low, high) in enumerate(zip(block.starts, block.stops)):
+        assert (scores[:, block.at[low:high]].max(axis=1) <= bound[:, s]).all()
+    for k in (1, 3, 10):
+        rows, cols, found, _ = block.best(asked, k)
+        want = [(r, c, scores[r, c]) for r in range(40) for c in sorted(range(items), key=lambda c: (-scores[r, c], c))[:k]
+                if np.isfinite(scores[r, c])]
+        assert list(zip(rows, cols, found)) == want
+    members = np.arange(items) % 3 + 1
+    count, best, worst = block.totals(asked, members)
+    ok = np.isfinite(scores)
+    assert (count == ok @ members).all() and (best == scores.max(axis=1)).all()
+    assert (worst == np.where(ok, scores, np.inf).min(axis=1)).all()
+
+
+def test_bounds_skip_most_pairs(spark):
+    """Two-decimal vibes leave hardly two candidates alike; still most parts are never scored."""
+    for name, most in (("hybrid", 0.35), ("vibe", 0.35), ("local", 0.35), ("vectors", 0.6)):
+        block, asked, scores = random_block(MODELS[name](), 4000, 64, 9)
+        assert block.best(asked, 3)[3] < most * scores.size, (name, block.best(asked, 3)[3] / scores.size)
 
 
 def test_type_filter_drops_a_branch(t):
