@@ -94,7 +94,8 @@ CITY_COLUMNS = [
     "CAST(r_regionkey + 1 AS INT) AS id",
     "r_name AS name",
     "lower(r_name) AS slug",
-    "'UTC' AS timezone",
+    "CASE r_regionkey WHEN 1 THEN 'America/Chicago' WHEN 2 THEN 'Europe/Berlin' WHEN 3 THEN 'Asia/Kolkata' "
+    "WHEN 4 THEN 'Australia/Sydney' ELSE 'UTC' END AS timezone",
 ]
 
 LOG_COLUMNS = [

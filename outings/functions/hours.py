@@ -55,6 +55,32 @@ def is_open(hours: Column, t: Column, strict: bool = False) -> Column:
     return _always(hours) | known
 
 
+def week_minute(t: Column) -> Column:
+    """Minutes since Sunday 00:00."""
+    return (F.dayofweek(t) - 1) * 1440 + F.hour(t) * 60 + F.minute(t)
+
+
+def open_spans(hours: Column) -> Column:
+    """Spans [start, end) of the week's minutes in which ``is_open`` holds (not strict); NULL where it always does.
+
+    An overnight period counts on the day it opens: from its opening to midnight, and before its close.
+    """
+
+    def minutes(hhmm: Column) -> Column:
+        return (F.floor(hhmm / 100) * 60 + hhmm % 100).cast("int")
+
+    def spans(p: Column) -> Column:
+        day = p["open"]["day"] * 1440
+        start, end = minutes(_hhmm(p["open"])), minutes(F.coalesce(_hhmm(p["close"]), F.lit(2400)))
+        span = lambda a, b: F.struct((day + a).alias("start"), (day + b).alias("stop"))
+        overnight = p["close"].isNotNull() & (p["close"]["day"] != p["open"]["day"])
+        both = F.array(span(start, F.lit(1440)), span(F.lit(0), end))
+        return F.when(overnight, both).otherwise(F.array(span(start, end)))
+
+    known = F.filter(F.flatten(F.transform(hours["periods"], spans)), lambda s: s["start"] < s["stop"])
+    return F.when(~_always(hours) & (F.size(hours["periods"]) > 0), F.array_sort(known))
+
+
 def hours_status(hours: Column, t: Column) -> Column:
     return (
         F.when(hours.isNull() | hours["weekday_text"].isNull(), NOT_AVAILABLE)

@@ -48,14 +48,15 @@ class ModelBlock:
         self.strict = "needed" in features
         needed = _floats(items["needed"], np.nan) if self.strict else _floats(items["walk"], np.nan) * 2 + 30
         vibes = {n: _floats(items[f"vibe_{n}"], 0.5) for n in ("quiet", "active", "inside") if getattr(w, n)}
-        bonus = items["bonus"].to_numpy(dtype=float)
+        times = items["times"].to_numpy(int) if "times" in features else None
+        bonus = items["bonus"].to_numpy(dtype=float) if times is None else np.zeros(len(items))
         band = items["band"].map({"inside": 1, "outside": 2}).fillna(0).to_numpy(int) if "location" in wishes else None
         kid = items["kid_friendly"].to_numpy(bool) if "kid_friendly" in wishes else None
         calm = items["low_energy"].to_numpy(bool) if w.low_energy else None
         # alike candidates stand together: by gate, then bonus, then a coarse grid of the vibes
         coarse = [np.round(v * 4) for v in vibes.values()]
         fine = list(vibes.values())
-        order = [a for a in (band, kid, calm) if a is not None] + [-bonus, *coarse, np.isnan(needed), *fine]
+        order = [a for a in (band, kid, calm, times) if a is not None] + [-bonus, *coarse, np.isnan(needed), *fine]
         self.at = at = np.lexsort(order[::-1])
         self.starts = np.arange(0, max(len(at), 1), part)
         self.stops = np.minimum(self.starts + part, len(at))
@@ -68,8 +69,19 @@ class ModelBlock:
             self.vectors = unit_matrix(items["embedding"].iloc[at]).T
         self.hash = items["item_hash"].to_numpy()[at] if w.jitter else None
         self.begins = items["starts"].to_numpy()[at] if "requested_date" in wishes else None
+        self.times = cut(times)
+        self.spans = self._spans(items, at) if "open_from" in features else None
         self._extremes()
 
+    @staticmethod
+    def _spans(items: pd.DataFrame, at: np.ndarray):
+        """Opening spans side by side, filled up with empty ones; NULL is the whole week."""
+        rows = [((0,), (10080,)) if a is None else (a, b) for a, b in zip(items["open_from"].to_numpy()[at], items["open_to"].to_numpy()[at])]
+        spans = np.zeros((2, len(rows), max((len(a) for a, _ in rows), default=0)), np.int64)
+        for i, (a, b) in enumerate(rows):
+            spans[0, i, : len(a)], spans[1, i, : len(b)] = a, b
+        return spans
+
     @staticmethod
     def _tag_matrix(tags) -> tuple[dict[str, int], np.ndarray]:
         """Known words and which row has them."""
@@ -89,6 +101,7 @@ class ModelBlock:
         walks = np.where(np.isnan(self.needed), np.inf, self.needed)
         self.least_walk = self._each(np.minimum, walks)
         self.most_bonus = self._each(np.maximum, self.bonus)
+        self.any_time = self._each(np.bitwise_or, self.times) if self.times is not None else None
         self.vibe_range = {n: (self._each(np.minimum, v), self._each(np.maximum, v)) for n, v in self.vibes.items()}
         self.any_tag = self._each(np.maximum, self.has) if self.w.tags else None
         self.any_kid = self._each(np.logical_or, self.kid) if self.kid is not None else None
@@ -121,6 +134,9 @@ class ModelBlock:
             p["band"] = q["r_location"].map({"inside": 1, "outside": 2}).fillna(0).to_numpy(int)[:, None]
         if "kid_friendly" in wishes:
             p["kid"] = np.array([v is None or bool(v) for v in q["r_kid_friendly"]])[:, None]
+        if self.spans is not None:
+            p["minute"] = q["r_local_minute"].to_numpy(dtype=float)[:, None]
+            p["part"] = q["r_local_part"].fillna(0).to_numpy(int)[:, None]
         if "requested_date" in wishes:
             p["date"] = q["r_requested_date"].to_numpy()[:, None]
         return p
@@ -140,6 +156,8 @@ class ModelBlock:
             if self.vectors is not None:
                 total += np.maximum.reduceat(p["near"], self.starts, axis=1) * w.semantic
             total += self.most_bonus
+            if self.times is not None:
+                total += ((self.any_time & p["part"]) > 0) * w.time
             if w.low_energy:
                 total -= (p["low"] & ~self.any_calm) * w.low_energy
             if w.fit:
@@ -172,7 +190,7 @@ class ModelBlock:
                 total += (p["tags"][rows] @ self.has[s].T) / p["n_tags"][rows] * w.tags
             if self.vectors is not None:
                 total += p["near"][rows][:, s] * w.semantic
-            total += self.bonus[s]
+            total += self.bonus[s] if self.times is None else ((self.times[s] & p["part"][rows]) > 0) * w.time
             if w.low_energy:
                 total -= (p["low"][rows] & ~self.calm[s]) * w.low_energy
             if w.fit:
@@ -189,6 +207,12 @@ class ModelBlock:
                 ok &= (wanted == 0) | (self.band[s] == wanted)
             if self.kid is not None:
                 ok &= ~p["kid"][rows] | self.kid[s]
+            if self.spans is not None:
+                now = p["minute"][rows]
+                opened = np.zeros(ok.shape, bool)
+                for start, stop in zip(self.spans[0, s].T, self.spans[1, s].T):
+                    opened |= (start <= now) & (now < stop)
+                ok &= opened
             if self.begins is not None:
                 starts = self.begins[s][None, :]
                 ok &= pd.isna(starts) | (starts >= p["date"][rows])
@@ -202,7 +226,8 @@ class ModelBlock:
             out["tag_score"] = np.einsum("ij,ij->i", p["tags"][rows], self.has[at]) / p["n_tags"][rows, 0] * w.tags
         near = p["near"][rows, at] if self.vectors is not None else np.zeros(len(rows))
         out["semantic_score"] = near * w.semantic
-        out["time_bonus"] = self.bonus[at]
+        timely = self.times is not None and (self.times[at] & p["part"][rows, 0]) > 0
+        out["time_bonus"] = self.bonus[at] + timely * w.time
         with np.errstate(invalid="ignore", divide="ignore"):
             ratio = self.needed[at] / available
             out["availability_score"] = np.where(ratio <= 0.8, (1.0 - ratio) * w.fit, 0.0)

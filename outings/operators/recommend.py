@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from outings.functions.hours import open_spans, week_minute
 from outings.functions.rules import string_array
 from outings.functions.scoring import (
     HYBRID, LOCAL, VIBE, Weights, availability_bonus, jitter, low_energy_penalty, needed_minutes,
@@ -39,6 +40,18 @@ from outings.operators.modelblock import ModelBlock
 from outings.session import stored
 
 TIE_BREAK = ["type", "id"]
+DAY_BITS = {"morning": 1, "afternoon": 2, "evening": 4}
+
+
+def in_city_time(requests: DataFrame, cities: DataFrame, at: str = "requested_at") -> DataFrame:
+    """Requests with the minute of the week and the part of the day where they ask for, by the city's zone at that
+    time, so daylight saving counts."""
+    zones = cities.select(F.col("id").alias("city_id"), "timezone")
+    there = F.from_utc_timestamp(F.col(at), F.coalesce("timezone", F.lit("UTC")))
+    part = F.create_map(*[F.lit(x) for pair in DAY_BITS.items() for x in pair])[time_of_day(there)]
+    return requests.join(zones, "city_id", "left").withColumns(
+        {"local_minute": week_minute(there), "local_part": part}
+    ).drop("timezone")
 
 
 @dataclass(frozen=True)
@@ -77,6 +90,9 @@ class ScoreModel:
             "low_energy": F.coalesce("low_energy", F.lit(False)),
             "tags": self._tag_set(),
             "starts": F.when(F.col("type") == "event", F.col("start_time")),
+            "open_from": F.transform(self._spans(), lambda s: s["start"]),
+            "open_to": F.transform(self._spans(), lambda s: s["stop"]),
+            "times": self._times(),
         }
         columns = [derived[f].alias(f) if f in derived else F.col(f) for f in self.features]
         extra = []
@@ -84,6 +100,16 @@ class ScoreModel:
             extra = [F.xxhash64(*TIE_BREAK).alias("item_hash")]
         return self.eligible(acts).select("city_id", *TIE_BREAK, *columns, *extra)
 
+    @staticmethod
+    def _spans() -> Column:
+        return F.when(F.col("type") == "place", open_spans(F.col("hours")))
+
+    @staticmethod
+    def _times() -> Column:
+        """The best times of day as bits."""
+        bits = [F.coalesce(F.array_contains("best_times", n), F.lit(False)).cast("int") * b for n, b in DAY_BITS.items()]
+        return bits[0] + bits[1] + bits[2]
+
     def _tag_set(self) -> Column:
         """Tags as a sorted set so that equal sets group together."""
         tags = F.sort_array(F.array_distinct("tags"))
@@ -109,6 +135,10 @@ class ScoreModel:
         if "requested_date" in self.wishes:
             starts = F.col("starts")
             ok = ok & (starts.isNull() | (starts >= F.col("r_requested_date")))
+        if "local_minute" in self.wishes:
+            now = F.col("r_local_minute")
+            spans = F.arrays_zip("open_from", "open_to")
+            ok = ok & (F.col("open_from").isNull() | F.exists(spans, lambda s: (s["open_from"] <= now) & (now < s["open_to"])))
         return F.coalesce(ok, F.lit(False))
 
     def score(self) -> Column:
@@ -122,7 +152,11 @@ class ScoreModel:
                 parts.append(vibe_match(F.col(f"vibe_{name}"), F.col(f"r_{name}")) * weight)
         if w.tags:
             parts.append(tag_score(F.col("r_tags"), F.col("tags"), w.tags))
-        parts.append(F.col("bonus"))
+        if "times" in self.features:
+            hit = F.col("times").bitwiseAND(F.col("r_local_part")) > 0
+            parts.append(F.when(hit, F.lit(float(w.time))).otherwise(F.lit(0.0)))
+        else:
+            parts.append(F.col("bonus"))
         if w.low_energy:
             parts.append(
                 low_energy_penalty(F.col("r_low_energy"), F.col("low_energy"), w.low_energy)
@@ -142,18 +176,21 @@ class ScoreModel:
 
 def hybrid_model(
     as_of, weights: Weights = HYBRID, vocabulary=None, dated: bool = False,
-    check_at: str | None = None, strict_hours: bool = False, with_vectors: bool = False,
+    check_at: str | None = None, strict_hours: bool = False, with_vectors: bool = False, local: bool = False,
 ) -> ScoreModel:
     """Vibe 20 + 20, tags 30, time of day 20, fit 10; with vectors also semantic 30.
 
     ``dated`` requests carry ``requested_date``; otherwise all ask for ``as_of``.
-    Opening hours are checked at ``as_of`` unless ``check_at`` names another time.
+    Opening hours are checked at ``as_of`` unless ``check_at`` names another time. ``local`` requests carry
+    ``local_minute`` and ``local_part`` (see ``in_city_time``): hours and time of day are then those of each request.
     ``vocabulary`` lists the tags requests can ask for, where that set is known.
     """
     now = ts(as_of)
 
     def eligible(acts: DataFrame) -> DataFrame:
-        out = acts.filter(is_operational() & open_at(ts(check_at or as_of), strict_hours))
+        out = acts.filter(is_operational())
+        if not local:
+            out = out.filter(open_at(ts(check_at or as_of), strict_hours))
         if dated:
             return out
         return out.filter((F.col("type") != "event") | (F.col("start_time") >= now))
@@ -164,8 +201,10 @@ def hybrid_model(
     tags = ("tags",) * bool(weights.tags)
     return ScoreModel(
         weights, eligible,
-        (*vibes, "band", "walk", *tags, "bonus", *(("starts",) * dated), *vector),
-        (*sliders, "location", *tags, "time_available", *(("requested_date",) * dated), *vector),
+        (*vibes, "band", "walk", *tags, *(("open_from", "open_to", "times") if local else ("bonus",)),
+         *(("starts",) * dated), *vector),
+        (*sliders, "location", *tags, "time_available", *(("local_minute", "local_part") * local),
+         *(("requested_date",) * dated), *vector),
         as_of, vocabulary=tuple(vocabulary) if vocabulary else None,
     )
 

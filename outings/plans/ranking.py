@@ -9,7 +9,7 @@ from outings.functions.scoring import BLEND, availability_bonus, jitter, low_ene
 from outings.functions.scoring import round1, tag_score, time_bonus, vibe_match
 from outings.functions.times import time_of_day, ts
 from outings.operators.recommend import (
-    hybrid_model, local_model, log_rows, recommend, recommend_many, request_metadata,
+    hybrid_model, in_city_time, local_model, log_rows, recommend, recommend_many, request_metadata,
     result_json, score_summary, vibe_model,
 )
 from outings.plans.registry import query
@@ -121,6 +121,53 @@ def topn_per_request(t):
     return recommend_many(t.requests, t.activities(), hybrid_model(AS_OF))
 
 
+# Requests for a date: events must start after it.
+_DATED = f"TIMESTAMP '{AS_OF}' + (r.request_id % 240) * INTERVAL 1 HOUR"
+
+
+@query(
+    "topn_by_date",
+    with_model(
+        scored_sql(_HYBRID_GATE.replace(f"a.start_time >= TIMESTAMP '{AS_OF}'", f"a.start_time >= {_DATED}"), _HYBRID_SCORE, "score > 0")
+        + _TOP.format(k=3)
+    ),
+)
+def topn_by_date(t):
+    at = F.expr(f"TIMESTAMP '{AS_OF}' + make_interval(0, 0, 0, 0, CAST(request_id % 240 AS INT))")
+    asked = t.requests.withColumn("requested_date", at)
+    return recommend_many(asked, t.activities(), hybrid_model(AS_OF, dated=True))
+
+
+# Requests of four days around the change to daylight saving time in the second city.
+_ASKED = "TIMESTAMP '2024-03-08 00:00:00' + (request_id % 97) * INTERVAL 1 HOUR"
+_CITY_TIME = f""", asked AS (SELECT *, asked_at + minutes * INTERVAL 1 MINUTE AS there FROM (
+  SELECT *, {_ASKED} AS asked_at, CASE city_id WHEN 1 THEN 0 WHEN 3 THEN 60 WHEN 4 THEN 330 WHEN 5 THEN 660
+    ELSE CASE WHEN {_ASKED} < TIMESTAMP '2024-03-10 08:00:00' THEN -360 ELSE -300 END END AS minutes FROM requests))"""
+_NOW = "(hour(r.there) * 100 + minute(r.there))"
+_OPEN_THERE = (
+    "(a.no_hours OR a.always_open OR (a.closed_day <> dayofweek(r.there) AND CASE WHEN a.closes_next_day THEN "
+    f"{_NOW} >= a.open_hhmm OR {_NOW} < a.close_hhmm ELSE {_NOW} >= a.open_hhmm AND {_NOW} < a.close_hhmm END))"
+)
+_PART = "CASE WHEN hour(r.there) < 12 THEN 'morning' WHEN hour(r.there) < 17 THEN 'afternoon' ELSE 'evening' END"
+
+
+@query(
+    "topn_city_time",
+    with_model(
+        _CITY_TIME
+        + scored_sql(
+            _HYBRID_GATE.replace(open_sql(AS_OF, "a"), _OPEN_THERE), _HYBRID_SCORE.replace(f"'{TIME_OF_DAY}'", _PART), "score > 0"
+        ).replace("FROM requests r", "FROM asked r")
+        + _TOP.format(k=3)
+    ),
+)
+def topn_city_time(t):
+    """Hours and time of day by the clock of the city at the time of each request."""
+    at = F.expr("TIMESTAMP '2024-03-08 00:00:00' + make_interval(0, 0, 0, 0, CAST(request_id % 97 AS INT))")
+    asked = in_city_time(t.requests.withColumn("requested_at", at), t.cities)
+    return recommend_many(asked, t.activities(), hybrid_model(AS_OF, local=True))
+
+
 @query("rank_results", with_model(VIBE_SQL + _TOP.format(k=10)))
 def rank_results(t):
     return recommend_many(t.requests, t.activities(), vibe_model(AS_OF), limit=10)
