@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from outings.functions.rules import (
     ARTICLE_CATEGORIES, ARTICLE_DEFAULT_CATEGORY, CALENDAR_CATEGORIES, infer_categories,
@@ -15,7 +15,8 @@ from outings.functions.text import (
 )
 from outings.functions.times import extract_time, parse_event_date, ts
 from outings.operators.quality import event_checks, rejected_rows, valid_rows
-from outings.operators.upsert import upsert
+from outings.operators.upsert import outcome_rows, upsert
+from outings.sources.buckets import IN_BUCKET, BucketedTable
 
 KEYS = ["source", "source_id"]
 
@@ -66,8 +67,8 @@ def calendar_events(
     )
 
 
-def jsonld_event_rows(matched: DataFrame, source: str, city_id: int, as_of) -> DataFrame:
-    """Event rows of structured events with their matched card."""
+def jsonld_event_rows(matched: DataFrame, source: str, city_id: int, as_of, *carried: str) -> DataFrame:
+    """Event rows of structured events with their matched card; ``carried`` columns stay."""
     card = F.col("card")
 
     def first(*options: Column) -> Column:
@@ -107,12 +108,12 @@ def jsonld_event_rows(matched: DataFrame, source: str, city_id: int, as_of) -> D
             F.col("at_id"), F.col("identifier"), F.col("source_url"), F.col("slug"),
             F.col("start_text"),
         ).alias("source_id"),
-        ts(as_of).alias("scraped_at"),
+        ts(as_of).alias("scraped_at"), *carried,
     )
 
 
-def article_event_rows(articles: DataFrame, source: str, city_id: int, as_of) -> DataFrame:
-    """Event rows of articles; they start when the article was published."""
+def article_event_rows(articles: DataFrame, source: str, city_id: int, as_of, *carried: str) -> DataFrame:
+    """Event rows of articles; they start when the article was published. ``carried`` columns stay."""
     category = F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit(ARTICLE_DEFAULT_CATEGORY))
     clock = extract_time(F.col("excerpt"))
     published = F.col("published").try_cast("timestamp")
@@ -128,7 +129,7 @@ def article_event_rows(articles: DataFrame, source: str, city_id: int, as_of) ->
         F.col("url").alias("website"), F.col("url").alias("source_url"),
         F.col("image").alias("image_url"), F.lit(source).alias("source"),
         source_id_article(F.col("url"), slug).alias("source_id"),
-        ts(as_of).alias("scraped_at"),
+        ts(as_of).alias("scraped_at"), *carried,
     )
 
 
@@ -155,3 +156,24 @@ def upsert_calendar(
         target = rows.limit(0)
     keys = [*(deal_by or []), *KEYS]
     return upsert(target, rows, keys, CALENDAR_UPDATES, seq, as_of=as_of, deal_by=deal_by)
+
+
+def run_into(
+    table: BucketedTable, rows: DataFrame, update_cols: list[str], seq: str, as_of
+) -> DataFrame:
+    """The end of a page or article run: merge its event rows into the stored events.
+
+    Known events get ``update_cols`` and ``updated_at``, new ones all columns; rows without title or start are
+    skipped. Returns the run's counts (outcome, n), observed in the merge itself.
+    """
+    counts = Observation()
+    rows = rows.withColumn("updated_at", ts(as_of))
+
+    def change(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert(
+            old, new, [IN_BUCKET, *KEYS], update_cols, seq, as_of=as_of, checks=event_checks(), counts=counts,
+            deal_by=[IN_BUCKET],
+        )
+
+    touched = table.merge(rows, change, dealt=True)
+    return outcome_rows(rows.sparkSession, counts if touched else None)

@@ -176,9 +176,9 @@ def touch_updated_at(before: DataFrame, change: Callable[[DataFrame], DataFrame]
     ).drop("_old")
 
 
-def outcome_rows(spark: SparkSession, counts: Observation) -> DataFrame:
-    """The counts of a finished merge as rows: outcome, n."""
-    seen = counts.get
+def outcome_rows(spark: SparkSession, counts: Observation | None) -> DataFrame:
+    """The counts of a finished merge as rows: outcome, n; all 0 without one."""
+    seen = counts.get if counts else dict.fromkeys(("inserted", "updated", "skipped"), 0)
     rows = [(name, seen[name] or 0) for name in ("inserted", "updated", "skipped")]
     return spark.createDataFrame(rows, "outcome string, n long")
 

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from outings.bindings import with_model
 from outings.operators.ingest import (
-    article_event_rows, calendar_events, card_event_rows, jsonld_event_rows,
+    ARTICLE_UPDATES, PAGE_UPDATES, article_event_rows, calendar_events, card_event_rows,
+    jsonld_event_rows, run_into,
 )
 from outings.operators.quality import missing, valid_rows
 from outings.plans.registry import query
 from outings.bindings import AS_OF
 from outings.session import shared_dir
 from outings.sources import pages as P
+from outings.sources.buckets import BucketedTable
 from outings.sources.drafts import markdown_places
 from outings.sources.ics import ics_events
 from outings.sources.sinks import export_places_csv
@@ -270,6 +272,76 @@ def article_rows(t):
     )
 
 
+# ---- runs into the stored events ---------------------------------------------------------------
+
+# Every second page was there before, under another title; every seventh now has no title or no start.
+_RUN_SQL = (
+    ", page AS ({rows}), ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page_id DESC) AS n, "
+    "row_number() OVER (PARTITION BY source_id ORDER BY page_id) AS first FROM page WHERE page_id % 7 <> 0), "
+    "old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY page_id DESC) AS k FROM page "
+    "WHERE page_id % 2 = 0) o WHERE k = 1) "
+    "SELECT coalesce(l.source_id, o.source_id) AS source_id, coalesce(l.title, 'Old ' || o.title) AS title, "
+    "{start} AS start_time, {venue} AS venue_name, coalesce('old-' || o.slug, f.slug) AS slug, "
+    f"CASE WHEN l.source_id IS NOT NULL THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS updated_at "
+    "FROM old o FULL JOIN (SELECT * FROM ranked WHERE n = 1) l ON l.source_id = o.source_id "
+    "LEFT JOIN (SELECT * FROM ranked WHERE first = 1) f ON f.source_id = l.source_id"
+)
+
+
+def _run(t, rows, updates: list[str]):
+    """A first run under older titles, then the run proper; the stored table is the result."""
+    keys = ["source", "source_id"]
+    table = BucketedTable(t.spark, shared_dir(t.spark, "events"), keys, buckets=8)
+    before = rows.filter("page_id % 2 = 0").withColumns(
+        {
+            "title": F.concat(F.lit("Old "), "title"), "slug": F.concat(F.lit("old-"), "slug"),
+            "start_time": F.col("start_time") - F.expr("INTERVAL 1 DAY"), "venue_name": F.lit("Elsewhere"),
+        }
+    )
+    run_into(table, before, updates, "page_id", "2024-01-01 00:00:00")
+    now = rows.withColumn("title", F.when(F.col("page_id") % 14 != 0, F.col("title"))).withColumn(
+        "start_time", F.when(F.col("page_id") % 14 != 7, F.col("start_time"))
+    )
+    run_into(table, now, updates, "page_id", AS_OF)
+    return table.read().select("source_id", "title", "start_time", "venue_name", "slug", "updated_at")
+
+
+@query(
+    "page_run",
+    "WITH none AS (SELECT 1)" + _RUN_SQL.format(
+        rows="SELECT page_id, concat('Evening Concert Number ', CAST(page_id AS VARCHAR)) AS title, "
+        "concat('evening-concert-number-', CAST(page_id AS VARCHAR)) AS slug, CAST(concat('2024-02-0', "
+        "CAST(page_id % 9 + 1 AS VARCHAR), ' 19:00:00') AS TIMESTAMP) AS start_time, "
+        "coalesce(nullif(list_extract(string_split(url, '/'), -1), ''), concat('evening-concert-number-', "
+        "CAST(page_id AS VARCHAR), '-2024-02-0', CAST(page_id % 9 + 1 AS VARCHAR), 'T19:00:00')) AS source_id "
+        "FROM pages WHERE page_id % 3 <> 2",
+        start="coalesce(l.start_time, o.start_time - INTERVAL 1 DAY)",
+        venue="CASE WHEN l.source_id IS NOT NULL THEN 'Town Hall' ELSE 'Elsewhere' END",
+    ),
+)
+def page_run(t):
+    """Structured pages, from their text to the stored events."""
+    found = P.jsonld_card_match(event_pages(t).drop("url"))
+    return _run(t, jsonld_event_rows(found, "web", 1, AS_OF, "page_id"), PAGE_UPDATES)
+
+
+@query(
+    "article_run",
+    "WITH none AS (SELECT 1)" + _RUN_SQL.format(
+        rows="SELECT page_id, concat(CASE WHEN page_id % 4 = 0 THEN 'Winter Festival ' ELSE 'Council notes ' END, "
+        "CAST(page_id AS VARCHAR)) AS title, concat(CASE WHEN page_id % 4 = 0 THEN 'winter-festival-' ELSE "
+        "'council-notes-' END, CAST(page_id AS VARCHAR)) AS slug, CAST(concat('2024-01-0', CAST(page_id % 9 + 1 AS "
+        f"VARCHAR)) AS TIMESTAMP) AS start_time, CAST(page_id AS VARCHAR) AS source_id {_ARTICLES}",
+        start="CASE WHEN o.source_id IS NOT NULL THEN o.start_time - INTERVAL 1 DAY ELSE f.start_time END",
+        venue="CASE WHEN o.source_id IS NOT NULL THEN 'Elsewhere' ELSE 'Union Hall' END",
+    ),
+)
+def article_run(t):
+    """Articles, from their pages to the stored events; known ones keep their start and venue."""
+    found = P.event_articles(article_pages(t))
+    return _run(t, article_event_rows(found, "news", 1, AS_OF, "page_id"), ARTICLE_UPDATES)
+
+
 # ---- drafts, sheets, documents -----------------------------------------------------------------
 
 
