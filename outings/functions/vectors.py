@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -142,22 +143,48 @@ def hashed_embedding(df: DataFrame, text_col: str, out_col: str, dim: int = 64)
     return unit.withColumn(out_col, F.when(~blank, vector)).drop("_words", "_counts", "_unit")
 
 
+def token_vector(text: Column, dim: int = 64) -> Column:
+    """Deterministic bag of words as a unit vector: a word counts in the dimension of its MD5's first two digits.
+
+    NULL without a word. It stands in for a text model and can be written in any SQL.
+    """
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 2), 16, 10).cast("int") % dim)
+
+    def once(value: Column, then: Callable[[Column], Column]) -> Column:
+        """``then(value)`` with the value worked out one time, however often it is used."""
+        return F.transform(F.array(value), then)[0]
+
+    def counted(places: Column) -> Column:
+        each = F.sequence(F.lit(0), F.lit(dim - 1))
+        return F.transform(each, lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+
+    def unit(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, n: total + n * n))
+        return once(length, lambda l: F.when(l > 0, F.transform(counts, lambda n: n / l)))  # noqa: E741
+
+    return once(once(places, counted), unit)
+
+
 Embedder = Callable[[pd.Series], list]
 
 
 def model_embedding(
-    df: DataFrame, text_col: str, out_col: str, make_embedder: Callable[[], Embedder]
+    df: DataFrame, text_col: str, out_col: str, make_embedder: Callable[[], Embedder], pause: float = 0.0
 ) -> DataFrame:
     """Embed with a model that lives in Python.
 
     ``make_embedder`` is called once per task and returns a function from a
-    series of texts to a list of vectors (None where the model failed).
+    series of texts to a list of vectors (None where the model failed). A task waits ``pause`` seconds
+    between two calls; a limit of r calls a second over n tasks at a time asks for n / r.
     """
     from pyspark.sql import types as T
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = make_embedder()
-        for pdf in batches:
+        for i, pdf in enumerate(batches):
+            if i and pause:
+                time.sleep(pause)
             pdf[out_col] = embed(pdf[text_col])
             yield pdf
 

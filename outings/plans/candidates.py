@@ -10,7 +10,9 @@ from outings.functions.text import article_is_event, hours_unverified
 from outings.functions.times import season_of, ts
 from outings.operators import filters
 from outings.operators.activities import upcoming
-from outings.operators.quality import event_checks, rejected_rows, valid_rows
+from outings.operators.quality import (
+    PRICE_LEVELS, VIBE_RANGES, event_checks, out_of_range, rejected_rows, valid_rows,
+)
 from outings.plans.registry import query
 
 CHECK_TIMES = (AS_OF, "2024-01-16 10:30:00", "2024-01-20 18:45:00", "2024-01-21 01:15:00")
@@ -261,6 +263,24 @@ def rejected(t):
     return rejected_rows(t.events.selectExpr(*_BATCH), event_checks()).select("id", "reason")
 
 
+_RANGED = "CASE WHEN id % 10 = 0 THEN 1.5e0 WHEN id % 10 = 1 THEN NULL ELSE vibe_quiet END"
+
+
+@query(
+    "range_rejected",
+    with_model(
+        f"SELECT id, CASE WHEN quiet NOT BETWEEN 0 AND 1 THEN 'vibe_quiet out of range' ELSE 'price_level out of range' "
+        f"END AS reason FROM (SELECT id, {_RANGED} AS quiet, id % 6 AS price FROM places) p "
+        "WHERE quiet NOT BETWEEN 0 AND 1 OR price NOT BETWEEN 1 AND 4"
+    ),
+)
+def range_rejected(t):
+    """Rows outside the value ranges that the stored tables allow; NULL passes."""
+    rows = t.places.withColumns({"vibe_quiet": F.expr(_RANGED), "price_level": F.col("id") % 6})
+    checks = {**out_of_range(**VIBE_RANGES), **out_of_range(**PRICE_LEVELS)}
+    return rejected_rows(rows, checks).select("id", "reason")
+
+
 _AVAILABILITY = (
     "CASE WHEN id % 7 = 0 THEN 'by appointment' WHEN id % 11 <> 0 THEN concat('{open:0', "
     "CAST(id % 10 AS STRING), ':00, kind:', category_word, ',\\n            note: \"', name, ', grill, pub\", "

@@ -303,14 +303,19 @@ _TAG_PART = (
 )
 
 
+ACTIVITY_TEXT_SQL = (
+    f"concat_ws('. ', title, description, {_TAG_PART}, concat_ws(', ', "
+    "CASE WHEN coalesce(vibe_quiet, 0e0) < 0.4e0 THEN 'lively atmosphere' ELSE "
+    "'quiet atmosphere' END, CASE WHEN coalesce(vibe_inside, 0e0) > 0.6e0 THEN 'indoor space' "
+    "ELSE 'outdoor space' END, CASE WHEN coalesce(vibe_active, 0e0) < 0.4e0 THEN "
+    "'relaxing activity' ELSE 'active experience' END))"
+)
+
+
 @query(
     "activity_text",
     with_model(
-        f"SELECT type, id, concat_ws('. ', title, description, {_TAG_PART}, concat_ws(', ', "
-        "CASE WHEN coalesce(vibe_quiet, 0e0) < 0.4e0 THEN 'lively atmosphere' ELSE "
-        "'quiet atmosphere' END, CASE WHEN coalesce(vibe_inside, 0e0) > 0.6e0 THEN 'indoor space' "
-        "ELSE 'outdoor space' END, CASE WHEN coalesce(vibe_active, 0e0) < 0.4e0 THEN "
-        "'relaxing activity' ELSE 'active experience' END)) AS body FROM activities"
+        f"SELECT type, id, {ACTIVITY_TEXT_SQL} AS body FROM activities"
     ),
 )
 def activity_texts(t):

@@ -6,10 +6,15 @@ from pyspark.sql import functions as F
 
 from outings.bindings import AS_OF, with_model
 from outings.functions.scoring import round1
-from outings.functions.vectors import activity_text, cosine_similarity, hashed_embedding
+from outings.functions.times import ts
+from outings.functions.vectors import activity_text, cosine_similarity, token_vector
+from outings.operators.embedding import embed_due
 from outings.operators.filters import embedding_backlog, is_operational
 from outings.operators.similarity import ivf_topk, semantic_scores, semantic_topk
+from outings.plans.inference import ACTIVITY_TEXT_SQL
 from outings.plans.registry import query
+from outings.session import shared_dir
+from outings.sources.buckets import BucketedTable
 
 # A fixed query vector, as a text model would return one.
 QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 64 for i in range(64)]
@@ -86,20 +91,25 @@ def ivf(t):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("embed_backlog")
+_PLACE = "(instr('0123456789abcdef', substr(md5(w), {i}, 1)) - 1)"
+_EMBED_SQL = (
+    f", texts AS (SELECT type, id, {ACTIVITY_TEXT_SQL} AS body FROM activities WHERE is_active AND vec_id IS NULL "
+    f"AND (type = 'place' OR start_time > TIMESTAMP '{AS_OF}')), counted AS (SELECT type, id, "
+    "[len(list_filter(places, lambda p: p = i)) FOR i IN range(64)] AS counts FROM (SELECT type, id, "
+    f"[({_PLACE.format(i=1)} * 16 + {_PLACE.format(i=2)}) % 64 FOR w IN string_split_regex(lower(body), '[^a-z0-9]+') IF w <> ''] "
+    "AS places FROM texts) x) SELECT type, id, array_to_string([CAST(round(n / sqrt(list_sum([c * c FOR c IN counts])), 4) "
+    "AS VARCHAR) FOR n IN counts], ',') AS embedding FROM counted"
+)
+
+
+@query("embed_backlog", with_model(_EMBED_SQL))
 def embed(t):
-    """Backlog rows of both tables get a vector of their text."""
-    wanted = ["type", "id", "title", "description", "tags", "vibe_quiet", "vibe_inside",
-              "vibe_active"]
-    places = embedding_backlog(t.places, "vec_id").select(
-        "id", F.lit("place").alias("type")
-    )
-    events = embedding_backlog(t.events, "vec_id", AS_OF).select(
-        "id", F.lit("event").alias("type")
-    )
-    due = t.activities().join(places.unionByName(events), ["type", "id"]).select(*wanted)
-    texts = due.select("type", "id", activity_text(*[F.col(c) for c in wanted[2:]]).alias("body"))
-    return hashed_embedding(texts, "body", "embedding").select(
-        "type", "id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")),
-                                   ",").alias("embedding")
-    )
+    """The job over all rows without a vector; the committed results are read back."""
+    wanted = ("title", "description", "tags", "vibe_quiet", "vibe_inside", "vibe_active")
+    coming = (F.col("type") == "place") | (F.col("start_time") > ts(AS_OF))
+    due = embedding_backlog(t.activities(), "vec_id").filter(coming)
+    texts = due.select("type", "id", activity_text(*[F.col(c) for c in wanted]).alias("body"))
+    results = BucketedTable(t.spark, shared_dir(t.spark, "vectors"), ["type", "id"], buckets=4)
+    embed_due(texts, results, lambda rows: rows.withColumn("embedding", token_vector(F.col("body"))), batches=2)
+    shown = F.transform("embedding", lambda x: F.round(x, 4).cast("string"))
+    return results.read().select("type", "id", F.array_join(shown, ",").alias("embedding"))

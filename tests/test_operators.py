@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from outings.bindings import AS_OF, Tables
+from outings.functions.hours import is_open, open_spans, week_minute
 from outings.functions.scoring import HYBRID, LOCAL, VIBE
 from outings.functions.vectors import hashed_embedding, model_embedding
 from outings.operators import recommend as RC
@@ -15,6 +16,7 @@ from outings.operators import similarity as SM
 from outings.operators import stats
 from outings.operators import upsert as U
 from outings.operators.blocks import best_per_row
+from outings.operators.embedding import embed_due
 from outings.operators.ingest import calendar_events, upsert_calendar
 from outings.operators.modelblock import ModelBlock
 from outings.operators.quality import (
@@ -447,3 +449,64 @@ def test_stream_dedupe_keeps_every_key_in_any_order(spark, tmp_path):
     SI.dedupe_stream(stream, table, str(tmp_path / "lost")).awaitTermination()  # all rows again
     out = table.read().select("source", "source_id").collect()
     assert len(out) == 5 and {tuple(r) for r in out} == {(r[0], r[1]) for r in rows}
+
+
+# ---- embedding job -------------------------------------------------------------------------
+
+
+def test_embedding_job_goes_on_where_it_stopped(spark, tmp_path):
+    """The third batch fails at first; after the second run no row of the first two was embedded again."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    texts = spark.createDataFrame([(i, None if i == 5 else f"text {i}") for i in range(40)], "id long, body string")
+    results = BucketedTable(spark, str(tmp_path / "vectors"), ["id"], buckets=3)
+    state = {"batch": 0, "broken": True}
+
+    def embed(rows):
+        state["batch"] += 1
+        broken, folder = state["broken"] and state["batch"] == 3, str(calls)
+
+        def make():
+            def run(batch):
+                if broken:
+                    raise ValueError("model is down")
+                for text in batch:
+                    with open(f"{folder}/{text}", "a") as out:
+                        out.write("x")
+                return [None if text is None else [float(len(text))] for text in batch]
+            return run
+
+        return model_embedding(rows, "body", "embedding", make)
+
+    with pytest.raises(Exception, match="model is down"):
+        embed_due(texts, results, embed, batches=4)
+    first = results.read().count()
+    assert 0 < first < 40
+    state["broken"] = False
+    counts = embed_due(texts, results, embed, batches=4)
+    assert counts["embedded"] + counts["failed"] == 40 - first and results.read().count() == 40
+    assert results.read().filter("embedding IS NULL").count() == 1
+    assert all(len(p.read_text()) == 1 for p in calls.iterdir())  # one call a text
+    assert embed_due(texts, results, embed, batches=4) == {"embedded": 0, "failed": 0}
+
+
+def test_city_time_counts_daylight_saving(spark):
+    cities = spark.createDataFrame([(1, "America/Chicago"), (2, "Asia/Kolkata"), (3, None)], "id int, timezone string")
+    asked = spark.createDataFrame(
+        [(1, "2024-03-10 07:59:00"), (1, "2024-03-10 08:01:00"), (2, "2024-03-09 19:00:00"), (3, "2024-03-09 19:00:00"), (9, "2024-03-09 05:00:00")],
+        "city_id int, at string",
+    ).withColumn("requested_at", F.col("at").cast("timestamp"))
+    rows = {(r.city_id, r["at"][-8:-3]): (r.local_minute, r.local_part) for r in RC.in_city_time(asked, cities).collect()}
+    assert rows == {(1, "07:59"): (119, 1), (1, "08:01"): (181, 1), (2, "19:00"): (30, 1), (3, "19:00"): (6 * 1440 + 1140, 4),
+                    (9, "05:00"): (6 * 1440 + 300, 1)}
+
+
+def test_open_spans_are_is_open(t):
+    """Every half hour of a week: the spans hold exactly where the plain rule says open."""
+    hours = t.places.limit(60).select("id", "hours")
+    at = F.expr("timestamp '2024-01-14 00:00:00' + make_interval(0, 0, 0, 0, 0, step * 30)")
+    steps = hours.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(335)))).withColumn("at", at)
+    spans, now = open_spans(F.col("hours")), week_minute(F.col("at"))
+    inside = spans.isNull() | F.exists(spans, lambda s: (s["start"] <= now) & (now < s["stop"]))
+    assert steps.filter(inside != is_open(F.col("hours"), F.col("at"))).count() == 0
+    assert steps.filter(inside).count() not in (0, 60 * 336)
