@@ -8,10 +8,10 @@ for order 0, the id. Many blocks are coded side by side, one numpy lane each, so
 its own.
 
 A file holds the magic, the number of ids in the vocabulary, an index (document ids and lengths, compressed) and
-blocks, each with its length, its size and the CRC-32 of its ids. A damaged block raises an error and
-leaves the other blocks readable.
+blocks, each with its length, its size and the CRC-32 of its ids. Reading a file with a damaged block raises an
+error.
 
-Ids must be below 65,536. Null texts are empty; each document ends with one end id. Documents are ordered by
+Ids must be below 65,536. The string of a special token in a text gives that token's id. Null texts are empty; each document ends with one end id. Documents are ordered by
 id; rows of one id keep any order among themselves, rows without id come first. An empty table gives no file.
 """
 
@@ -256,7 +256,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True  # their strings in a text are ordinary text
     return _tokenizers[path]
 
 
