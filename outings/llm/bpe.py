@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 
 from outings.llm.textbytes import map_text, mix, prefix_hash, span_hash
 
-#: Results of the second tier kept per Python worker; the table starts anew when it is full.
-MEMO_ENTRIES = 150_000
+#: Results kept per Python worker in each of two tables. When the young one is full it becomes the old one, whose
+#: entries are dropped unless they are asked for again, so frequent pre-tokens stay however long the run.
+MEMO_ENTRIES = 200_000
 #: Longest pre-token kept in that table, in characters.
 MEMO_CHARS = 64
 _loaded: dict = {}
@@ -99,26 +100,29 @@ def _hashes(strings: list[bytes]) -> np.ndarray:
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of a pre-token: always merge the adjacent pair of lowest rank, leftmost first."""
-    n = len(piece)
-    end = list(range(1, n + 1))  # end of the part that starts here; 0 once merged away
+    n, rank_of, push = len(piece), ranks.get, heapq.heappush
+    end = list(range(1, n + 1))  # end of the part that starts here
     before = list(range(-1, n - 1))
-    heap = []
-    for i in range(n - 1):
-        if (rank := ranks.get(piece[i : i + 2])) is not None:
-            heap.append((rank, i, i + 2))
+    pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # rank of the part here and the next one
+    pair.append(None)
+    heap = [rank * n + i for i, rank in enumerate(pair) if rank is not None]
     heapq.heapify(heap)
     while heap:
-        _, left, stop = heapq.heappop(heap)
-        right = end[left]
-        if not right or right >= n or end[right] != stop:
+        rank, left = divmod(heapq.heappop(heap), n)
+        if pair[left] != rank:
             continue  # one of the two parts has changed
-        end[left], end[right] = stop, 0
+        right = end[left]
+        end[left] = stop = end[right]
+        pair[left] = pair[right] = None
         if stop < n:
             before[stop] = left
-            if (rank := ranks.get(piece[left : end[stop]])) is not None:
-                heapq.heappush(heap, (rank, left, end[stop]))
-        if (p := before[left]) >= 0 and (rank := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (rank, p, stop))
+            if (rank := rank_of(piece[left : end[stop]])) is not None:
+                pair[left] = rank
+                push(heap, rank * n + left)
+        if (p := before[left]) >= 0:
+            pair[p] = rank = rank_of(piece[p:stop])
+            if rank is not None:
+                push(heap, rank * n + p)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -139,7 +143,9 @@ class ByteBpe:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         self.whole = PerfectHash(self.entries)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.decimal = {i: str(i) for i in self.ids}
 
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
@@ -152,22 +158,28 @@ class ByteBpe:
 
     def resolve(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each distinct pre-token."""
-        new = [p for p in pieces if p not in self.memo]
-        raw = [p.encode("utf-8") for p in new]
-        found = self.whole.find(raw).tolist()
-        out, memo = {}, self.memo
+        out, new = {}, []
+        young, old = self.young, self.old
         for p in pieces:
-            if (known := memo.get(p)) is not None:
-                out[p] = known
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo = self.memo = {}
-        for p, b, at in zip(new, raw, found, strict=True):
-            ids = (self.ids[at],) if at >= 0 else tuple(merge_bytes(b, self.ranks))
-            out[p] = ids
-            if len(p) <= MEMO_CHARS and len(memo) < MEMO_ENTRIES:
-                memo[p] = ids
+            if (known := young.get(p)) is None:
+                if (known := old.get(p)) is None:
+                    new.append(p)
+                    continue
+                self._remember(p, known)
+                young, old = self.young, self.old
+            out[p] = known
+        raw = [p.encode("utf-8") for p in new]
+        for p, b, at in zip(new, raw, self.whole.find(raw).tolist(), strict=True):
+            out[p] = ids = (self.ids[at],) if at >= 0 else tuple(merge_bytes(b, self.ranks))
+            if len(p) <= MEMO_CHARS:
+                self._remember(p, ids)
         return out
 
+    def _remember(self, piece: str, ids: tuple[int, ...]):
+        if len(self.young) >= MEMO_ENTRIES:
+            self.old, self.young = self.young, {}
+        self.young[piece] = ids
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each whole text."""
         split = [self.pattern.findall(t) for t in texts]
@@ -222,7 +234,7 @@ def round_trip(
         counts, ids_hex, bytes_hex = [], [], []
         for ids in bpe.encode([t or "" for t in column.to_pylist()]):
             counts.append(len(ids))
-            ids_hex.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            ids_hex.append(hashlib.sha256(",".join(map(bpe.decimal.__getitem__, ids)).encode()).hexdigest())
             bytes_hex.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(bytes_hex, pa.string())]
 
