@@ -1,11 +1,11 @@
 """Token ids in compressed files: an adaptive context-mixing range coder in independent blocks.
 
-A block codes up to ``BLOCK`` ids and starts from nothing. Three predictors are mixed. Orders 2 and 1 each
-name the id that last followed the same two ids or one id; order 0 is the adaptive distribution of the
-block's ids. How often each predictor has been the one to trust is learned per state, the confidence of orders 2
-and 1, and these shares are the mixing weights. The range coder then codes which predictor gives the id and,
-for order 0, the id. Many blocks are coded side by side, one numpy lane each, so a block costs no loop of
-its own.
+A block codes up to ``BLOCK`` ids and starts from nothing. Three predictions are mixed for each id: orders 2 and 1
+each name the id that last followed the same two ids or one id, order 0 is the adaptive distribution of the block's
+ids. The mixture is their weighted sum, in whole numbers, so an id is coded in one step with the probability that
+all three give it together. The weights are kept per state (how often in a row orders 2 and 1 were right); after
+each id a weight moves towards its prediction's part in that id's probability. Many blocks are coded side by side,
+one numpy lane each, so a block costs no loop of its own.
 
 A file holds the magic, the number of ids in the vocabulary, an index (document ids and lengths, compressed) and
 blocks, each with its length, its size and the CRC-32 of its ids. Reading a file with a damaged block raises an
@@ -36,9 +36,11 @@ from outings.session import shared_dir
 BLOCK = 4096
 #: Blocks coded side by side, and ids after which a task closes a file.
 LANES, FILE_IDS = 192, 4 << 20
-MAGIC = b"TOKIDS1\n"
+MAGIC = b"TOKIDS2\n"
 _TOP, _BOTTOM, _MASK = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64((1 << 56) - 1)
-_BITS1, _BITS2, _STEP = 12, 13, 48
+_BITS1, _BITS2, _STEP = 12, 13, 256
+#: Weights are parts of 2**16; a weight moves by 2**-_PACE of the distance.
+_ONE, _PACE = 1 << 16, 5
 _U8, _U48, _FF = np.uint64(8), np.uint64(48), np.uint64(255)
 
 
@@ -57,29 +59,49 @@ class _Mixer:
         self.total = np.full(lanes, n_ids, np.int64)
         self.next1, self.sure1 = np.full((lanes, 1 << _BITS1), -1, np.int32), np.zeros((lanes, 1 << _BITS1), np.int8)
         self.next2, self.sure2 = np.full((lanes, 1 << _BITS2), -1, np.int32), np.zeros((lanes, 1 << _BITS2), np.int8)
-        self.share = np.tile(np.array([2, 2, 4], np.int64), (lanes, 16, 1))
+        self.share = np.tile(np.array([_ONE >> 2, _ONE >> 2, _ONE >> 1], np.int64), (lanes, 16, 1))
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-    def predict(self):
-        """Ids named by orders 2 and 1, and the weights of the three predictors."""
+    def predict(self) -> np.ndarray:
+        """Takes the ids named by orders 2 and 1 and the weights for the next step. Gives the size of the mixture."""
         lane = self.lane
         self.at1 = (self.last * 40503 >> 4) & ((1 << _BITS1) - 1)
         self.at2 = ((self.last * 40503 + self.before * 30011) >> 3) & ((1 << _BITS2) - 1)
-        self.id1, self.id2 = self.next1[lane, self.at1], self.next2[lane, self.at2]
+        named = np.stack([self.next2[lane, self.at2], self.next1[lane, self.at1]], axis=1)
         self.state = self.sure2[lane, self.at2] * 4 + self.sure1[lane, self.at1]
-        weight = self.share[lane, self.state].copy()
-        weight[:, 0] *= self.id2 >= 0
-        weight[:, 1] *= (self.id1 >= 0) & (self.id1 != self.id2)
-        return weight
+        weight = (self.share[lane, self.state] >> 6) + 1
+        weight[:, :2] *= named >= 0
+        self.named = np.maximum(named, 0)
+        self.order0, self.orders = weight[:, 2], weight[:, :2] * self.total[:, None]
+        return weight.sum(axis=1) * self.total
+
+    def interval(self, ids: np.ndarray):
+        """Begin and width of the ids in the mixture."""
+        below, self.own0 = self.cumulative(ids)
+        begin = self.order0 * below + (self.orders * (self.named < ids[:, None])).sum(axis=1)
+        return begin, self.order0 * self.own0 + (self.orders * (self.named == ids[:, None])).sum(axis=1)
+
+    def locate(self, value: np.ndarray) -> np.ndarray:
+        """The ids whose intervals hold the values."""
+        ids, found = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
+        below, own = self.cumulative(self.named)
+        begin, end = self.order0[:, None] * below, self.order0[:, None] * (below + own) + self.orders
+        smaller = np.argmin(self.named, axis=1)
+        for which in (smaller, 1 - smaller):  # what the named ids add to order 0, the smaller id first
+            at = self.lane, which
+            here = ~found & (begin[at] <= value) & (value < end[at])
+            ids[here], found = self.named[at][here], found | here
+            value = np.where(~found & (end[at] <= value), value - self.orders[at], value)
+        return np.where(found, ids, self.find(np.minimum(value // self.order0, self.total - 1)))
 
     def cumulative(self, ids: np.ndarray):
-        """Counts of all smaller ids and of the ids themselves, by order 0."""
-        below = np.zeros(len(ids), np.int64)
+        """Counts of all smaller ids and of the ids themselves, by order 0. ``ids``: one or more of each lane."""
+        below, lane = np.zeros(ids.shape, np.int64), self.lane.reshape(-1, *[1] * (ids.ndim - 1))
         for depth, level in enumerate(self.levels):
             node = ids >> (4 * depth)
-            row = level[self.lane, node >> 4]
-            below += np.where(np.arange(16) < (node & 15)[:, None], row, 0).sum(axis=1)
-        return below, self.levels[0][self.lane, ids >> 4, ids & 15].astype(np.int64)
+            row = level[lane, node >> 4]
+            below += np.where(np.arange(16) < (node & 15)[..., None], row, 0).sum(axis=-1)
+        return below, self.levels[0][lane, ids >> 4, ids & 15].astype(np.int64)
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids whose counts hold the values."""
@@ -91,20 +113,21 @@ class _Mixer:
             node = node * 16 + digit
         return node
 
-    def learn(self, ids: np.ndarray, which: np.ndarray, on: np.ndarray):
+    def learn(self, ids: np.ndarray, on: np.ndarray):
+        """Learns from the ids, whose ``interval`` was the last one asked for."""
         lane, own = self.lane[on], ids[on]
         for depth, level in enumerate(self.levels):
             node = own >> (4 * depth)
             level[lane, node >> 4, node & 15] += _STEP
-        self.total[on] += _STEP
+        part = np.column_stack([self.orders * (self.named == ids[:, None]), self.order0 * self.own0])[on]
         state = self.state[on]
-        self.share[lane, state, which[on]] += 3
-        large = self.share[lane, state].sum(axis=1) > 400
-        self.share[lane[large], state[large]] = (self.share[lane[large], state[large]] + 1) >> 1
+        share = self.share[lane, state]
+        self.share[lane, state] = share + ((part * _ONE // part.sum(axis=1)[:, None] - share) >> _PACE)
+        self.total[on] += _STEP
         for next_, sure, at in ((self.next1, self.sure1, self.at1), (self.next2, self.sure2, self.at2)):
             place = at[on]
             right = next_[lane, place] == own
-            sure[lane, place] = np.where(right, np.minimum(sure[lane, place] + 1, 3), 0)
+            sure[lane, place] = np.where(right, np.minimum(sure[lane, place] + 1, 3), 1)
             next_[lane, place] = own
         self.before, self.last = self.last, np.where(on, ids, self.last)
 
@@ -141,16 +164,9 @@ def encode_blocks(blocks: list[np.ndarray], n_ids: int) -> list[bytes]:
 
     for t in range(ids.shape[1]):
         on, own = t < lengths, ids[:, t]
-        weight = mixer.predict()
-        which = np.where(own == mixer.id2, 0, np.where(own == mixer.id1, 1, 2))
-        ends = weight.cumsum(axis=1)
-        width = weight[mixer.lane, which]
-        put(ends[mixer.lane, which] - width, width, ends[:, 2], on)
-        spelled = on & (which == 2)
-        if spelled.any():
-            begin, width = mixer.cumulative(own)
-            put(begin, width, mixer.total, spelled)
-        mixer.learn(own, which, on)
+        total = mixer.predict()
+        put(*mixer.interval(own), total, on)
+        mixer.learn(own, on)
     for shift in range(48, -8, -8):
         out[mixer.lane, used] = (low >> np.uint64(shift)) & _FF
         used += 1
@@ -189,20 +205,11 @@ def decode_blocks(codes: list[bytes], lengths: np.ndarray, n_ids: int) -> list[n
 
     for t in range(out.shape[1]):
         on = t < lengths
-        weight = mixer.predict()
-        ends = weight.cumsum(axis=1)
-        which = np.minimum((ends <= value(ends[:, 2])[:, None]).sum(axis=1), 2)
-        width = weight[mixer.lane, which]
-        take(ends[mixer.lane, which] - width, width, ends[:, 2], on)
-        own = np.where(which == 0, mixer.id2, mixer.id1).astype(np.int64)
-        spelled = on & (which == 2)
-        if spelled.any():
-            own = np.where(spelled, np.minimum(mixer.find(value(mixer.total)), n_ids - 1), own)
-            begin, width = mixer.cumulative(np.maximum(own, 0))
-            take(begin, width, mixer.total, spelled)
-        own = np.maximum(own, 0)
+        total = mixer.predict()
+        own = np.minimum(mixer.locate(value(total)), n_ids - 1)
+        take(*mixer.interval(own), total, on)
         out[:, t] = own
-        mixer.learn(own, which, on)
+        mixer.learn(own, on)
     return [row[:n] for row, n in zip(out, lengths.tolist(), strict=True)]
 
 

@@ -212,6 +212,32 @@ def test_damage_is_noticed_and_repeats_compress():
         tokenfile.to_bytes(np.array([1]), np.array([1]), np.array([70_000]), 50_257)
 
 
+@pytest.mark.parametrize("n_ids", [1, 2, 17, 300, 65_536])
+def test_blocks_of_any_length_and_vocabulary(n_ids):
+    rng = np.random.default_rng(n_ids)
+    blocks = [rng.integers(0, n_ids, k) for k in (1, 2, 777)]
+    blocks += [np.minimum(rng.zipf(1.3, 1500) - 1, n_ids - 1), np.arange(900) % n_ids, np.full(50, n_ids - 1)]
+    codes = tokenfile.encode_blocks(blocks, n_ids)
+    back = tokenfile.decode_blocks(codes, np.array([len(b) for b in blocks]), n_ids)
+    assert [b.tolist() for b in back] == [b.tolist() for b in blocks]
+
+
+def test_blocks_of_texts_take_fewer_bits_than_deflate_and_order_0(spark, data):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [r.text for r in table(spark, data, "documents").orderBy("doc_id").limit(200).collect() if r.text]
+    ids = np.concatenate([np.array(e.ids, np.int64) for e in library.encode_batch(texts, add_special_tokens=False)])
+    blocks = [ids[i : i + tokenfile.BLOCK] for i in range(0, len(ids), tokenfile.BLOCK)]
+    code = sum(map(len, tokenfile.encode_blocks(blocks, 50_257)))
+    assert code < 0.9 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks)
+    bits = 0.0
+    for block in blocks:
+        count = collections.Counter()
+        for i, own in enumerate(block.tolist()):
+            bits -= math.log2((1 + tokenfile._STEP * count[own]) / (50_257 + tokenfile._STEP * i))
+            count[own] += 1
+    assert code < bits / 8
+
+
 def plain_ids(text):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return [*own.encode(text or "", add_special_tokens=False).ids, 2]

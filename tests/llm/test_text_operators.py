@@ -83,6 +83,17 @@ def test_bpe_long_run_without_spaces(bpe_file):
     assert own.encode([text])[0] == reference_cached(bpe_file[0]).encode_ordinary(text)
 
 
+def test_bpe_with_small_tables_of_remembered_pieces(bpe_file, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 5)
+    own = bpe.ByteBpe(bpe.ByteBpe.load(*bpe_file).ranks, bpe_file[1])
+    library = reference_cached(bpe_file[0])
+    for i in range(40):
+        text = " usual qxzvw" + "".join(f" q{i}x{j}zw" for j in range(i % 7))
+        assert own.encode([text])[0] == library.encode_ordinary(text)
+        assert len(own.young) <= 5 and len(own.old) <= 5
+    assert " qxzvw" in own.young or " qxzvw" in own.old
+
+
 def test_bpe_over_odd_rows(odd, none, bpe_file):
     rows = bpe.round_trip(odd, *bpe_file).collect()
     library = reference_cached(bpe_file[0])
