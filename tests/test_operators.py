@@ -18,6 +18,7 @@ from outings.operators import upsert as U
 from outings.operators.blocks import best_per_row
 from outings.operators.embedding import embed_due
 from outings.operators.ingest import calendar_events, upsert_calendar
+from outings.operators.blocks import ITEM_BLOCK, QUERY_BLOCK, pair_blocks
 from outings.operators.modelblock import ModelBlock
 from outings.operators.quality import (
     PRICE_LEVELS, VIBE_RANGES, event_checks, out_of_range, rejected_rows, too_long, valid_rows,
@@ -306,6 +307,23 @@ def test_bounds_lose_nothing(spark, name, items):
     assert (worst == np.where(ok, scores, np.inf).min(axis=1)).all()
 
 
+def test_large_groups_are_copied_to_few_blocks(spark):
+    """Each row goes to every block of the other side, so blocks grow with the group up to a bound."""
+    queries = spark.range(100_000).select(F.lit(1).alias("g"), F.col("id").alias("q"))
+    items = spark.range(300_000).select(F.lit(1).alias("g"), "id")
+    left, right, keys = pair_blocks(queries, items, "g", "q", ["id"])
+    assert left.count() <= 8 * 100_000 and right.count() <= 8 * 300_000
+    for side, most in ((left, QUERY_BLOCK[1]), (right, ITEM_BLOCK[1])):
+        assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] <= 1.1 * most
+
+
+def test_bounds_work_out_few_similarities(spark):
+    """Similarities are worked out for the parts that could win at the largest similarity, not for the block."""
+    block, asked, scores = random_block(MODELS["vectors"](), 4000, 64, 9)
+    assert "near" not in asked
+    assert block.best(asked, 3)[3] < 0.25 * scores.size
+
+
 def test_bounds_skip_most_pairs(spark):
     """Two-decimal vibes leave hardly two candidates alike; still most parts are never scored."""
     for name, most in (("hybrid", 0.35), ("vibe", 0.35), ("local", 0.35), ("vectors", 0.6)):
