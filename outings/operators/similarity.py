@@ -14,6 +14,12 @@ from outings.operators.modelblock import unit_matrix
 
 #: Share of the lists that a query probes: vectors without structure need it for a recall of 0.9.
 PROBED = 0.75
+#: Every pair is scored here, so the items of a block are as many as a small matrix takes.
+ITEM_MATRIX = 4096
+#: Queries of a list that meet its items in one task; lists are many, so they need no smaller cuts.
+LIST_QUERIES = 16384
+#: About so many vectors, drawn at random, fit the centres; every vector is then put into its list.
+FITTED = 65536
 
 
 def semantic_scores(items: DataFrame, vector, embedding: str = "embedding") -> DataFrame:
@@ -55,6 +61,7 @@ def nearest(
     if group is None:
         group = "_all"
         known, asked = known.withColumn(group, F.lit(0)), asked.withColumn(group, F.lit(0))
+    blocks = {"item_block": ITEM_MATRIX} | blocks
     return blocked_topk(
         asked.select("query_id", group, "q_vector"),
         known.select(group, *item_order, "embedding"),
@@ -68,7 +75,7 @@ def list_count(n: int) -> int:
 
 
 def assign_lists(items: DataFrame, n_lists: int, seed: int = 1, iterations: int = 10):
-    """Items with their ``list_id`` and the list centres (k-means on unit vectors)."""
+    """Items with their ``list_id`` and the list centres (k-means on unit vectors, fitted on about ``FITTED`` of them)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
@@ -77,9 +84,11 @@ def assign_lists(items: DataFrame, n_lists: int, seed: int = 1, iterations: int
         "_raw", array_to_vector(F.col("embedding").cast("array<double>"))
     )
     unit = Normalizer(inputCol="_raw", outputCol="_unit").transform(known)
+    n = known.count()
+    some = unit.sample(FITTED / n, seed=seed) if n > FITTED else unit
     model = KMeans(
         k=n_lists, seed=seed, maxIter=iterations, featuresCol="_unit", predictionCol="list_id"
-    ).fit(unit)
+    ).fit(some)
     return model.transform(unit).drop("_raw", "_unit"), np.stack(model.clusterCenters())
 
 
@@ -114,7 +123,7 @@ def ivf_topk(
     asked = probes(
         queries.filter(F.col("q_vector").isNotNull()), centres, min(n_probe, len(centres))
     )
-    return nearest(asked, members, k, item_order, group="list_id", **blocks)
+    return nearest(asked, members, k, item_order, group="list_id", **({"query_block": LIST_QUERIES} | blocks))
 
 
 def recall(approximate: DataFrame, exact: DataFrame, item_order: list[str]) -> DataFrame:

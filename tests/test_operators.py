@@ -364,13 +364,28 @@ def test_probing_lists(t):
 
 
 def test_registered_probing_finds_nine_of_ten(t):
-    exact = SM.nearest(queries_of(t), t.embeddings, 5, ["vec_id"])
+    exact = SM.nearest(queries_of(t).filter("query_id % 50 = 0"), t.embeddings, 5, ["vec_id"])
     found = QUERIES["ivf_topk"].build(t)
     others = [df.filter("query_id != vec_id") for df in (found, exact)]
     assert SM.recall(*others, ["vec_id"]).first().recall >= 0.9
     assert SM.list_count(1_000_000) == 1_000
 
 
+def test_registered_probing_asks_for_every_fiftieth_row(t):
+    """A search of all rows with all rows grows with their square."""
+    asked = {r.query_id for r in QUERIES["ivf_topk"].build(t).select("query_id").distinct().collect()}
+    assert asked == {r.vec_id for r in t.embeddings.filter("vec_id % 50 = 0").collect()}
+
+
+def test_centres_from_a_sample_still_place_every_vector(t, monkeypatch):
+    monkeypatch.setattr(SM, "FITTED", 60)
+    members, centres = SM.assign_lists(t.embeddings, 8)
+    assert members.count() == t.embeddings.count() and len(centres) <= 8
+    found = SM.ivf_topk(t.embeddings, queries_of(t), 5, ["vec_id"], n_lists=8)
+    exact = SM.nearest(queries_of(t), t.embeddings, 5, ["vec_id"])
+    assert SM.recall(found, exact, ["vec_id"]).first().recall >= 0.85
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([(1, "jazz at noon"), (2, " "), (3, None)], "id int, body string")
     rows = {r.id: r.v for r in hashed_embedding(df, "body", "v", 16).collect()}
