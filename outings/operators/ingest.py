@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from outings.functions.rules import (
-    ARTICLE_CATEGORIES, ARTICLE_DEFAULT_CATEGORY, CALENDAR_CATEGORIES, infer_categories,
-    infer_kid_friendly, infer_user_tags, infer_vibe_2d, infer_vibe_3d, infer_vibe_jsonld,
-    map_categories, string_array, union_tags,
+    ARTICLE_CATEGORIES, ARTICLE_DEFAULT_CATEGORY, CALENDAR_CATEGORIES,
+    infer_kid_friendly, infer_vibe_2d, infer_vibe_3d, infer_vibe_jsonld,
+    map_categories, match_text, string_array, text_categories, text_user_tags, union_tags,
 )
 from outings.functions.text import (
     extract_location, parse_price, slugify_words, source_id_article, source_id_card, source_id_ics,
@@ -39,9 +39,11 @@ def calendar_events(
     category tags with their repeats.
     """
     checked = valid_rows(parsed, event_checks())
-    tagged = checked.withColumn("_legacy", infer_categories(F.col("title"), F.col("description")))
+    # a column of its own, so that a row's text is put together once for all rules
+    texts = checked.withColumn("_text", match_text(F.col("title"), F.col("description")))
+    tagged = texts.withColumn("_legacy", text_categories(F.col("_text")))
     if rich:
-        tags = union_tags(infer_user_tags(F.col("title"), F.col("description")), F.col("_legacy"))
+        tags = union_tags(text_user_tags(F.col("_text")), F.col("_legacy"))
         vibe = infer_vibe_3d(F.col("_legacy"))
     else:
         tags, vibe = F.col("_legacy"), infer_vibe_2d(F.col("_legacy"))
@@ -62,7 +64,7 @@ def calendar_events(
             "is_active": F.lit(True),
         }
     )
-    return rows.drop("_legacy", "_vibe", "location", "url", "uid"), rejected_rows(
+    return rows.drop("_text", "_legacy", "_vibe", "location", "url", "uid"), rejected_rows(
         parsed, event_checks()
     )
 

@@ -53,6 +53,11 @@ def feed_texts(events):
     return events.select("id", lines.alias("value"))
 
 
+def spread(rows):
+    """Narrow rows dealt to all tasks: a small file is read by few, and a row of it is a whole text to parse."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @query(
     "ics_events",
     with_model(
@@ -65,7 +70,7 @@ def feed_texts(events):
     ),
 )
 def feeds(t):
-    return ics_events(feed_texts(t.events)).drop("position")
+    return ics_events(feed_texts(spread(t.events))).drop("position")
 
 
 _SOURCE_ID = (
@@ -82,7 +87,7 @@ CALENDAR_SQL = (
 
 
 def calendar_rows(t, texts=None):
-    texts = feed_texts(t.events) if texts is None else texts
+    texts = feed_texts(spread(t.events)) if texts is None else texts
     rows, _ = calendar_events(ics_events(texts), "cal", 1)
     return rows
 

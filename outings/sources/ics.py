@@ -47,17 +47,16 @@ def ics_events(feeds: DataFrame, text: str = "value", rfc: bool = False) -> Data
     def entry(line: Column) -> Column:
         at = F.instr(line, ":")
         full = F.substr(line, F.lit(1), at - 1)
-        return F.struct(
-            (F.split_part(full, F.lit(";"), F.lit(1)) if rfc else full).alias("name"),
-            F.substr(line, at + 1).alias("value"),
-            F.nullif(F.regexp_extract(full, r"TZID=([^;:]+)", 1), F.lit("")).alias("tzid"),
-        )
+        name = F.split_part(full, F.lit(";"), F.lit(1)) if rfc else full
+        zone = [F.nullif(F.regexp_extract(full, r"TZID=([^;:]+)", 1), F.lit("")).alias("tzid")] * rfc
+        return F.struct(name.alias("name"), F.substr(line, at + 1).alias("value"), *zone)
 
     def properties(closed_block: Column) -> Column:
         block = closed_block[0]
         if rfc:
             block = F.regexp_replace(block, r"(?ms)^BEGIN:(\w+)\r?$.*?^END:\1\r?$", "")
-        lines = F.transform(F.split(block, r"\r?\n"), lambda s: F.trim(s))
+        # a one-character separator is no pattern that is compiled anew for every text
+        lines = F.transform(F.split(F.replace(block, F.lit("\r\n"), F.lit("\n")), "\n"), lambda s: F.trim(s))
         return F.transform(F.filter(lines, lambda s: F.instr(s, ":") > 1), entry)
 
     def event(props: Column) -> Column:

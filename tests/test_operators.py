@@ -1,5 +1,6 @@
 """Properties of the operators: idempotence, skew, plans, streams."""
 
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -331,6 +332,29 @@ def test_bounds_skip_most_pairs(spark):
         assert block.best(asked, 3)[3] < most * scores.size, (name, block.best(asked, 3)[3] / scores.size)
 
 
+def test_calendar_texts_are_parsed_by_all_tasks(spark, data):
+    """A small file is read by few tasks; its rows are dealt to all before they become texts."""
+    plan = plan_of(QUERIES["calendar_events"](spark, data))
+    assert "RoundRobinPartitioning(4)" in plan
+
+
+def test_rule_tables_stay_compiled_code(t, capsys):
+    """The virtual machine does not compile methods of more than 8,000 bytes."""
+    t.spark.conf.set("spark.sql.adaptive.enabled", "false")  # shows the code of all stages before they run
+    try:
+        QUERIES["calendar_events"].build(t).explain("codegen")
+    finally:
+        t.spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_feed_lines_may_end_either_way(spark):
+    feed = "BEGIN:VEVENT\r\nSUMMARY:Jazz\nUID:a\r\r\nDTSTART:20240203T190000\nEND:VEVENT\r\n"
+    row = ics_events(spark.createDataFrame([(feed,)], "value string")).first()
+    assert (row.title, row.uid, str(row.start_time)) == ("Jazz", "a\r", "2024-02-03 19:00:00")
+
+
 def test_type_filter_drops_a_branch(t):
     plan = plan_of(t.activities().filter("type = 'event'").select("id"))
     assert plan.count("FileScan") == 1 and "events.parquet" in plan
