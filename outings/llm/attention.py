@@ -51,7 +51,7 @@ class Model:
     head: np.ndarray
     bias: np.ndarray
     class_of: np.ndarray
-    within: np.ndarray  # natural logarithm of each id's share of its class, by the class of the id before
+    within: np.ndarray | str  # natural logarithm of each id's share of its class, by the class of the id before, or its file
 
     def hidden(self, ids: np.ndarray):
         x = self.embed[ids] + self.place
@@ -140,7 +140,7 @@ def within_class(pairs: np.ndarray, class_of: np.ndarray) -> np.ndarray:
     return out
 
 
-def start(n_ids: int, class_of: np.ndarray, within: np.ndarray) -> Model:
+def start(n_ids: int, class_of: np.ndarray, within: np.ndarray | str) -> Model:
     rng = np.random.default_rng(SEED)
     n_classes = SINGLE + CLUSTERS
     normal = lambda *shape, scale: (rng.normal(size=shape) * scale).astype(np.float32)

@@ -22,10 +22,14 @@ from __future__ import annotations
 import base64
 import math
 import pickle
+import posixpath
+import uuid
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +37,7 @@ from pyspark.sql import types as T
 from outings.llm import attention
 from outings.llm.tables import least_frequent, written
 from outings.llm.textbytes import chunks, lower_ascii, map_text, prefix_hash, span_hash, spans
+from outings.session import shared_dir
 
 #: Times that the tasks' weights are averaged at most, and windows that a task trains on before it takes more.
 ROUNDS, TASK_WINDOWS = 8, 1 << 15
@@ -40,16 +45,66 @@ ROUNDS, TASK_WINDOWS = 8, 1 << 15
 IDS = 1 << 18
 #: Words whose counts every task holds, 16 bytes each.
 FREQUENT = 500_000
-#: Spellings kept per Python worker.
-MEMO_WORDS = 2_000_000
+#: Spellings kept in each of a Python worker's two tables.
+MEMO_WORDS = 150_000
 _END_WORD = -1
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 _spellers: dict[tuple[str, str], Speller] = {}
+_shares: dict[str, np.ndarray] = {}
+
+
+@dataclass
+class _Spelled:
+    """Words' hashes in ascending order, and where their ids stand in ``pool``."""
+
+    known: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    pool: np.ndarray
+
+    @classmethod
+    def of(cls, known: np.ndarray, count: np.ndarray, pool: np.ndarray) -> _Spelled:
+        return cls(known, np.cumsum(count) - count, count, pool)
+
+    @classmethod
+    def none(cls) -> _Spelled:
+        return cls.of(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes are known."""
+        if not len(self.known):
+            return np.zeros(len(hashes), bool)
+        at = np.searchsorted(self.known, hashes)
+        return self.known[np.minimum(at, len(self.known) - 1)] == hashes
+
+    def only(self, hashes: np.ndarray) -> _Spelled:
+        """These known words alone."""
+        at = np.searchsorted(self.known, hashes)
+        count = self.count[at]
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return _Spelled.of(hashes, count, self.pool[np.repeat(self.first[at], count) + inner])
+
+    def with_those_of(self, other: _Spelled) -> _Spelled:
+        """The words of both, none of which both have."""
+        if not len(other.known):
+            return self
+        if not len(self.known):
+            return other
+        at = np.searchsorted(self.known, other.known)
+        insert = lambda name, more: np.insert(getattr(self, name), at, more)
+        return _Spelled(
+            insert("known", other.known), insert("first", other.first + len(self.pool)), insert("count", other.count),
+            np.concatenate([self.pool, other.pool]),
+        )
 
 
 class Speller:
-    """Subword ids of words, remembered by the words' hashes."""
+    """Subword ids of words, remembered by the words' hashes.
+
+    Words asked for lately stand in one table, those before in another. A full table takes the place of the older
+    one, so words that keep coming stay and the others go.
+    """
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -57,34 +112,25 @@ class Speller:
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = max(ranks.values()) + 1
         self.n_ids = self.end + 1
-        self._forget()
-
-    def _forget(self):
-        self.known = np.zeros(0, np.uint64)
-        self.first, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.int32)
-
-    def spell(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray):
-        """Place and number of the ids of distinct words (sorted by hash) in ``pool``."""
-        if len(self.known) + len(hashes) > MEMO_WORDS:
-            self._forget()
-        at = np.searchsorted(self.known, hashes)
-        new = np.ones(len(hashes), bool)
-        if len(self.known):
-            new = self.known[np.minimum(at, len(self.known) - 1)] != hashes
-        fresh = np.flatnonzero(new)
-        if len(fresh):
-            raw = data.tobytes()
-            words = [" " + raw[a:b].decode("utf-8", "replace") for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]
-            ids = [self.encoding.encode_ordinary(w) for w in words]
-            count = np.array([len(i) for i in ids])
-            first = len(self.pool) + np.cumsum(count) - count
-            self.pool = np.concatenate([self.pool, np.array([i for own in ids for i in own], np.int32)])
-            self.known = np.insert(self.known, at[fresh], hashes[fresh])
-            self.first = np.insert(self.first, at[fresh], first)
-            self.count = np.insert(self.count, at[fresh], count)
-            at = np.searchsorted(self.known, hashes)
-        return self.first[at], self.count[at]
+        self.late = self.early = _Spelled.none()
+
+    def spell(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> _Spelled:
+        """Ids of distinct words, sorted by hash."""
+        found = self.late.among(hashes)
+        missing = np.flatnonzero(~found)
+        old = self.early.among(hashes[missing])
+        fresh = missing[~old]
+        raw = data.tobytes() if len(fresh) else b""
+        words = [" " + raw[a:b].decode("utf-8", "replace") for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]
+        ids = [self.encoding.encode_ordinary(w) for w in words]
+        own = _Spelled.of(hashes[fresh], np.array([len(i) for i in ids], np.int64), np.array([i for w in ids for i in w], np.int32))
+        new = own.with_those_of(self.early.only(hashes[missing[old]]))
+        asked = new.with_those_of(self.late.only(hashes[found]))
+        if len(self.late.known) + len(new.known) > MEMO_WORDS:
+            self.early, self.late = self.late, new if len(new.known) <= MEMO_WORDS else _Spelled.none()
+        else:
+            self.late = self.late.with_those_of(new)
+        return asked
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Speller:
@@ -99,13 +145,13 @@ def _sequences(speller: Speller, data: np.ndarray, offsets: np.ndarray):
     start, stop, row = spans(_IN_WORD[data], offsets)
     sums, inv = prefix_hash(data)
     hashes, at, which = np.unique(span_hash(sums, inv, start, stop), return_index=True, return_inverse=True)
-    first, count = speller.spell(hashes, data, start[at], stop[at])
-    per_word = count[which]
+    spelled = speller.spell(hashes, data, start[at], stop[at])
+    per_word = spelled.count[which]
     lengths = np.bincount(row, per_word, len(offsets) - 1).astype(np.int64) + 1
     total = int(per_word.sum())
     inner = np.arange(total) - np.repeat(np.cumsum(per_word) - per_word, per_word)
     targets = np.full(total + len(lengths), speller.end, np.int64)
-    targets[np.arange(total) + np.repeat(row, per_word)] = speller.pool[np.repeat(first[which], per_word) + inner]
+    targets[np.arange(total) + np.repeat(row, per_word)] = spelled.pool[np.repeat(spelled.first[which], per_word) + inner]
     inputs = np.concatenate(([speller.end], targets[:-1]))
     return hashes, which, row, inputs, targets, lengths
 
@@ -256,6 +302,7 @@ def score(
 
     def make(column):
         model, known, number = shared.value
+        model = _complete(model)
         speller = Speller.load(path, pattern)
         n_tokens, n_known, base, result, rare = [], [], [], [], []
         for first, end, data, offsets in chunks(column):
@@ -308,22 +355,41 @@ def _columns(batches):
 def _fitted(pairs: DataFrame, class_of: np.ndarray) -> attention.Model:
     """The untrained model with the counted pairs, at most classes times ids of them.
 
-    One task makes it: the driver's memory stays free.
+    One task makes the shares within the classes and writes them to the shared folder, where ``within`` names the
+    file: they do not pass through the driver.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(class_of)
+    spark = pairs.sparkSession
+    shared, folder = spark.sparkContext.broadcast(class_of), shared_dir(spark, "within")
     n_classes = attention.SINGLE + attention.CLUSTERS
 
-    def make(batches) -> attention.Model:
+    def make(batches) -> str:
         class_of = shared.value
         table = np.zeros((n_classes, len(class_of)), np.float32)
         for batch in batches:
             table.reshape(-1)[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-        return attention.start(len(class_of), class_of, attention.within_class(table, class_of))
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = uuid.uuid4().hex
+        with store.open_output_stream(posixpath.join(root, name)) as out:
+            out.write(attention.within_class(table, class_of))
+        return f"{folder}/{name}"
 
     def run(batches):
         yield _packed(make(batches))
 
-    return _unpacked(pairs.repartition(1).mapInArrow(run, "packed binary")) or make([])
+    path = _unpacked(pairs.repartition(1).mapInArrow(run, "packed binary")) or make([])
+    return attention.start(len(class_of), class_of, path)
+
+
+def _complete(model: attention.Model) -> attention.Model:
+    """The model with the shares that its file holds; a worker keeps the last one read."""
+    path = model.within
+    if path not in _shares:
+        _shares.clear()
+        store, name = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(name) as stream:
+            _shares[path] = np.frombuffer(stream.read(), np.float32).reshape(-1, len(model.class_of))
+    return replace(model, within=_shares[path])
 
 
 def _trained(texts: DataFrame, model: attention.Model, steps: int) -> attention.Model:
@@ -339,14 +405,12 @@ def _trained(texts: DataFrame, model: attention.Model, steps: int) -> attention.
     slot = F.pmod(F.xxhash64("order", F.lit(5)), F.lit(slots))
     local = rest / max(1, rounds * tasks) / attention.BATCH
     begin = steps / (steps + rounds * local)
-    within, model.within = model.within, None  # the windows' loss does not need it
     first = texts.filter(slot < cut).select("order", "ids").repartition(1)
     model = _averaged(first, model, steps, 1 << 62, 0.0, begin)
     for number in range(rounds):
         share = texts.filter((slot >= cut) & (slot % rounds == number)).select("order", "ids").coalesce(tasks)
         done = [begin + (1 - begin) * (number + more) / rounds for more in (0, 1)]
         model = _averaged(share, model, 0, TASK_WINDOWS, *done)
-    model.within = within
     return model
 
 

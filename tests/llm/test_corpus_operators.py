@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import struct
@@ -440,6 +441,48 @@ def test_attention_learns_from_every_text(spark, monkeypatch):
     assert len(set(rest)) > attention.CLUSTERS // 2
 
 
+class CountedSpelling:
+    """The encoding, counting how often each word is spelled."""
+
+    def __init__(self, encoding):
+        self.encoding, self.times = encoding, collections.Counter()
+
+    def encode_ordinary(self, word):
+        self.times[word] += 1
+        return self.encoding.encode_ordinary(word)
+
+
+def test_spellings_kept_are_bounded_and_right(monkeypatch):
+    monkeypatch.setattr(lmscore, "MEMO_WORDS", 300)
+    speller = lmscore.Speller(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    plain = speller.encoding
+    speller.encoding = CountedSpelling(plain)
+    for number in range(30):
+        size = 2_000 if number == 20 else 100
+        words = [*[f"common{i}" for i in range(20)], *[f"w{number}x{i}é" for i in range(size)], "common3"]
+        data = " ".join(words).encode()
+        *_, targets, lengths = lmscore._sequences(speller, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        want = [i for w in words for i in plain.encode_ordinary(" " + w)] + [speller.end]
+        assert targets.tolist() == want and lengths.tolist() == [len(want)]
+        held = {name: value for name, value in vars(speller).items() if name != "encoding"}
+        assert len(pickle.dumps(held)) < 2 * 300 * (3 * 8 + 12 * 4) + 2_000
+    assert all(speller.encoding.times[f" common{i}"] <= 2 for i in range(20))
+
+
+def test_shares_within_classes_stay_out_of_the_driver(spark):
+    n_ids, n_classes = 3_000, attention.SINGLE + attention.CLUSTERS
+    rng = np.random.default_rng(4)
+    class_of, keys = rng.integers(0, n_classes, n_ids), rng.choice(n_classes * n_ids, 5_000, replace=False)
+    counts = rng.integers(1, 9, 5_000)
+    pairs = spark.createDataFrame(list(zip(keys.tolist(), counts.tolist(), strict=True)), "key long, n long")
+    model = lmscore._fitted(pairs, class_of)
+    assert len(pickle.dumps(model)) < n_ids * 200
+    table = np.zeros(n_classes * n_ids, np.float32)
+    table[keys] = counts
+    want = attention.within_class(table.reshape(n_classes, n_ids), class_of)
+    assert np.array_equal(lmscore._complete(model).within, want)
+
+
 # ---- chat
 
 
