@@ -1,11 +1,14 @@
 """Token ids in compressed files: an adaptive context-mixing range coder in independent blocks.
 
-A block codes up to ``BLOCK`` ids and starts from nothing. Three predictions are mixed for each id: orders 2 and 1
-each name the id that last followed the same two ids or one id, order 0 is the adaptive distribution of the block's
-ids. The mixture is their weighted sum, in whole numbers, so an id is coded in one step with the probability that
-all three give it together. The weights are kept per state (how often in a row orders 2 and 1 were right); after
-each id a weight moves towards its prediction's part in that id's probability. Many blocks are coded side by side,
-one numpy lane each, so a block costs no loop of its own.
+A block codes up to ``BLOCK`` ids and starts from nothing but its head, which tells how often each id occurs in it.
+Three predictions are mixed for each id: orders 2 and 1 each name the id that last followed the same two ids or one
+id, order 0 is the distribution of the head. The mixture is their weighted sum, in whole numbers, so an id is coded in
+one step with the probability that all three give it together. The weights are kept per state (how often in a row
+orders 2 and 1 were right); after each id a weight moves towards its prediction's part in that id's probability.
+
+Within a block an id is known by its place among the block's sorted ids: that place is also the count of all smaller
+ids, and the sorted ids themselves are the table in which order 0 looks a value up. So no step searches a tree. Many
+blocks are coded side by side, one numpy lane each, so a block costs no loop of its own.
 
 A file holds the magic, the number of ids in the vocabulary, an index (document ids and lengths, compressed) and
 blocks, each with its length, its size and the CRC-32 of its ids. Reading a file with a damaged block raises an
@@ -33,184 +36,225 @@ from pyspark.sql import functions as F
 from outings.llm.tables import written
 from outings.session import shared_dir
 
-BLOCK = 4096
-#: Blocks coded side by side, and ids after which a task closes a file.
-LANES, FILE_IDS = 192, 4 << 20
-MAGIC = b"TOKIDS2\n"
-_TOP, _BOTTOM, _MASK = np.uint64(1 << 48), np.uint64(1 << 40), np.uint64((1 << 56) - 1)
-_BITS1, _BITS2, _STEP = 12, 13, 256
-#: Weights are parts of 2**16; a weight moves by 2**-_PACE of the distance.
-_ONE, _PACE = 1 << 16, 5
-_U8, _U48, _FF = np.uint64(8), np.uint64(48), np.uint64(255)
+BLOCK = 16_384
+#: Blocks coded side by side, and ids after which a task closes a file. A small file has shorter blocks, down to
+#: ``LEAST``, to have at least ``BESIDE`` of them.
+LANES, FILE_IDS = 512, 8 << 20
+LEAST, BESIDE = 4096, 256
+MAGIC = b"TOKIDS3\n"
+_BITS2 = 14
+#: Weights are parts of 2**16, of which a step uses the highest 8 bits; a weight moves by 2**-_PACE of the distance.
+_ONE, _STEP, _PACE = 1 << 16, 256, 5
+#: Parts of a mixture: every named id has one part more than its weight, so that none is impossible, and so has order 0.
+_PARTS = _STEP + 3
+_WORD, _U32, _LOW32 = np.uint64(1 << 32), np.uint64(32), np.uint64((1 << 32) - 1)
+#: Spellings that the tokenizer remembers.
+MEMO_WORDS = 1 << 17
 
 
 class _Mixer:
-    """The predictors of all lanes. Both directions call the same steps, so they stay equal."""
-
-    def __init__(self, lanes: int, n_ids: int):
-        self.lane = np.arange(lanes)
-        self.levels, width = [], 1 << 16
-        count = np.zeros(width, np.int32)
-        count[:n_ids] = 1
-        while width >= 16:
-            self.levels.append(np.tile(count, (lanes, 1)).reshape(lanes, -1, 16))
-            count = count.reshape(-1, 16).sum(axis=1, dtype=np.int32)
-            width //= 16
-        self.total = np.full(lanes, n_ids, np.int64)
-        self.next1, self.sure1 = np.full((lanes, 1 << _BITS1), -1, np.int32), np.zeros((lanes, 1 << _BITS1), np.int8)
-        self.next2, self.sure2 = np.full((lanes, 1 << _BITS2), -1, np.int32), np.zeros((lanes, 1 << _BITS2), np.int8)
-        self.share = np.tile(np.array([_ONE >> 2, _ONE >> 2, _ONE >> 1], np.int64), (lanes, 16, 1))
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def predict(self) -> np.ndarray:
-        """Takes the ids named by orders 2 and 1 and the weights for the next step. Gives the size of the mixture."""
-        lane = self.lane
-        self.at1 = (self.last * 40503 >> 4) & ((1 << _BITS1) - 1)
-        self.at2 = ((self.last * 40503 + self.before * 30011) >> 3) & ((1 << _BITS2) - 1)
-        named = np.stack([self.next2[lane, self.at2], self.next1[lane, self.at1]], axis=1)
-        self.state = self.sure2[lane, self.at2] * 4 + self.sure1[lane, self.at1]
-        weight = (self.share[lane, self.state] >> 6) + 1
-        weight[:, :2] *= named >= 0
-        self.named = np.maximum(named, 0)
-        self.order0, self.orders = weight[:, 2], weight[:, :2] * self.total[:, None]
-        return weight.sum(axis=1) * self.total
+    """The predictors of all lanes, longest block first. Both directions call the same steps, so they stay equal.
+
+    Ids are places: the first among the block's sorted ids at which the id stands. ``first`` holds the id's place at
+    each place, ``count`` at an id's place how often it occurs.
+    """
+
+    def __init__(self, lengths: np.ndarray):
+        lanes, self.width = len(lengths), int(lengths.max())
+        kind = np.uint16 if 4 * self.width <= 1 << 16 else np.uint32
+        self.length = lengths.astype(np.int64)
+        self.first, self.count = np.zeros((lanes, self.width), kind), np.zeros((lanes, self.width), kind)
+        # by context: four times the id that followed it last, and how often in a row it was right; 0: not seen
+        self.next2, self.next1 = np.zeros(lanes << _BITS2, kind), np.zeros(lanes * (self.width + 1), kind)
+        self.share = np.full((2, lanes * 16), _ONE >> 2, np.int64)
+        lane = np.arange(lanes)
+        self.base, self.base2, self.base1 = lane * self.width, lane << _BITS2, lane * (self.width + 1)
+        self.states = lane * 16
+        self.last = self.before = np.full(lanes, self.width)
+
+    def keep(self, lanes: int):
+        """Goes on with the first lanes only."""
+        for name in ("length", "base", "base2", "base1", "states", "last", "before"):
+            setattr(self, name, getattr(self, name)[:lanes])
+
+    def predict(self):
+        """Takes the ids named by orders 2 and 1 and the weights for the next step."""
+        self.at2 = self.base2 + ((self.last * 40503 + self.before * 30011 >> 2) & ((1 << _BITS2) - 1))
+        self.at1 = self.base1 + self.last
+        held2, held1 = self.next2.take(self.at2).astype(np.int64), self.next1.take(self.at1).astype(np.int64)
+        self.named2, self.sure2 = held2 >> 2, held2 & 3
+        self.named1, self.sure1 = held1 >> 2, held1 & 3
+        self.state = self.states + (self.sure2 * 4 + self.sure1)
+        self.own = self.share.take(self.state, axis=1)
+        weight2, weight1 = (self.own >> 8) + 1
+        weight2 *= self.sure2 > 0
+        weight1 *= self.sure1 > 0
+        self.order0 = _PARTS - weight2 - weight1
+        self.order2, self.order1 = weight2 * self.length, weight1 * self.length
 
     def interval(self, ids: np.ndarray):
-        """Begin and width of the ids in the mixture."""
-        below, self.own0 = self.cumulative(ids)
-        begin = self.order0 * below + (self.orders * (self.named < ids[:, None])).sum(axis=1)
-        return begin, self.order0 * self.own0 + (self.orders * (self.named == ids[:, None])).sum(axis=1)
+        """Begin and width of the ids in the mixture, whose size is ``_PARTS`` times the block's length."""
+        self.right2, self.right1 = self.named2 == ids, self.named1 == ids
+        self.part2, self.part1 = self.order2 * self.right2, self.order1 * self.right1
+        begin = self.order0 * ids + self.order2 * (self.named2 < ids) + self.order1 * (self.named1 < ids)
+        return begin, self.order0 * self.count.take(self.base + ids) + self.part2 + self.part1
 
     def locate(self, value: np.ndarray) -> np.ndarray:
         """The ids whose intervals hold the values."""
-        ids, found = np.zeros(len(value), np.int64), np.zeros(len(value), bool)
-        below, own = self.cumulative(self.named)
-        begin, end = self.order0[:, None] * below, self.order0[:, None] * (below + own) + self.orders
-        smaller = np.argmin(self.named, axis=1)
-        for which in (smaller, 1 - smaller):  # what the named ids add to order 0, the smaller id first
-            at = self.lane, which
-            here = ~found & (begin[at] <= value) & (value < end[at])
-            ids[here], found = self.named[at][here], found | here
-            value = np.where(~found & (end[at] <= value), value - self.orders[at], value)
-        return np.where(found, ids, self.find(np.minimum(value // self.order0, self.total - 1)))
-
-    def cumulative(self, ids: np.ndarray):
-        """Counts of all smaller ids and of the ids themselves, by order 0. ``ids``: one or more of each lane."""
-        below, lane = np.zeros(ids.shape, np.int64), self.lane.reshape(-1, *[1] * (ids.ndim - 1))
-        for depth, level in enumerate(self.levels):
-            node = ids >> (4 * depth)
-            row = level[lane, node >> 4]
-            below += np.where(np.arange(16) < (node & 15)[..., None], row, 0).sum(axis=-1)
-        return below, self.levels[0][lane, ids >> 4, ids & 15].astype(np.int64)
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose counts hold the values."""
-        node, left = np.zeros(len(value), np.int64), value.astype(np.int64)
-        for level in self.levels[::-1]:
-            row = level[self.lane, node].cumsum(axis=1)
-            digit = np.minimum((row <= left[:, None]).sum(axis=1), 15)
-            left = left - np.where(digit > 0, row[self.lane, digit - 1], 0)
-            node = node * 16 + digit
-        return node
-
-    def learn(self, ids: np.ndarray, on: np.ndarray):
+        named2, named1, order2, order1, order0 = self.named2, self.named1, self.order2, self.order1, self.order0
+        alike = named2 == named1
+        begin2, begin1 = order0 * named2 + order1 * (named1 < named2), order0 * named1 + order2 * (named2 < named1)
+        end2 = begin2 + order2 + order1 * alike + order0 * self.count.take(self.base + named2)
+        end1 = begin1 + order1 + order2 * alike + order0 * self.count.take(self.base + named1)
+        past2, past1 = value >= end2, value >= end1
+        left = value - order2 * past2 - order1 * past1  # what the named ids add to order 0, taken out
+        place = np.minimum((left / order0).astype(np.int64), self.length - 1)  # far below 2**53, so exact
+        ids = self.first.take(self.base + place).astype(np.int64)
+        ids = np.where((begin1 <= value) & ~past1, named1, ids)
+        return np.where((begin2 <= value) & ~past2, named2, ids)
+
+    def learn(self, ids: np.ndarray, width: np.ndarray):
         """Learns from the ids, whose ``interval`` was the last one asked for."""
-        lane, own = self.lane[on], ids[on]
-        for depth, level in enumerate(self.levels):
-            node = own >> (4 * depth)
-            level[lane, node >> 4, node & 15] += _STEP
-        part = np.column_stack([self.orders * (self.named == ids[:, None]), self.order0 * self.own0])[on]
-        state = self.state[on]
-        share = self.share[lane, state]
-        self.share[lane, state] = share + ((part * _ONE // part.sum(axis=1)[:, None] - share) >> _PACE)
-        self.total[on] += _STEP
-        for next_, sure, at in ((self.next1, self.sure1, self.at1), (self.next2, self.sure2, self.at2)):
-            place = at[on]
-            right = next_[lane, place] == own
-            sure[lane, place] = np.where(right, np.minimum(sure[lane, place] + 1, 3), 1)
-            next_[lane, place] = own
-        self.before, self.last = self.last, np.where(on, ids, self.last)
-
-
-def _shifting(low, size, on):
-    """Lanes whose highest byte is settled, or whose range is too small and is cut down to settle it."""
-    settled = (low ^ (low + size)) < _TOP
-    small = on & ~settled & (size < _BOTTOM)
-    size[small] = (np.uint64(0) - low[small]) & (_BOTTOM - np.uint64(1))
-    return (on & settled) | small
+        part = (np.stack([self.part2, self.part1]) * _ONE / width).astype(np.int64)
+        self.share[:, self.state] = self.own + ((part - self.own) >> _PACE)
+        self.next2[self.at2] = ids * 4 + 1 + self.right2 * np.minimum(self.sure2, 2)
+        self.next1[self.at1] = ids * 4 + 1 + self.right1 * np.minimum(self.sure1, 2)
+        self.before, self.last = self.last, ids
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Positive numbers: their lengths in bits, by Huffman's code, then their bits after the first."""
+    bits = np.frexp(values)[1].astype(np.int64) - 1
+    deflate = zlib.compressobj(9, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    sizes = deflate.compress(bits.astype(np.uint8).tobytes()) + deflate.flush()
+    shift = np.repeat(np.cumsum(bits), bits) - 1 - np.arange(bits.sum())
+    return struct.pack("<I", len(sizes)) + sizes + np.packbits(np.repeat(values, bits) >> shift & 1).tobytes()
+
+
+def _unpacked(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    """What ``_packed`` has put at a place, and the place after it."""
+    (size,) = struct.unpack_from("<I", data, at)
+    bits = np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size], -15), np.uint8).astype(np.int64)
+    at, total = at + 4 + size, int(bits.sum())
+    end = at + (total + 7) // 8
+    digits = np.unpackbits(np.frombuffer(data[at:end], np.uint8), count=total).astype(np.int64)
+    shift = np.repeat(np.cumsum(bits), bits) - 1 - np.arange(total)
+    rest = np.concatenate(([0], np.cumsum(digits << shift)))
+    ends = np.cumsum(bits)
+    return (1 << bits) + rest[ends] - rest[ends - bits], end
+
+
+def _by_length(lengths: np.ndarray) -> tuple[list[int], np.ndarray, list[int]]:
+    """Blocks from the longest to the shortest, their lengths, and how many of them have each step."""
+    order = np.argsort(-lengths, kind="stable")
+    sizes = lengths[order]
+    steps = len(sizes) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
+    return order.tolist(), sizes, steps.tolist()
 
 
 def encode_blocks(blocks: list[np.ndarray], n_ids: int) -> list[bytes]:
     """Code of each block of ids."""
     if not blocks:
         return []
-    lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), lengths.max()), np.int64)
-    for row, block in zip(ids, blocks, strict=True):
-        row[: len(block)] = block
-    mixer = _Mixer(len(blocks), n_ids)
-    low, size = np.zeros(len(blocks), np.uint64), np.full(len(blocks), _MASK)
-    out, used = np.zeros((len(blocks), 64 + 4 * int(lengths.max())), np.uint8), np.zeros(len(blocks), np.int64)
-
-    def put(begin, width, total, on):
-        step = size[on] // total[on].astype(np.uint64)
-        low[on] += step * begin[on].astype(np.uint64)
-        size[on] = step * width[on].astype(np.uint64)
-        while (go := np.flatnonzero(_shifting(low, size, on))).size:
-            out[go, used[go]] = (low[go] >> _U48) & _FF
-            used[go] += 1
-            low[go] = (low[go] << _U8) & _MASK
-            size[go] = (size[go] << _U8) & _MASK
-
-    for t in range(ids.shape[1]):
-        on, own = t < lengths, ids[:, t]
-        total = mixer.predict()
-        put(*mixer.interval(own), total, on)
-        mixer.learn(own, on)
-    for shift in range(48, -8, -8):
-        out[mixer.lane, used] = (low >> np.uint64(shift)) & _FF
-        used += 1
-    return [row[:n].tobytes() for row, n in zip(out, used.tolist(), strict=True)]
+    order, sizes, steps = _by_length(np.array([len(b) for b in blocks]))
+    mixer, heads = _Mixer(sizes), []
+    ids, place = np.zeros((mixer.width, len(blocks)), mixer.count.dtype), np.zeros(n_ids, np.int64)
+    for lane, number in enumerate(order):
+        count = np.bincount(blocks[number], minlength=1)
+        held = np.flatnonzero(count)
+        count = count[held]
+        heads.append(_packed(np.diff(held, prepend=-1)) + _packed(count))
+        place[held] = first = np.cumsum(count) - count
+        mixer.count[lane, first] = count
+        ids[: sizes[lane], lane] = place[blocks[number]]
+    lanes = len(order)
+    total = (_PARTS * sizes).astype(np.uint64)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    out, used = np.zeros((lanes, mixer.width + 1), np.uint32), np.zeros(lanes, np.int64)
+    low_on, size_on = low, size
+    for on, own in zip(steps, ids, strict=True):
+        if on < len(low_on):
+            low_on, size_on, total = low[:on], size[:on], total[:on]
+            mixer.keep(on)
+        own = own[:on].astype(np.int64)
+        mixer.predict()
+        begin, width = mixer.interval(own)
+        step = size_on // total
+        low_on += step * begin.astype(np.uint64)
+        np.multiply(step, width.astype(np.uint64), out=size_on)
+        go, at = _full(low_on, size_on)
+        out[go, used[go]] = at >> _U32
+        used[go] += 1
+        mixer.learn(own, width)
+    out[np.arange(lanes), used] = (low + _LOW32) >> _U32
+    codes = [b""] * lanes
+    for lane, number in enumerate(order):
+        codes[number] = heads[lane] + out[lane, : used[lane] + 1].astype("<u4").tobytes()
+    return codes
+
+
+def _full(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose highest word is settled, and their beginnings until now. A range that crosses the word's end is
+    cut down to settle it."""
+    go = np.flatnonzero(size < _WORD)
+    at = low[go]
+    size[go] = np.minimum(size[go], _WORD - (at & _LOW32)) << _U32
+    low[go] = at << _U32
+    return go, at
 
 
 def decode_blocks(codes: list[bytes], lengths: np.ndarray, n_ids: int) -> list[np.ndarray]:
     """Ids of each block."""
     if not codes:
         return []
-    longest = max(map(len, codes))
-    data = np.zeros((len(codes), longest + 8), np.uint8)
-    for row, code in zip(data, codes, strict=True):
-        row[: len(code)] = np.frombuffer(code, np.uint8)
-    mixer = _Mixer(len(codes), n_ids)
-    low, size = np.zeros(len(codes), np.uint64), np.full(len(codes), _MASK)
-    code = np.zeros(len(codes), np.uint64)
-    for i in range(7):
-        code = code << _U8 | data[:, i].astype(np.uint64)
-    used = np.full(len(codes), 7)
-    out = np.zeros((len(codes), int(lengths.max())), np.int64)
-
-    def value(total):
-        step = np.maximum(size // total.astype(np.uint64), np.uint64(1))
-        return np.minimum((code - low) // step, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(begin, width, total, on):
-        step = size[on] // total[on].astype(np.uint64)
-        low[on] += step * begin[on].astype(np.uint64)
-        size[on] = step * width[on].astype(np.uint64)
-        while (go := np.flatnonzero(_shifting(low, size, on))).size:
-            code[go] = ((code[go] << _U8) & _MASK) | data[go, np.minimum(used[go], longest + 7)].astype(np.uint64)
-            used[go] += 1
-            low[go] = (low[go] << _U8) & _MASK
-            size[go] = (size[go] << _U8) & _MASK
-
-    for t in range(out.shape[1]):
-        on = t < lengths
-        total = mixer.predict()
-        own = np.minimum(mixer.locate(value(total)), n_ids - 1)
-        take(*mixer.interval(own), total, on)
-        out[:, t] = own
-        mixer.learn(own, on)
-    return [row[:n] for row, n in zip(out, lengths.tolist(), strict=True)]
+    order, sizes, steps = _by_length(lengths)
+    mixer, lanes = _Mixer(sizes), len(order)
+    data = np.zeros((lanes, max(map(len, codes)) // 4 + 3), np.uint32)
+    table = np.zeros((lanes, mixer.width), np.uint16)
+    for lane, number in enumerate(order):
+        try:
+            held, at = _unpacked(codes[number], 0)
+            count, at = _unpacked(codes[number], at)
+            words = np.frombuffer(codes[number][at:], "<u4")
+        except (zlib.error, struct.error, IndexError) as error:
+            raise ValueError(f"block {number} is damaged") from error
+        held, first = np.cumsum(held) - 1, np.cumsum(count) - count
+        if len(held) != len(count) or count.sum() != sizes[lane] or held[-1] >= n_ids:
+            raise ValueError(f"block {number} is damaged")
+        table[lane, : sizes[lane]] = np.repeat(held, count)
+        mixer.first[lane, : sizes[lane]] = np.repeat(first, count)
+        mixer.count[lane, first] = count
+        data[lane, : len(words)] = words
+    total = (_PARTS * sizes).astype(np.uint64)
+    low, size = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    code, used = data[:, 0].astype(np.uint64) << _U32 | data[:, 1], np.full(lanes, 2)
+    out = np.zeros((mixer.width, lanes), mixer.first.dtype)
+    low_on, size_on, code_on = low, size, code
+    for on, row in zip(steps, out, strict=True):
+        if on < len(low_on):
+            low_on, size_on, code_on, total = low[:on], size[:on], code[:on], total[:on]
+            mixer.keep(on)
+        mixer.predict()
+        step = size_on // total
+        own = mixer.locate(np.minimum((code_on - low_on) // step, total - np.uint64(1)).astype(np.int64))
+        begin, width = mixer.interval(own)
+        low_on += step * begin.astype(np.uint64)
+        np.multiply(step, width.astype(np.uint64), out=size_on)
+        go, _ = _full(low_on, size_on)
+        code_on[go] = code_on[go] << _U32 | data[go, np.minimum(used[go], data.shape[1] - 1)]
+        used[go] += 1
+        mixer.learn(own, width)
+        row[:on] = own
+    ids = [np.zeros(0, np.int64)] * lanes
+    for lane, number in enumerate(order):
+        ids[number] = table[lane, out[: sizes[lane], lane]].astype(np.int64)
+    return ids
+
+
+def _side_by_side(n: int) -> list[tuple[int, int]]:
+    """``n`` blocks in runs of about equal length, at most ``LANES`` in each."""
+    cuts = np.linspace(0, n, -(-n // LANES) + 1).astype(int).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
 
 
 def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, n_ids: int) -> bytes:
@@ -218,10 +262,11 @@ def to_bytes(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, n_ids: i
     if n_ids > 1 << 16 or len(ids) and (ids.min() < 0 or ids.max() >= n_ids):
         raise ValueError("an id is outside the vocabulary")
     index = zlib.compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes())
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    long = min(BLOCK, max(LEAST, -(-len(ids) // BESIDE)))
+    blocks = [ids[i : i + long] for i in range(0, len(ids), long)]
     parts = [MAGIC, struct.pack("<IIII", n_ids, len(doc_ids), len(index), len(blocks)), index]
-    for lo in range(0, len(blocks), LANES):
-        lanes = blocks[lo : lo + LANES]
+    for lo, hi in _side_by_side(len(blocks)):
+        lanes = blocks[lo:hi]
         for block, code in zip(lanes, encode_blocks(lanes, n_ids), strict=True):
             parts += [struct.pack("<III", len(block), len(code), zlib.crc32(block.astype("<u4").tobytes())), code]
     return b"".join(parts)
@@ -244,9 +289,9 @@ def from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes.append(data[at : at + head[1]])
         at += head[1]
     ids = []
-    for lo in range(0, n_blocks, LANES):
-        part = heads[lo : lo + LANES]
-        for head, block in zip(part, decode_blocks(codes[lo : lo + LANES], np.array([h[0] for h in part]), n_ids), strict=True):
+    for lo, hi in _side_by_side(n_blocks):
+        part = heads[lo:hi]
+        for head, block in zip(part, decode_blocks(codes[lo:hi], np.array([h[0] for h in part]), n_ids), strict=True):
             if zlib.crc32(block.astype("<u4").tobytes()) != head[2]:
                 raise ValueError(f"block {lo} or later is damaged")
             ids.append(block)
@@ -263,6 +308,8 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _tokenizers[path] = Tokenizer.from_file(path)
+        if hasattr(_tokenizers[path].model, "_resize_cache"):
+            _tokenizers[path].model._resize_cache(MEMO_WORDS)
     return _tokenizers[path]
 
 
@@ -299,9 +346,9 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int, id: str = "doc_id"
             for lo in range(0, batch.num_rows, 64):
                 rows = batch.slice(lo, 64)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
-                for name, own in zip(rows.column(0).to_pylist(), encode.encode_batch(texts, add_special_tokens=False), strict=True):
+                for name, own in zip(rows.column(0).to_pylist(), encode.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                     names.append(_NO_ID if name is None else name)
-                    parts.append(np.array([*own.ids, end_id], np.int64))
+                    parts.append(np.array([*own.ids, end_id], np.uint32))
                     held += len(parts[-1])
                 if held >= FILE_IDS:
                     yield close()

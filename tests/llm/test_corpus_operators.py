@@ -239,6 +239,46 @@ def test_blocks_of_texts_take_fewer_bits_than_deflate_and_order_0(spark, data):
     assert code < bits / 8
 
 
+def test_a_lane_holds_tables_of_its_block_not_of_the_vocabulary():
+    def held(length):
+        mixer = tokenfile._Mixer(np.full(64, length))
+        return sum(v.nbytes for v in vars(mixer).values() if isinstance(v, np.ndarray)) / 64
+
+    assert held(4096) < 64 << 10 and held(tokenfile.BLOCK) < 160 << 10  # 340 KB a lane with counts of 65,536 ids
+
+
+def test_small_files_have_short_blocks_and_runs_are_equal(monkeypatch):
+    runs = []
+    plain = tokenfile.encode_blocks
+    monkeypatch.setattr(tokenfile, "encode_blocks", lambda b, n: runs.append([*map(len, b)]) or plain(b, n))
+    monkeypatch.setattr(tokenfile, "LANES", 20)
+    ids = np.minimum(np.random.default_rng(3).zipf(1.3, 100_000) - 1, 50_256)
+    data = tokenfile.to_bytes(np.array([1]), np.array([len(ids)]), ids, 50_257)
+    assert [*map(len, runs)] == [12, 13] and runs[0][0] == tokenfile.LEAST
+    assert tokenfile.from_bytes(data)[2].tolist() == ids.tolist()
+
+
+def test_numbers_in_a_block_head():
+    rng = np.random.default_rng(1)
+    for values in (np.array([1]), np.array([65_536, 1, 2]), rng.integers(1, 5, 3000), rng.integers(1, 60_000, 500)):
+        data = b"xy" + tokenfile._packed(values) + b"z"
+        back, at = tokenfile._unpacked(data, 2)
+        assert back.tolist() == values.tolist() and at == len(data) - 1
+
+
+def test_every_damaged_byte_is_noticed():
+    ids = np.random.default_rng(2).integers(0, 300, 200)
+    data = tokenfile.to_bytes(np.array([7]), np.array([200]), ids, 301)
+    head = len(data) - len(tokenfile.encode_blocks([ids], 301)[0])
+    for at in range(head, len(data) - 4):
+        broken = bytearray(data)
+        broken[at] ^= 0x10
+        try:
+            assert tokenfile.from_bytes(bytes(broken))[2].tolist() == ids.tolist()  # a bit that no id needs
+        except ValueError:
+            pass
+
+
 def plain_ids(text):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     return [*own.encode(text or "", add_special_tokens=False).ids, 2]
