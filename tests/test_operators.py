@@ -1,7 +1,9 @@
 """Properties of the operators: idempotence, skew, plans, streams."""
 
+import pickle
 import re
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -20,11 +22,13 @@ from outings.operators.blocks import best_per_row
 from outings.operators.embedding import embed_due
 from outings.operators.ingest import calendar_events, upsert_calendar
 from outings.operators.blocks import ITEM_BLOCK, QUERY_BLOCK, pair_blocks
-from outings.operators.modelblock import ModelBlock
+from outings.operators.blockstore import write_blocks
+from outings.operators.modelblock import Asked, ModelBlock, Outlines
 from outings.operators.quality import (
     PRICE_LEVELS, VIBE_RANGES, event_checks, out_of_range, rejected_rows, too_long, valid_rows,
 )
 from outings.plans import QUERIES
+from outings.schemas import HOURS_DDL
 from outings.sources.buckets import BucketedTable
 from outings.sources.ics import ics_events
 from outings.streaming import ingest as SI
@@ -283,6 +287,16 @@ def random_block(make, items, requests, seed):
     return block, asked, scores
 
 
+def block_requests(make, items, requests, seed):
+    """The requests of ``random_block``."""
+    held = []
+    prepare = ModelBlock.prepare
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ModelBlock, "prepare", lambda block, q: held.append(q) or prepare(block, q))
+        random_block(make, items, requests, seed)
+    return held[0]
+
+
 MODELS = {
     "hybrid": lambda: RC.hybrid_model(AS_OF), "vectors": lambda: RC.hybrid_model(AS_OF, with_vectors=True),
     "vibe": lambda: RC.vibe_model(AS_OF), "local": lambda: RC.local_model(AS_OF),
@@ -332,6 +346,107 @@ def test_bounds_skip_most_pairs(spark):
         assert block.best(asked, 3)[3] < most * scores.size, (name, block.best(asked, 3)[3] / scores.size)
 
 
+def rows_dealt(df):
+    """Rows of both sides that the tasks of a ranking meet."""
+    spark, at = df.sparkSession, df._jdf.queryExecution().analyzed()
+    while at.nodeName() != "FlatMapCoGroupsInPandas":
+        at = at.children().head()
+    rows = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows
+    return [rows(spark._jsparkSession, at.children().apply(i)).count() for i in (0, 1)]
+
+
+def with_vectors(spark, requests, items, seed=3, cities=1):
+    """Requests and candidates that each have a vector of their own, and some that have none."""
+    rng = np.random.default_rng(seed)
+    vector = lambda i: None if i % 7 == 3 else [float(x) for x in rng.normal(size=6)]
+    asked = [(i, i % cities + 1, float(rng.random()), float(rng.random()), ["inside", "outside", "either"][i % 3],
+              [["a", "b"], ["c"], None, []][i % 4], 60 + 30 * (i % 4), vector(i)) for i in range(requests)]
+    had = [("place" if i % 2 else "event", i // 2, i % cities + 1, float(rng.random()), float(rng.random()), [0.1, 0.5, 0.9, None][i % 4],
+            [["a"], ["b", "z"], ["c", "a", "y"], None, []][i % 5], [None, 10, 20, 50][i % 4], vector(i)) for i in range(items)]
+    acts = spark.createDataFrame(
+        had, "type string, id long, city_id int, vibe_quiet double, vibe_active double, vibe_inside double, "
+        "tags array<string>, walk_minutes_from_center int, embedding array<float>"
+    ).select(
+        "*", F.lit(True).alias("is_active"), F.lit("OPERATIONAL").alias("business_status"),
+        F.when(F.col("type") == "event", F.lit("2024-02-01").cast("timestamp")).alias("start_time"),
+        F.lit(None).cast("array<string>").alias("best_times"), F.lit(None).cast("boolean").alias("kid_friendly"),
+        F.lit(None).cast("boolean").alias("low_energy"), F.lit(None).cast(HOURS_DDL).alias("hours"),
+    )
+    return spark.createDataFrame(
+        asked, "request_id long, city_id int, quiet double, active double, location string, tags array<string>, "
+        "time_available int, embedding array<float>"
+    ), acts
+
+
+def test_candidates_with_vectors_are_not_copied(spark):
+    """A task is told the files of its city; no candidate is dealt out, and each request once."""
+    requests, acts = with_vectors(spark, 300, 500)
+    best = RC.recommend_many(requests, acts, RC.hybrid_model(AS_OF, with_vectors=True), query_block=20, item_block=25)
+    left, right = rows_dealt(best)
+    assert left == 300 and right <= 15 * 40  # 500 / 25 files, and some that are not full, for 300 / 20 blocks
+
+
+def test_files_hold_every_candidate_once(spark):
+    _, acts = with_vectors(spark, 1, 700, cities=3)
+    model = RC.hybrid_model(AS_OF, with_vectors=True)
+    items, words = model.candidates(acts), ["a", "b", "c"]
+    files = write_blocks(items, "city_id", model.order(words), RC.TIE_BREAK, RC._pack(model, words), 50).collect()
+    held = []
+    for row in files:
+        types, ids, data = pickle.loads(Path(row["_path"].removeprefix("file:")).read_bytes())
+        assert 1 <= len(ids) <= 50 and len(ModelBlock.opened(model, data, {}).at) == len(ids)
+        held += [(row["city_id"], *key) for key in zip(types, ids.tolist())]
+    assert sorted(held) == sorted(tuple(r) for r in items.select("city_id", "type", "id").collect())
+
+
+@pytest.mark.parametrize("cities", [1, 3])
+def test_files_give_what_all_pairs_give(spark, cities):
+    requests, acts = with_vectors(spark, 60, 400, cities=cities)
+    model = RC.hybrid_model(AS_OF, with_vectors=True)
+    q = model.asked(requests).toPandas()
+    want = []
+    for city, it in model.candidates(acts).toPandas().groupby("city_id"):
+        it = it.sort_values(RC.TIE_BREAK, ignore_index=True)
+        asked = q[q["city_id"] == city]
+        block = ModelBlock(replace(model, eligible=None), it)
+        scores = np.empty((len(asked), len(it)))
+        scores[:, block.at] = block.score(block.prepare(asked), np.arange(len(asked)), 0, len(it))
+        for request, row in zip(asked["request_id"], scores):
+            first = [i for i in np.argsort(-row, kind="stable")[:3] if np.isfinite(row[i])]
+            want += [(request, it["type"][i], it["id"][i], row[i], n + 1) for n, i in enumerate(first)]
+    for sizes in ({}, {"query_block": 7, "item_block": 9}, {"item_block": 1}):
+        found = RC.recommend_many(requests, acts, model, **sizes)
+        assert sorted(map(tuple, found.collect())) == sorted(want), sizes
+
+
+def test_ties_over_many_files_keep_the_first(spark):
+    """All candidates score the same, so that every file has as good ones as the file before."""
+    requests, acts = with_vectors(spark, 5, 200)
+    alike = acts.withColumns({"vibe_quiet": F.lit(0.5), "vibe_active": F.lit(0.5), "vibe_inside": F.lit(0.5), "tags": F.array().cast("array<string>"),
+                              "walk_minutes_from_center": F.lit(None).cast("int"), "embedding": F.lit(None).cast("array<float>")})
+    found = RC.recommend_many(requests.withColumn("location", F.lit("either")), alike, RC.hybrid_model(AS_OF, with_vectors=True), item_block=3)
+    assert {(r.type, r.id) for r in found.collect()} == {("event", 0), ("event", 1), ("event", 2)}
+
+
+@pytest.mark.parametrize("name", MODELS)
+def test_opened_blocks_and_outlines(spark, name):
+    """An opened block scores as the packed one; no member exceeds the bound of its block's outline."""
+    block, asked, scores = random_block(MODELS[name](), 300, 40, 5)
+    model, q = block.model, block_requests(MODELS[name](), 300, 40, 5)
+    words = {t: i for i, t in enumerate(sorted({t for r in q["r_tags"] if r is not None for t in r} | {"other"}))}
+    outlines = Outlines(model, [block.outline()] * 2, words)
+    some = Asked(outlines, q)
+    again, rows = ModelBlock.opened(model, block.packed(), words), np.array([5, 3, 38])
+    found = np.empty((3, 300))
+    found[:, again.at] = again.score(some.some(again, rows), np.arange(3), 0, 300)
+    assert (found == scores[rows]).all()
+    assert (outlines.bound(some.some(outlines, rows)) >= scores[rows].max(axis=1, keepdims=True)).all()
+    floor = scores[rows].max(axis=1)
+    request, place, value, _ = again.best(some.some(again, rows), 3, floor)
+    assert (value == floor[request]).all() and set(request) == set(np.flatnonzero(np.isfinite(floor)))
+    assert all(scores[rows[r], c] == floor[r] for r, c in zip(request, place))
+
+
 def test_calendar_texts_are_parsed_by_all_tasks(spark, data):
     """A small file is read by few tasks; its rows are dealt to all before they become texts."""
     plan = plan_of(QUERIES["calendar_events"](spark, data))
